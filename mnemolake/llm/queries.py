@@ -27,6 +27,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by rank-order profiles learnt outside the held-out fifth."""
+    from mnemolake.llm import language as l
+
+    docs = table(spark, sf_dir, "documents")
+    out = l.held_out()
+    return l.identify(docs, l.learn(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back as a chunked record table."""
+    from mnemolake.llm.warc import archive_roundtrip
+
+    return archive_roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labels of rows outside the held-out third."""
     from mnemolake.llm import toxicity as t
@@ -40,6 +56,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
+    "op3_language": op3_language,
+    "op4_warc": op4_warc,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Whole tables, the contract's rules; the operators' tests hold smaller cases against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+        f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND first > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND first > page_id THEN first END AS refers_to
+        FROM f
+    """,
+}
