@@ -43,6 +43,15 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and packed into sequences of 2048 tokens."""
+    import public_tokenizers
+
+    from mnemolake.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from labels of rows outside the held-out third."""
     from mnemolake.llm import toxicity as t
@@ -58,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "op4_warc": op4_warc,
+    "op6_packing": op6_packing,
     "op10_toxicity": op10_toxicity,
 }
 #: Whole tables, the contract's rules; the operators' tests hold smaller cases against brute force.
