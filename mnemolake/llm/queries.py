@@ -43,6 +43,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of whole documents on 3-word shingles at 0.85."""
+    from mnemolake.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed into sequences of 2048 tokens."""
     import public_tokenizers
@@ -67,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "op4_warc": op4_warc,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op10_toxicity": op10_toxicity,
 }
