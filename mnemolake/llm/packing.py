@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             text = batch.column(1)
-            for a, b in slices([x.as_py() or 0 for x in pa.compute.binary_length(text)]):
+            for a, b in slices([x.as_py() or 0 for x in pc.binary_length(text)]):
                 said = [(x or b"").decode("utf-8", "replace") for x in text.slice(a, b - a).to_pylist()]
                 ids, first = encoder.batch(said)
                 rows: list[tuple] = []

@@ -66,6 +66,13 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 100-byte string covers which also starts earlier."""
+    from mnemolake.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, its edited text and the next document."""
     from mnemolake.llm.fingerprint import edited_fingerprints
@@ -91,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_packing": op6_packing,
     "op7_personal_data": op7_personal_data,
+    "op8_repeated_substrings": op8_repeated_substrings,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
 }

@@ -19,6 +19,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,7 +241,7 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(len(keep))
-            sizes = [x.as_py() or 0 for x in pa.compute.binary_length(text)]
+            sizes = [x.as_py() or 0 for x in pc.binary_length(text)]
             for a, b in slices(sizes):
                 part = batch.slice(a, b - a)
                 yield work(part, [x or b"" for x in part.column(len(keep)).to_pylist()])
