@@ -2,8 +2,8 @@
 
 1. Each text becomes a set of word shingles (64-bit hashes). Equal sets are one node, its id the smallest document id.
 2. SetSketch: a register is a truncated, exponentially spaced minimum, floor(1 - log_b(min E)) over exponentials E.
-   Bands of registers are hashed; sets that share a band meet in its bucket. With 32 bands of 6 registers a pair of
-   similarity 0.85 is missed with a probability under 3e-7.
+   Bands of registers are hashed; sets that share a band meet in its bucket. There are as many bands as it takes to
+   miss a pair at the threshold with a chance of at most 1e-6 (30 of 6 registers at 0.85, 35 of 5 at 0.8).
 3. Buckets give star edges to their smallest node, and their components are coarse clusters. True links lie within.
 4. A cluster is cut into blocks of bounded size, and each pair of blocks is one task, which walks the graph of true
    links breadth first: registers are compared by the joint likelihood of their order, pairs that are clearly below
@@ -25,7 +25,8 @@ from mnemolake.llm.common import SPACED_WORDS, WordHasher, connected, mix, slice
 from mnemolake.llm.tokens import map_texts
 
 WORDS, PERCENT = 5, 80
-BANDS, ROWS = 32, 6
+#: The largest chance that all bands miss a pair at the threshold, and about how likely one band is to find it.
+MISSED, FOUND = 1e-6, 0.327
 #: SetSketch parameters: the spacing of registers, the rate of the exponentials, the largest register.
 BASE, RATE, LARGEST = 1.02, 20.0, 65_534
 #: A block of a cluster has about so many documents and shingles.
@@ -34,8 +35,15 @@ BLOCK_DOCUMENTS, BLOCK_SHINGLES = 1024, 1 << 20
 CLEAR = 19.0
 
 _draw = np.random.default_rng(20240607)
-_FACTOR = _draw.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_SHIFT = _draw.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_FACTOR = _draw.integers(1, 2**32, 4096, dtype=np.uint32) | np.uint32(1)
+_SHIFT = _draw.integers(0, 2**32, 4096, dtype=np.uint32)
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands, and registers in each, for a similarity of ``percent``."""
+    share = min(max(percent, 50), 99) / 100
+    rows = max(1, math.floor(math.log(FOUND) / math.log(share)))
+    return min(4096 // rows, math.ceil(math.log(MISSED) / math.log(1 - share**rows))), rows
 
 
 def shingles(hasher: WordHasher, texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -59,14 +67,14 @@ def shingles(hasher: WordHasher, texts: list[bytes], words: int) -> list[np.ndar
     return out
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """SetSketch registers of non-empty sets, one row each."""
-    out = np.empty((len(sets), BANDS * ROWS), np.uint16)
+def registers(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """``count`` SetSketch registers of non-empty sets, one row each."""
+    out = np.empty((len(sets), count), np.uint16)
     for a, b in slices((len(s) for s in sets), 1 << 18):
         flat = (np.concatenate(sets[a:b]) >> np.uint64(32)).astype(np.uint32)
         starts = np.cumsum([0, *(len(s) for s in sets[a : b - 1])])
-        low, one = np.empty((b - a, BANDS * ROWS), np.uint32), np.empty_like(flat)
-        for j in range(BANDS * ROWS):
+        low, one = np.empty((b - a, count), np.uint32), np.empty_like(flat)
+        for j in range(count):
             np.multiply(flat, _FACTOR[j], out=one)
             one += _SHIFT[j]
             low[:, j] = np.minimum.reduceat(one, starts)
@@ -75,11 +83,11 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands(regs: np.ndarray) -> np.ndarray:
-    """64-bit bucket of each band."""
-    cut = regs.astype(np.uint64).reshape(len(regs), BANDS, ROWS)
-    out = mix(np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(regs), BANDS)).copy())
-    for k in range(ROWS):
+def bands(regs: np.ndarray, count: int) -> np.ndarray:
+    """64-bit bucket of each of ``count`` bands."""
+    cut = regs.astype(np.uint64).reshape(len(regs), count, -1)
+    out = mix(np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), (len(regs), count)).copy())
+    for k in range(cut.shape[2]):
         out = mix(out + cut[:, :, k])
     return out
 
@@ -115,7 +123,7 @@ def tree_edges(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[t
     terms, flat = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(terms), bool)
     two = len(np.unique(side)) > 1
-    regs = registers(sets) if len(sets) > 4 else None
+    regs = registers(sets, 192) if len(sets) > 4 else None
     out, left, queue = [], np.ones(len(sets), bool), []
     for root in range(len(sets)):
         if not left[root]:
@@ -152,18 +160,19 @@ def _key(own: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (high, low))
 
 
-def sketched(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+def sketched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, n_shingles, high, low, buckets)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    count, rows = banding(percent)
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         sets = shingles(WordHasher(SPACED_WORDS), texts, words)
         full = [i for i, s in enumerate(sets) if len(s)]
-        buckets = np.zeros((len(sets), BANDS), np.int64)
+        buckets = np.zeros((len(sets), count), np.int64)
         if full:
-            buckets[full] = bands(registers([sets[i] for i in full])).view(np.int64)
+            buckets[full] = bands(registers([sets[i] for i in full], count * rows), count).view(np.int64)
         keys = [_key(s) for s in sets]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(buckets.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * count), pa.array(buckets.ravel()))
         return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [k[0] for k in keys], [k[1] for k in keys])), lists], names=["doc_id", "n_shingles", "high", "low", "buckets"])
 
     return map_texts(docs, work, f"doc_id {kind}, n_shingles long, high long, low long, buckets array<long>", [id_col], text_col)
@@ -210,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     repeated ones too, and repeats of a kept id are all kept. Other columns are ignored; an empty table gives an
     empty one.
     """
-    rows = written(sketched(docs, words, id_col, text_col), "sketches")
+    rows = written(sketched(docs, words, percent, id_col, text_col), "sketches")
     with_id = rows.where("doc_id is not null and n_shingles > 0")
     nodes = written(with_id.groupBy("high", "low").agg(F.min("doc_id").cast("long").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "nodes")
     marks = nodes.select("node", F.explode("buckets").alias("bucket"))
