@@ -1,0 +1,9 @@
+"""Queries over the store: adapters, the registry, and the families of queries."""
+
+
+def load():
+    """All queries and their SQL."""
+    from mnemolake.plans import relational, retrieval, scalar  # noqa: F401
+    from mnemolake.plans.catalog import QUERIES, SQL
+
+    return dict(QUERIES), dict(SQL)
