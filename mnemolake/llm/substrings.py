@@ -329,12 +329,23 @@ def _piece_rows(anchors: Anchors, buckets: int):
     length = anchors.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+        bodies: list[bytes] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            pieces, rows = np.concatenate(held), []
+            for k, some in _dealt(np.concatenate(keys), buckets):
+                own = pieces[some]
+                rows.append((1, k, 0, len(own).to_bytes(4, "little") + own.tobytes() + b"".join([bodies[i] for i in some.tolist()])))
+            return _rows(rows)
+
         for batch in batches:
             for at in range(len(batch)):
                 text = batch.column(2)[at].as_py()
                 records = np.frombuffer(b"".join(batch.column(3)[at].as_py()), RUN)
                 hot = np.frombuffer(bytes(batch.column(4)[at].as_py()), np.uint8).astype(bool)
-                groups: list[tuple[np.ndarray, np.ndarray]] = []
                 for own, single in ((records[~hot], False), (records[hot], True)):
                     if not len(own):
                         continue
@@ -343,19 +354,19 @@ def _piece_rows(anchors: Anchors, buckets: int):
                     pieces = np.empty(len(which), PIECE)
                     for c in ("gram", "id", "text", "start", "count"):
                         pieces[c] = own[c][which]
-                    key = pieces["gram"].copy()
                     if single:
                         pieces["start"] += np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
                         pieces["count"] = 1
-                        key = np.array([int.from_bytes(hashlib.blake2b(text[s : s + length], digest_size=8).digest(), "little") for s in pieces["start"].tolist()], np.uint64)
-                    groups.append((key, pieces))
-                for key, pieces in groups:
-                    rows = []
-                    for k, some in _dealt(key, buckets):
-                        own = pieces[some]
-                        body = b"".join(text[s : s + c + length - 1] for s, c in zip(own["start"].tolist(), own["count"].tolist()))
-                        rows.append((1, k, 0, len(own).to_bytes(4, "little") + own.tobytes() + body))
-                    yield _rows(rows)
+                    body = [text[s : s + c + length - 1] for s, c in zip(pieces["start"].tolist(), pieces["count"].tolist())]
+                    keys.append(np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in body], np.uint64) if single else pieces["gram"].copy())
+                    held.append(pieces)
+                    bodies += body
+                    size += sum(map(len, body))
+                if size > SEGMENT:
+                    yield flush()
+                    keys, held, bodies, size = [], [], [], 0
+        if held:
+            yield flush()
 
     return run
 
