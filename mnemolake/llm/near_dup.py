@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nodes = written(with_id.groupBy("high", "low").agg(F.min("doc_id").cast("long").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")), "nodes")
     marks = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = marks.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("largest")).where("least < largest").select("bucket", "least")
-    stars = marks.join(shared, "bucket").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    # The larger joins are sort-merge joins at every size: neither side has a bound, and hot keys can be split.
+    stars = marks.join(shared.hint("merge"), "bucket").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     coarse = connected(stars, "coarse")
     # A root is a member of its own cluster.
     members = coarse.union(coarse.select("root", "root").distinct()).join(nodes.select("node", "n", "high", "low"), "node")
@@ -234,14 +235,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     dealt = members.join(blocks, "root").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("binary").alias("text"))
-    tasks = dealt.join(texts, "node").select("task", "side", "node", "text")
+    tasks = texts.join(dealt.hint("merge"), "node").select("task", "side", "node", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = written(tasks.repartition(n, "task").sortWithinPartitions("task").mapInArrow(_verify(words, percent), "a long, b long"), "links")
     roots = connected(links, "components").withColumnRenamed("root", "component")
     known = nodes.join(roots, "node", "left").select("high", "low", F.coalesce("component", "node").alias("component_id"), "node", "copies").where("copies > 1 or component_id <> node").select("high", "low", "component_id")
     empty = F.col("n_shingles") == 0
     kind = docs.schema[id_col].dataType
-    got = rows.drop("buckets").join(known, ["high", "low"], "left")
+    got = rows.drop("buckets").join(known.hint("merge"), ["high", "low"], "left")
     component = F.when(empty, F.col("doc_id")).otherwise(F.coalesce(F.col("component_id").cast(kind), F.col("doc_id")))
     out = got.select(F.col("doc_id"), "n_shingles", component.alias("component_id"))
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
