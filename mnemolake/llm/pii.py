@@ -138,7 +138,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     got = find(docs, id_col, text_col, **options).where(F.size("base") + F.size("found") > 0)
     spans_ = got.select(F.col(id_col).alias("_pii_id"), F.col("sha").alias("_pii_sha"), F.array_sort(F.concat("base", "found")).alias("_pii")).dropDuplicates(["_pii_id", "_pii_sha"])
     sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    both = docs.join(spans_, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (sha == F.col("_pii_sha")), "left")
+    both = docs.join(spans_.hint("merge"), F.col(id_col).eqNullSafe(F.col("_pii_id")) & (sha == F.col("_pii_sha")), "left")
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
