@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     own = docs.select(*COLUMNS)
     gone = near_dup.near_duplicates(own).where("not kept").select("doc_id").distinct()
-    return own.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return own.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
