@@ -71,7 +71,7 @@ def with_next(docs: DataFrame, id_col: str, values: list[str]) -> DataFrame:
     firsts = {r[0]: r[1] for r in ids.select("_key", place.alias("_range")).groupBy("_range").agg(F.min("_key")).collect()}
     order = sorted(firsts)
     heads = F.array(*[F.lit(firsts[r]) for r in order] or [F.lit(0)]).cast("array<long>")
-    before = dict(zip([firsts[r] for r in order], [order[-1], *order]))
+    before = dict(zip([firsts[r] for r in order], [*order[-1:], *order]))
     prior = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]) if before else F.create_map(F.lit(0), F.lit(0))
     own = docs.withColumn("_key", key).withColumn("_range", place)
     first = F.array_contains(heads, F.col("_key"))

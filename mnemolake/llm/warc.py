@@ -42,7 +42,7 @@ def record_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """One string a record, without the blank line that ends it."""
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit("").cast("binary"))
     rows = revisits(pages.select(F.col(id_col), F.col(url_col), F.col(html_col)), id_col, payload, at_least)
-    again = F.col("_first").isNotNull() & (F.col("_first") > F.col(id_col))
+    again = F.coalesce(F.col("_first") > F.col(id_col), F.lit(False))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     # A target that would break the header is percent-encoded.
     url = F.coalesce(F.regexp_replace(F.col(url_col), "[\\x00-\\x20\\x7F]", "%20"), F.lit(""))

@@ -1,0 +1,514 @@
+"""Corpus operators on small fixtures with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from mnemolake.llm import common, decontaminate, fingerprint, language, near_dup, packing, pii, substrings, tokens, toxicity, warc  # noqa: E402
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = ["alpha", "beta", "gamma", "delta", "épsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omikron", "pi", "rho", "sigma", "tau", "漢字"]
+
+
+def make(spark, rows, **extra):
+    """documents with columns whose names clash with those that operators make."""
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return df.withColumns({"n_chars": F.length("text").cast("long"), "words": F.lit(1), "score": F.lit("x"), "id": F.lit(0), "node": F.lit("y"), "kept": F.lit(None).cast("string"), "_text": F.lit(7), "hash": F.lit(1)})
+
+
+def docs(spark, texts, start=0):
+    return make(spark, [(i + start, t, ("en", "de")[i % 2], "s") for i, t in enumerate(texts)])
+
+
+def prose(rng, n):
+    return " ".join(rng.choices(WORDS, k=n))
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+ODD = [None, "", "a", "  \n\t ", "it's we'll I'd <|endoftext|> x", "é漢字 ٣½  ", "word " * 3000]
+
+
+# 1
+
+
+def test_counts_are_the_library_s(spark, library):
+    rng = random.Random(1)
+    pool = list("abst rvelmd''  \n\t.,<|>é漢1½ \U0001f600") + ["<|endoftext|>"]
+    texts = ODD + ["".join(rng.choices(pool, k=rng.randrange(80))) for _ in range(300)]
+    got = tokens.count_tokens(docs(spark, texts), PATH, limit=20).collect()
+    want = {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {i: (len((texts[i] or "").encode()), n, n > 20) for i, n in want.items()}
+    assert tokens.count_tokens(docs(spark, texts).limit(0), PATH).count() == 0
+
+
+def test_huge_texts_are_spliced(library):
+    rng = random.Random(2)
+    with open(PATH, "rb") as f:
+        own = tokens.Encoder(f.read(), 128, 64)
+    pool = list("abst rvelmd''  \n\t.,<|>é漢1") + ["<|endoftext|>", "     ", "aaaaaaaa"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(200, 3000))) for _ in range(60)] + [" " * 5000 + "x", "a" * 5000 + " b", "'" * 3000, "\n " * 2000]
+    for t in texts:
+        assert own.spliced(t).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_sentencepiece_counts(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs(spark, ODD), path).collect()}
+    assert got == {i: len(own.encode(t or "")) for i, t in enumerate(ODD)}
+
+
+# 2
+
+
+def hit_words(text, items, window):
+    own = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower())
+    hit, seen = set(), set()
+    for name, item in items:
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (item or "").encode().lower())
+        size = min(window, len(words))
+        grams = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else set()
+        for i in range(len(own) - size + 1 if size else 0):
+            if tuple(own[i : i + size]) in grams:
+                seen.add(str(name))
+                hit.update(range(i, i + size))
+    return len(own), len(hit), sorted(seen)
+
+
+@pytest.mark.parametrize("block_words", [1 << 20, 8])
+def test_contamination(spark, block_words):
+    rng = random.Random(3)
+    items = [(i, prose(rng, rng.randrange(1, 9))) for i in range(12)] + [(12, None), (13, ""), (14, "A-B")]
+    texts = [None, "", "...", "ALPHA a b"] + [prose(rng, rng.randrange(60)) for _ in range(60)] + [prose(rng, 4) + " zzz " + items[0][1] + "!" + items[1][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(5))
+    got = decontaminate.contamination(docs(spark, texts), bench, window=4, block_words=block_words).collect()
+    for r in got:
+        n, hit, seen = hit_words(texts[r.doc_id], items, 4)
+        assert (r.n_words, r.n_hit, r.n_items, r["items"]) == (n, hit, len(seen), ",".join(seen))
+        assert r.items_sha256 == hashlib.sha256(",".join(seen).encode()).hexdigest() and r.contaminated == (hit > 0 and 20 * hit >= n)
+    kept = decontaminate.decontaminate(docs(spark, texts), bench, window=4)
+    assert kept.columns == docs(spark, texts).columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.contaminated}
+    assert decontaminate.contamination(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_longest_matches(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    got = decontaminate.longest(docs(spark, ["x b c d y", "c d e f"]), bench, at_least=3).collect()
+    assert {(r.item_word, r.n_words, r.doc_id, r.doc_word) for r in got} == {(1, 3, 0, 1), (2, 4, 1, 0), (3, 3, 1, 1)}
+
+
+# 3
+
+
+def test_languages(spark):
+    rng = random.Random(4)
+    en, de = ["the", "and", "with", "that", "there"], ["der", "und", "nicht", "schön", "straße"]
+    rows = [(i, " ".join(rng.choices((en, de)[i % 2], k=30)), ("en", "de")[i % 2], "s") for i in range(60)] + [(60, None, "en", "s"), (61, "123 !!", "de", "s"), (62, "und der", None, "s"), (None, "the and", "en", "s")]
+    d = make(spark, rows)
+    out = language.held_out()
+    got = {r.doc_id: r for r in language.identify(d, language.learn(d, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score").collect()}
+    assert all(got[i].lang_pred == ("en", "de")[i % 2] for i in range(60)) and all(0 <= r.score <= 1 for r in got.values())
+    assert got[60].lang_pred == got[61].lang_pred == "und" and got[62].lang_pred == "de" and got[None].lang_pred == "en"
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(63)) and got[None].held_out is False
+    nothing = language.learn(d.limit(0), F.lit(True))
+    assert {r.lang_pred for r in language.identify(d, nothing).collect()} == {"und"}
+
+
+def test_out_of_place_distance():
+    p = language.Profiles.of({"x": [1, 2, 3], "y": [3, 9, 1]}, 3)
+    assert p.distances(np.array([1, 2, 3])).tolist() == [0.0, (2 + 3 + 2) / 9]
+
+
+# 4
+
+
+def test_archives(spark, tmp_path):
+    big = "<p>" + "\r\n\r\nxé" * 900 + "</p>"
+    rows = [(1, "http://a/1", big), (2, "http://a/2 b\n", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", ""), (7, "u", big + "!"), (None, "u", big), (2, "u", big), (8, "u", "q" * 5000 + "\n" * 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"payload": F.lit(1), "_bytes": F.lit(2), "value": F.lit("v")})
+    path = str(tmp_path / "warc")
+    got = warc.archive_roundtrip(pages, path=path, chunk_bytes=1000).collect()
+    size = lambda t: len((t or "").encode())
+    sha = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    want = sorted((str(i), size(h), sha(h), "revisit" if i == 1 else "response", "2" if i == 1 else "None") for i, _, h in rows)
+    assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == want
+    chunks = warc.read(spark, path, chunk_bytes=700).where("record_type = 'response'").collect()
+    bodies = {}
+    for c in sorted(chunks, key=lambda c: (c.record_id, c.chunk_no)):
+        bodies.setdefault(c.record_id, []).append(c)
+    for i, _, h in rows:
+        if i in (3, 4, 5, 6, 7, 8):
+            own = bodies[f"<urn:page:{i}>"]
+            assert b"".join(bytes(c.data) for c in own) == (h or "").encode() and max(len(c.data) for c in own) <= 700
+            so_far = b""
+            for c in own:
+                so_far += bytes(c.data)
+                assert (c.bytes_so_far, c.sha1_so_far) == (len(so_far), hashlib.sha1(so_far).hexdigest())
+    assert warc.archive_roundtrip(pages.limit(0)).count() == 0
+
+
+def test_archives_are_warc(spark, tmp_path):
+    import gzip
+    import pathlib
+
+    path = tmp_path / "w"
+    warc.write(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string"), str(path))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in pathlib.Path(path).glob("part-*.gz"))
+    head, _, rest = data.partition(b"\r\n\r\n")
+    length = int(re.search(rb"Content-Length: (\d+)$", head)[1])
+    assert head.startswith(b"WARC/1.1\r\n") and rest[length:] == b"\r\n\r\n" and rest[:length].endswith(b"\r\n\r\nx")
+
+
+# 5
+
+
+def components(texts, words, percent):
+    sets = {}
+    for i, t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(sets)
+    for k, a in enumerate(keys):
+        for b in keys[:k]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def copies(rng):
+    texts = [None, "", " \n", "One two", "one TWO", "one two three", "é", "é"]
+    for n in (8, 30, 120, 400):
+        base = rng.choices(WORDS + [f"w{i}" for i in range(200)], k=n)
+        for k in range(14):
+            own = list(base)
+            for _ in range(k // 2):
+                own[rng.randrange(n)] = f"x{rng.randrange(999)}"
+            texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("words, percent, block", [(3, 85, 1024), (5, 80, 7)])
+def test_near_duplicates(spark, words, percent, block):
+    texts = copies(random.Random(words))
+    rows = [(i * 3, t, "en", "s") for i, t in enumerate(texts)]
+    got = near_dup.near_duplicates(make(spark, rows), words, percent, block_documents=block).collect()
+    want = components([(r[0], r[1]) for r in rows], words, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    d = make(spark, [(4, "a b c d", "en", "s"), (4, "a b c d", "en", "s"), (None, "a b c d", "en", "s"), (None, "q", "en", "s"), (9, "a b c d", "en", "s")])
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dup.near_duplicates(d, 3, 85).collect())
+    assert got == [("4", "4", True), ("4", "4", True), ("9", "4", False), ("None", "4", False), ("None", "None", True)]
+    assert near_dup.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_registers_estimate_similarity():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
+    b = np.concatenate((a[:2700], rng.integers(0, 2**63, 300, dtype=np.uint64)))
+    x, y = near_dup.registers([np.unique(a), np.unique(b)], 2048)
+    above, equal = int((x > y).sum()), int((x == y).sum())
+    grid = np.linspace(0.02, 0.99, 200)[:, None]
+    best = grid[near_dup.log_likelihood(np.array([above]), np.array([2048 - above - equal]), np.array([equal]), 3000.0, np.array([3000.0]), grid).argmax(0)[0], 0]
+    assert abs(best - 2700 / 3300) < 0.04
+    merged = near_dup.registers([np.unique(np.concatenate((a, b)))], 2048)[0]
+    assert (merged == np.maximum(x, y)).all()
+
+
+def test_connected(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.root for r in common.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got.get(x, x) == find(x) for x in list(root))
+
+
+# 6
+
+
+def packed_whole(rows, capacity):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(by)
+
+
+def test_packing(spark, library):
+    rng = random.Random(9)
+    texts = [None, "", "word " * 5000] + [prose(rng, rng.randrange(1, 900)) for _ in range(150)]
+    rows = packing.pack(docs(spark, texts).repartition(5), PATH, rounds=20).collect()
+    count = packed_whole(rows, 2048)
+    total = 0
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(texts):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        total += len(ids)
+        own, at = sorted(by[i], key=lambda r: r.piece), 0
+        assert [r.piece for r in own] == list(range(-(-len(ids) // 2048)))
+        for k, r in enumerate(own):
+            assert r.start == at and (r.length == 2048 or k == 0)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert count <= -(-total // 2048) * 1.1 + 1
+    assert packing.pack(docs(spark, texts).limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [[683, 684, 1025, 500, 341], list(range(1, 2049)), [1, 2048], [2000, 48]])
+def test_plans_are_whole(sizes):
+    rng = random.Random(len(sizes))
+    histogram = {s: rng.randrange(1, 400) for s in sizes}
+    made = packing.plan(histogram, rounds=15)
+    got = {}
+    for _, times, lengths in made.runs:
+        assert sum(lengths) <= 2048
+        for s in lengths:
+            got[s] = got.get(s, 0) + times
+    assert got == histogram and made.count >= sum(s * n for s, n in histogram.items()) / 2048
+
+
+def test_the_program_beats_best_fit_where_that_is_poor():
+    histogram = {683: 8000, 684: 8000, 1025: 8000, 500: 8000, 341: 8000}
+    assert packing.plan(histogram).count < sum(n for _, n in packing.best_fit(histogram, 2048))
+
+
+def test_knapsack_is_exact():
+    rng = random.Random(11)
+    for _ in range(30):
+        sizes, most = np.array(sorted(rng.sample(range(1, 15), 4))), np.array([rng.randrange(1, 4) for _ in range(4)])
+        value = np.array([rng.random() for _ in range(4)])
+        got = packing.knapsack(20, sizes, value, most)
+        best = max(sum(k * v for k, v in zip(ks, value)) for ks in np.ndindex(*(most + 1)) if sum(k * s for k, s in zip(ks, sizes)) <= 20)
+        assert sum(s * k for s, k in got.items()) <= 20 and sum(k * value[list(sizes).index(s)] for s, k in got.items()) == pytest.approx(best)
+
+
+# 7
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (2 if i % 2 else 1)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
+    ]
+    out = [(m.start(), k, name, m.end()) for k, (name, pattern, ok) in enumerate(kinds) for m in re.finditer(pattern, text) if ok(m.group())]
+    return ",".join(f"{name}:{s}:{e}" for s, _, name, e in sorted(out))
+
+
+def test_base_spans(spark):
+    rng = random.Random(12)
+    pool = ["a@b.c", "é", "\U0001f600", " ", "1.2.3.4", "256.1.1.1", "+1 (523) 555-1055", "4111 1111 1111 1111", "4111111111111111", "@", ".", "-", "9", "x_y@d.e", "+", "12", "0", "\n", "5555-5555-5555-4444", "a.b@c", "001.002.003.004"]
+    texts = [None, "", "a@b.co_x@d.e", "a@b.c@d.e", "1.2.3.4.5.6.7.8", "9" * 5000, "a" * 5000 + "@", "4111 1111 1111 1111 2"] + ["".join(rng.choices(pool, k=rng.randrange(30))) for _ in range(400)]
+    got = {r.doc_id: r for r in pii.report(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = base_spans(t or "")
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [len(re.findall(k, want)) for k in ("email", "ip", "card", "phone")]
+    assert pii.report(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_contexts_discover_identifiers(spark):
+    texts = [f"please write to my address: u{i}@mail.example now" for i in range(8)] + [f"please write to my address: ref-{i}77 now" for i in range(2)] + ["the year model-2024x was good", "the place b-12345 is fine"]
+    got = {r.doc_id: r.spans for r in pii.report(docs(spark, texts)).collect()}
+    assert got[8] == "id:28:34" or got[8].startswith("id:28:")
+    assert got[10] == got[11] == ""
+    redacted = {r.doc_id: r.text for r in pii.redact(docs(spark, texts)).collect()}
+    assert redacted[0] == "please write to my address: [EMAIL] now" and redacted[8] == "please write to my address: [ID] now" and redacted[10] == texts[10]
+
+
+def test_redaction_keeps_rows(spark):
+    d = make(spark, [(1, None, "en", "s"), (None, "a@b.c", "en", "s"), (2, "a@b.c é 1.2.3.4", "en", "s"), (2, "a@b.c é 1.2.3.4", "en", "s"), (2, "", "en", "s")])
+    got = pii.redact(d)
+    assert got.columns == d.columns and sorted(map(str, (r.text for r in got.collect()))) == sorted(["None", "[EMAIL]", "[EMAIL] é [IP]", "[EMAIL] é [IP]", ""])
+
+
+# 8
+
+
+def removed(rows, length):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        data = (t or "").encode()
+        gone = np.zeros(len(data), bool)
+        for s in range(len(data) - length + 1):
+            if data[s : s + length] in seen:
+                gone[s : s + length] = True
+            seen.add(data[s : s + length])
+        edges = np.diff(np.concatenate(([0], gone.astype(int), [0])))
+        out[i] = (len(data), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(bytes(b for b, g in zip(data, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_repeated_substrings(spark, hot):
+    rng = random.Random(13)
+    passage = prose(rng, 60)
+    texts = [None, "", "a" * 99, "a" * 400, "ab" * 300, passage, passage, prose(rng, 9) + passage[:250] + prose(rng, 9), "é" * 120]
+    for _ in range(60):
+        t = prose(rng, 40)
+        texts.append(t if rng.random() < 0.5 else t[:150] + passage[rng.randrange(100) :][: rng.randrange(90, 200)] + t[150:])
+    texts += [texts[20] + "!", "?" + texts[20], texts[21][:120] + texts[22][:130]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(docs(spark, texts).repartition(3), hot=hot).collect()}
+    assert got == removed(list(enumerate(texts)), 100)
+
+
+def test_repeated_rows_are_one_document(spark):
+    t = "x".join(map(str, range(100)))
+    got = [(r.doc_id, r.n_removed) for r in substrings.remove_repeats(make(spark, [(1, t, "en", "s"), (1, t, "en", "s"), (None, t, "en", "s")])).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, 0), (1, 0), (None, len(t))]))
+    assert substrings.remove_repeats(docs(spark, [t]).limit(0)).count() == 0
+
+
+def test_segments_of_a_long_text(monkeypatch):
+    rng = random.Random(14)
+    text = prose(rng, 3000).encode()
+    monkeypatch.setattr(substrings, "SEGMENT", 1000)
+    runs = substrings.Anchors().of([text], np.array([1]), np.array([2]))
+    places = sorted(p for r in runs for p in range(r["start"], r["start"] + r["count"]))
+    assert places == list(range(len(text) - 99))
+
+
+def test_refinement_is_equality():
+    raw = np.frombuffer(bytes(random.Random(15).choices(b"ab", k=600)), np.uint8)
+    for length in (8, 13, 100):
+        bucket = substrings.refine(raw, length)
+        n = len(raw) - length + 1
+        strings = [raw[i : i + length].tobytes() for i in range(n)]
+        assert len({(b, s) for b, s in zip(bucket[:n].tolist(), strings)}) == len(set(strings)) == len(set(bucket[:n].tolist()))
+
+
+# 9
+
+
+def test_fingerprints(spark):
+    rng = random.Random(16)
+    texts = [None, "", "one", "é\U0001f600 x"] + [prose(rng, rng.randrange(5, 300)) for _ in range(60)]
+    texts[30] = texts[31]
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        t, nxt = t or "", texts[(i + 1) % len(texts)] or ""
+        cut = len(t) // 4
+        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()
+        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[30].fingerprint == got[31].fingerprint and got[30].near_next == 1
+    assert np.mean([got[i].near_edited for i in range(10, 64)]) > 0.5
+    assert fingerprint.edited_fingerprints(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_next_documents_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
+    rng = random.Random(17)
+    ids = rng.sample(range(-1000, 1000), 150) + [None]
+    d = make(spark, [(i, f"t{i}", "en", "s") for i in ids]).select("doc_id", "text")
+    order = sorted(ids, key=lambda i: -(1 << 63) if i is None else i)
+    want = {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+    assert {r.doc_id: r.next_text for r in fingerprint.with_next(d, "doc_id", ["text"]).collect()} == want
+
+
+def test_sketches_merge(spark):
+    w = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(w[:250], w[246:], w)], "a array<string>, b array<string>, c array<string>")
+    r = df.select(*[fingerprint.sketch(F.col(c)).alias(c) for c in "abc"]).first()
+    assert sorted(set(r.a) | set(r.b)) == r.c and 0.15 < len(r.c) / 396 < 0.35
+
+
+# 10
+
+
+def test_toxicity(spark):
+    rng = random.Random(18)
+    bad = ["Idiot", "moron!", "scum,", "idiots"]
+    rows, labels = [], []
+    for i in range(900):
+        own, toxic = rng.choices(WORDS, k=30), i % 6 == 0
+        if toxic:
+            own[3] = own[17] = rng.choice(bad)
+        rows.append((i, " ".join(own), "en", "s"))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    d = make(spark, rows + [(900, None, "en", "s"), (901, "", "en", "s"), (None, "moron idiot", "en", "s")])
+    marks = spark.createDataFrame(labels + [(None, 1, 1), (900, 1, None)], "doc_id long, quality int, toxic int")
+    out = toxicity.held_out("doc_id", 3, 1)
+    model = toxicity.learn(d, marks, ~out)
+    got = {r.doc_id: r for r in toxicity.score(d, model).select("doc_id", out.alias("held_out"), "score", "predicted").collect()}
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(got[i].held_out == (i in set(held)) for i in range(900))
+    assert np.mean([got[i].predicted for i in held if i % 6 == 0]) > 0.95 and np.mean([got[i].predicted for i in held if i % 6]) < 0.05
+    assert got[900].score == got[901].score and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
+    nothing = toxicity.learn(d, marks.limit(0), ~out)
+    assert toxicity.score(d, nothing).where("predicted = 1").count() == 0
+
+
+def test_word_hashes_of_long_texts(monkeypatch):
+    rng = random.Random(19)
+    text = prose(rng, 4000).encode()
+    whole = common.WordHasher(common.SPACED_WORDS).texts([text, b"", text[:100]])
+    monkeypatch.setattr(common, "SLICE_BYTES", 1000)
+    cut = common.WordHasher(common.SPACED_WORDS).texts([text, b"", text[:100]])
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert len(set(whole[0].tolist())) == len(set(text.split()) | set(text[:100].split()))
+
+
+def test_vocabulary_file_is_what_ranks_say():
+    """The two files of one vocabulary agree, as their description says."""
+    import json
+
+    with open(PATH) as f:
+        model = json.load(f)["model"]
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = [base64.b64decode(line.split()[0]) for line in f]
+    assert len(ranks) == 50_256 and len(model["vocab"]) >= len(ranks)
