@@ -451,11 +451,11 @@ def _(spark, sf):
     return G.same_as_pairs(x).select(F.col("from_entity").alias("a"), F.col("to_entity").alias("b"))
 
 
-@query("st_supersede", "SELECT id, CASE WHEN is_latest AND id % 5 = 0 THEN 'superseded' ELSE status END AS status, is_latest AND id % 5 <> 0 AS is_latest, CASE WHEN is_latest AND id % 5 = 0 THEN id + 1000000 ELSE superseded_by END AS superseded_by FROM order_facts", "order_facts")
+@query("st_supersede", "SELECT id, CASE WHEN is_latest AND id % 5 = 0 THEN 'superseded' ELSE status END AS status, is_latest AND id % 5 <> 0 AS is_latest, coalesce(CASE WHEN is_latest AND id % 5 = 0 THEN id + 1000000 ELSE superseded_by END, -1) AS superseded_by FROM order_facts", "order_facts")
 def _(spark, sf):
     o = A.order_facts(spark, sf)
     pairs = o.where("is_latest and id % 5 = 0").select(F.col("id").alias("old_id"), (F.col("id") + 1_000_000).alias("new_id"))
-    return K.supersede(o, pairs, A.now()).select("id", "status", "is_latest", "superseded_by")
+    return K.supersede(o, pairs, A.now()).select("id", "status", "is_latest", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"))
 
 
 @query("st_insert_fact", "SELECT conv_id * 100 + turn AS id, 0.7 AS confidence, CASE WHEN turn = 0 THEN 0.9 ELSE 0.5 END AS importance, 'active' AS status FROM conversations")
@@ -588,10 +588,10 @@ def _(spark, sf):
     return A.session_facts(spark, sf).select("id", C.classified(F.col("content"), F.col("domain_hint"), [C.Domain("timing", ("than", "thre"))]).alias("domain"))
 
 
-@query("co_reconcile", f", held AS (SELECT domain, {NORM.format('content')} AS key, min(id) AS existing_id FROM facts WHERE {CURRENT} GROUP BY 1, 2) SELECT d.doc_id AS id, CASE WHEN h.existing_id IS NOT NULL THEN 'noop' ELSE 'add' END AS action, h.existing_id FROM documents d LEFT JOIN held h ON h.domain = d.lang AND h.key = {NORM.format('d.text')}".lstrip(), "facts")
+@query("co_reconcile", f", held AS (SELECT domain, {NORM.format('content')} AS key, min(id) AS existing_id FROM facts WHERE {CURRENT} GROUP BY 1, 2) SELECT d.doc_id AS id, CASE WHEN h.existing_id IS NOT NULL THEN 'noop' ELSE 'add' END AS action, coalesce(h.existing_id, -1) AS existing_id FROM documents d LEFT JOIN held h ON h.domain = d.lang AND h.key = {NORM.format('d.text')}".lstrip(), "facts")
 def _(spark, sf):
     new = T(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("lang").alias("domain"))
-    return C.reconciled(new, A.facts(spark, sf), A.now()).select("id", "action", "existing_id")
+    return C.reconciled(new, A.facts(spark, sf), A.now()).select("id", "action", F.coalesce("existing_id", F.lit(-1)).alias("existing_id"))
 
 
 @query("co_accept", r"""SELECT item_id, CASE WHEN item_id % 4 = 0 THEN false WHEN item_id % 3 <> 0 THEN true WHEN item_id % 4 = 1 THEN true ELSE regexp_matches(text, '(?i)\b(not|no longer|don''t|doesn''t|stopped|quit|now prefer|instead)\b') END AS accepted FROM benchmark""")

@@ -182,10 +182,10 @@ def _(spark, sf):
     return R.related(e, A.facts(spark, sf), A.now()).select("id", F.round("score", 5).alias("score"))
 
 
-@query("se_attach", f"{_HYBRID} SELECT t.query_id, t.id, l.quality FROM top t LEFT JOIN labels l ON l.doc_id = t.id".lstrip(), "facts")
+@query("se_attach", f"{_HYBRID} SELECT t.query_id, t.id, coalesce(l.quality, -1) AS quality FROM top t LEFT JOIN labels l ON l.doc_id = t.id".lstrip(), "facts")
 def _(spark, sf):
     labels = A.table(spark, sf, "labels").select(F.col("doc_id").alias("id"), "quality")
-    return _hybrid(spark, sf).select("query_id", "id").join(labels, "id", "left")
+    return _hybrid(spark, sf).select("query_id", "id").join(labels, "id", "left").withColumn("quality", F.coalesce("quality", F.lit(-1)))
 
 
 @query("se_asof", f", {_FACTS_BM} SELECT query_id, bm.id, round(score, 5) AS score FROM bm JOIN facts f ON f.id = bm.id WHERE f.created_at <= TIMESTAMP '2024-01-01 08:00:00' AND (f.system_retired_at IS NULL OR f.system_retired_at > TIMESTAMP '2024-01-01 08:00:00')".lstrip(), "facts")

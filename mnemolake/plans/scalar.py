@@ -299,10 +299,10 @@ def _(spark, sf):
     return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.size_bytes(F.concat(F.col("l_linenumber").cast("string"), F.lit("GB"))).alias("bytes"))
 
 
-@query("fn_tokens_cnt", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber AS BIGINT) * 1000000 END AS tokens FROM lineitem")
+@query("fn_tokens_cnt", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber AS BIGINT) * 1000000 ELSE -1 END AS tokens FROM lineitem")
 def _(spark, sf):
     unit = F.when(F.col("l_linenumber") % 2 == 0, "M").otherwise("MB")
-    return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", X.token_count(F.concat(F.col("l_linenumber").cast("string"), unit)).alias("tokens"))
+    return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.coalesce(X.token_count(F.concat(F.col("l_linenumber").cast("string"), unit)), F.lit(-1)).alias("tokens"))
 
 
 @query("fn_stage_alias", "SELECT id, CASE WHEN stage = 'stage-O' THEN 'O' ELSE 'F' END AS stage FROM runs", "runs")
