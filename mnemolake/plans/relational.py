@@ -301,12 +301,12 @@ def _(spark, sf):
 
 
 _FIRST = "said AS (SELECT s.id AS session_fact_id, e.id AS event_id, e.sequence, e.role, e.content, s.content AS fact, contains(e.content, s.content) AS holds FROM session_facts s JOIN session_events e ON e.conversation = s.conversation), p AS (SELECT session_fact_id, min_by(event_id, sequence) AS pid, min(sequence) AS pseq, min_by(role, sequence) AS prole FROM said WHERE holds GROUP BY session_fact_id)"
-_SF = ", session_facts_c AS (SELECT conv_id * 100 + turn AS id, substr(text, 1, 12) AS content, CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id AS VARCHAR) ELSE 'm' || conv_id END AS conversation FROM conversations WHERE role = 'user'), "
+_SF = ", session_facts_c AS (SELECT conv_id * 100 + turn AS id, substr(text, 1, 3) AS content, CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id AS VARCHAR) ELSE 'm' || conv_id END AS conversation FROM conversations WHERE role = 'user'), "
 
 
 def _provenance(spark, sf):
     e = events(spark, sf)
-    f = e.where("role = 'user'").select(F.col("sequence").alias("id"), "conversation", F.substring("content", 1, 12).alias("content"))
+    f = e.where("role = 'user'").select(F.col("sequence").alias("id"), "conversation", F.substring("content", 1, 3).alias("content"))
     return L.provenance(f, e)
 
 

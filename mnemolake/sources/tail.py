@@ -61,7 +61,7 @@ class TailReader(SimpleDataSourceStreamReader):
             if stop is not None:
                 lines = lines[: stop["files"][path][1] - line]
             rows += [(path, line + i + 1, x) for i, x in enumerate(lines)]
-            files[path] = (end, line + len(lines), fingerprint(path, end)) if end else (0, 0, "")
+            files[path] = [end, line + len(lines), fingerprint(path, end)] if end else [0, 0, ""]  # as JSON gives them back
         return rows, {"files": files}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:

@@ -20,7 +20,7 @@ def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Files are read whole (no split), so a line's number is its place in its file's rows.
     """
-    raw = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = raw.select("path", F.posexplode(F.split("value", "\n")).alias("at", "value"))
     return lines.where(trimmed(F.col("value")) != "").select("path", (F.col("at") + 1).cast("long").alias("line"), "value")
 
