@@ -60,9 +60,9 @@ def _(spark, sf):
     return Q.events(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 3").select("conversation", "id")
 
 
-@query("in_substr", "SELECT 'i' || b.item_id AS entity_id, CAST(count(*) AS BIGINT) AS total FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 12))) GROUP BY b.item_id")
+@query("in_substr", "SELECT 'i' || b.item_id AS entity_id, CAST(count(*) AS BIGINT) AS total FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id")
 def _(spark, sf):
-    names = T(spark, sf, "benchmark").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), F.substring("text", 1, 12).alias("name"))
+    names = T(spark, sf, "benchmark").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("name"))
     docs = T(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("sequence"), F.col("text").alias("content"))
     return L.names_in_text(names, docs, keep=1).select("entity_id", "total")
 
@@ -91,8 +91,8 @@ _OVERLAP = Q._SUP.split("SELECT new_id, old_id, round")[0].replace("WHERE simila
 @query("co_overlap", _OVERLAP)
 def _(spark, sf):
     b = T(spark, sf, "benchmark")
-    a = b.where("item_id % 2 = 0").select(F.col("item_id").alias("new_id"), F.concat(F.lit("not "), F.col("text")).alias("c")).withColumn("w", X.content_tokens(F.col("c")))
-    o = b.select((F.col("item_id") + 1).alias("old_id"), F.substring("text", 1, 60).alias("oc")).withColumn("v", X.content_tokens(F.col("oc")))
+    a = b.select(F.col("item_id").alias("new_id"), F.concat(F.lit("not "), F.col("text")).alias("c")).withColumn("w", X.content_tokens(F.col("c")))
+    o = b.select((F.col("item_id") + 1).alias("old_id"), F.concat(F.col("text"), F.lit(" indeed")).alias("oc")).withColumn("v", X.content_tokens(F.col("oc")))
     met = a.select("new_id", F.explode("w").alias("t")).join(o.select("old_id", F.explode("v").alias("t")), "t").select("new_id", "old_id").distinct()
     pairs = met.join(a, "new_id").join(o, "old_id").where("lower(c) <> lower(oc) and new_id % 3 <> old_id % 3").withColumn("similarity", X.jaccard(F.col("w"), F.col("v"))).where("similarity >= 0.3")
     return K.first_of(pairs, ["new_id"], [F.desc("similarity"), F.col("old_id")]).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"))

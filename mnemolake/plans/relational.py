@@ -39,9 +39,9 @@ def _(spark, sf):
     return A.order_facts(spark, sf).join(links, F.col("id") == F.col("fact_id")).select("id", "entity_id")
 
 
-@query("jn_entities_for", "SELECT fe.fact_id, string_agg(e.name, '|' ORDER BY e.name, e.id) AS names FROM fact_entities fe JOIN entities e ON e.id = fe.entity_id WHERE fe.fact_id % 7 = 0 GROUP BY fe.fact_id", "fact_entities", "entities")
+@query("jn_entities_for", "SELECT fe.fact_id, string_agg(e.name, '|' ORDER BY e.name, e.id) AS names FROM fact_entities fe JOIN entities e ON e.id = fe.entity_id GROUP BY fe.fact_id", "fact_entities", "entities")
 def _(spark, sf):
-    links = A.fact_entities(spark, sf).where("fact_id % 7 = 0")
+    links = A.fact_entities(spark, sf)
     named = links.join(A.entities(spark, sf).select(F.col("id").alias("entity_id"), "name"), "entity_id")
     rows = F.array_sort(F.collect_list(F.struct("name", "entity_id")))
     return named.groupBy("fact_id").agg(F.concat_ws("|", F.transform(rows, lambda x: x["name"])).alias("names"))
@@ -86,10 +86,10 @@ def _(spark, sf):
     return x.where("from_entity = 'part:7'").union(x.where("to_entity = 'part:7'")).distinct().select("from_entity", "to_entity", F.round("strength", 6).alias("strength"))
 
 
-@query("jn_hop1", """, centers AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey <= 5), ends AS (SELECT from_entity AS center, to_entity AS neighbour, strength FROM entity_edges WHERE from_entity IN (SELECT id FROM centers) UNION ALL SELECT to_entity, from_entity, strength FROM entity_edges WHERE to_entity IN (SELECT id FROM centers)),
+@query("jn_hop1", """, centers AS (SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey % 20 = 0), ends AS (SELECT from_entity AS center, to_entity AS neighbour, strength FROM entity_edges WHERE from_entity IN (SELECT id FROM centers) UNION ALL SELECT to_entity, from_entity, strength FROM entity_edges WHERE to_entity IN (SELECT id FROM centers)),
     r AS (SELECT center, neighbour, max(strength) AS strength, row_number() OVER (PARTITION BY center ORDER BY max(strength) DESC, neighbour) AS place FROM ends WHERE neighbour NOT IN (SELECT id FROM centers) GROUP BY center, neighbour) SELECT center, neighbour, round(strength, 6) AS strength, place FROM r WHERE place <= 10""".lstrip(), "entity_edges")
 def _(spark, sf):
-    centers = T(spark, sf, "part").where("p_partkey <= 5").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
+    centers = T(spark, sf, "part").where("p_partkey % 20 = 0").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
     return G.neighbours(A.entity_edges(spark, sf), centers).withColumn("strength", F.round("strength", 6))
 
 
@@ -105,17 +105,17 @@ def _(spark, sf):
     return A.order_facts(spark, sf).where("superseded_by is not null").groupBy(F.col("superseded_by").alias("fact_id")).agg(F.concat_ws(",", F.transform(rows, lambda x: x["id"].cast("string"))).alias("decisions"))
 
 
-@query("jn_relations_or", "SELECT DISTINCT id AS fact_id, superseded_by AS related_fact_id FROM order_facts WHERE superseded_by IS NOT NULL AND (id % 10 = 0 OR superseded_by % 10 = 0)", "order_facts")
+@query("jn_relations_or", "SELECT DISTINCT id AS fact_id, superseded_by AS related_fact_id FROM order_facts WHERE superseded_by IS NOT NULL AND (domain = 'P' OR superseded_by IN (SELECT id FROM order_facts WHERE domain = 'P'))", "order_facts")
 def _(spark, sf):
     o = A.order_facts(spark, sf)
     rel = o.where("superseded_by is not null").select(F.col("id").alias("fact_id"), F.col("superseded_by").alias("related_fact_id"))
-    return K.relations_of(rel, o.where("id % 10 = 0").select("id"))
+    return K.relations_of(rel, o.where("domain = 'P'").select("id"))
 
 
-@query("jn_window_rng", "SELECT h.id AS hit, e.id FROM session_events h JOIN session_events e ON e.conversation = h.conversation AND e.sequence BETWEEN h.sequence - 2 AND h.sequence + 2 WHERE length(h.content) % 10 = 0", "session_events")
+@query("jn_window_rng", "SELECT h.id AS hit, e.id FROM session_events h JOIN session_events e ON e.conversation = h.conversation AND e.sequence BETWEEN h.sequence - 2 AND h.sequence + 2 WHERE contains(h.content, 'than')", "session_events")
 def _(spark, sf):
     e = events(spark, sf)
-    h = e.where(F.length("content") % 10 == 0).select("conversation", F.col("id").alias("hit"), F.col("sequence").alias("at"))
+    h = e.where(F.contains("content", F.lit("than"))).select("conversation", F.col("id").alias("hit"), F.col("sequence").alias("at"))
     return e.join(h, "conversation").where(F.col("sequence").between(F.col("at") - 2, F.col("at") + 2)).select("hit", "id")
 
 
@@ -130,9 +130,9 @@ def _(spark, sf):
     return L.within(e, e.where("role = 'system'").select("id"))
 
 
-@query("jn_name_in_text", "SELECT 'item:' || b.item_id AS entity_id, d.doc_id::VARCHAR AS event_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 20)))")
+@query("jn_name_in_text", "SELECT 'item:' || b.item_id AS entity_id, d.doc_id::VARCHAR AS event_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def _(spark, sf):
-    names = T(spark, sf, "benchmark").select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("id"), F.substring("text", 1, 20).alias("name"))
+    names = T(spark, sf, "benchmark").select(F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("name"))
     docs = T(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("sequence"), F.col("text").alias("content"))
     return L.names_in_text(names, docs, keep=1 << 40).select("entity_id", "event_id")
 
@@ -301,12 +301,12 @@ def _(spark, sf):
 
 
 _FIRST = "said AS (SELECT s.id AS session_fact_id, e.id AS event_id, e.sequence, e.role, e.content, s.content AS fact, contains(e.content, s.content) AS holds FROM session_facts s JOIN session_events e ON e.conversation = s.conversation), p AS (SELECT session_fact_id, min_by(event_id, sequence) AS pid, min(sequence) AS pseq, min_by(role, sequence) AS prole FROM said WHERE holds GROUP BY session_fact_id)"
-_SF = ", session_facts_c AS (SELECT conv_id * 100 + turn AS id, substr(text, 1, 3) AS content, CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id AS VARCHAR) ELSE 'm' || conv_id END AS conversation FROM conversations WHERE role = 'user'), "
+_SF = ", session_facts_c AS (SELECT conv_id * 100 + turn AS id, regexp_extract(text, '([^ ]+)$', 1) AS content, CASE WHEN conv_id % 5 <> 0 THEN CAST(conv_id AS VARCHAR) ELSE 'm' || conv_id END AS conversation FROM conversations WHERE role = 'user'), "
 
 
 def _provenance(spark, sf):
     e = events(spark, sf)
-    f = e.where("role = 'user'").select(F.col("sequence").alias("id"), "conversation", F.substring("content", 1, 3).alias("content"))
+    f = e.where("role = 'user'").select(F.col("sequence").alias("id"), "conversation", F.regexp_extract("content", "([^ ]+)$", 1).alias("content"))
     return L.provenance(f, e)
 
 
@@ -440,9 +440,9 @@ def _(spark, sf):
     return e.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("event_id"))
 
 
-@query("src_insert_event", "SELECT event_id, 1000 + row_number() OVER (ORDER BY event_id) AS sequence FROM events WHERE event_id < 500")
+@query("src_insert_event", "SELECT event_id, 1000 + row_number() OVER (ORDER BY event_id) AS sequence FROM events")
 def _(spark, sf):
-    return T(spark, sf, "events").where("event_id < 500").select("event_id", (F.lit(1000) + F.row_number().over(Window.orderBy("event_id"))).cast("long").alias("sequence"))
+    return L.numbered(T(spark, sf, "events").select("event_id"), "event_id", after=1000)
 
 
 @query("st_same_as", "SELECT DISTINCT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b FROM lineitem WHERE l_partkey <> l_suppkey")
@@ -464,7 +464,7 @@ def _(spark, sf):
     return K.with_defaults(c, A.now()).select("id", "confidence", "importance", "status")
 
 
-_TWIN_SQL = f""", k AS (SELECT s.id, s.source_origin, s.created_at, CASE WHEN s.id % 3 = 0 THEN 'alpha' WHEN s.id % 3 = 1 THEN 'beta' END AS project, {NORM.format('substr(s.content, 1, 3)')} AS key FROM session_facts s),
+_TWIN_SQL = f""", k AS (SELECT s.id, s.source_origin, s.created_at, CASE WHEN s.id % 3 = 0 THEN 'alpha' WHEN s.id % 3 = 1 THEN 'beta' END AS project, {NORM.format("regexp_extract(s.content, '([^ ]+)$', 1)")} AS key FROM session_facts s),
     t AS (SELECT *, row_number() OVER w AS n, first_value(id) OVER w AS winner, first_value(project) OVER w AS wp FROM k WINDOW w AS (PARTITION BY key ORDER BY CASE WHEN source_origin = 'explicit' THEN 0 ELSE 1 END, created_at, id))
     SELECT id, winner, CASE WHEN n = 1 THEN 'stays' WHEN project IS NOT NULL AND wp IS NOT NULL AND project <> wp THEN 'corroborates' ELSE 'rejected' END AS fate FROM t"""
 
@@ -472,7 +472,7 @@ _TWIN_SQL = f""", k AS (SELECT s.id, s.source_origin, s.created_at, CASE WHEN s.
 @query("st_twins", _TWIN_SQL.lstrip(), "session_facts")
 def _(spark, sf):
     project = F.when(F.col("id") % 3 == 0, "alpha").when(F.col("id") % 3 == 1, "beta")
-    s = A.session_facts(spark, sf).withColumn("project", project).withColumn("content", F.substring("content", 1, 3))
+    s = A.session_facts(spark, sf).withColumn("project", project).withColumn("content", F.regexp_extract("content", "([^ ]+)$", 1))
     return C.twins(s).select("id", "winner", "fate")
 
 
@@ -520,9 +520,9 @@ def _(spark, sf):
     return i.join(A.facts(spark, sf).select("id"), "id", "left_semi").groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("evidence"))
 
 
-@query("xs_fact_sources", "SELECT event_id FROM fact_sources WHERE session_fact_id % 2 = 0", "fact_sources")
+@query("xs_fact_sources", "SELECT session_fact_id, event_id FROM fact_sources", "fact_sources")
 def _(spark, sf):
-    return A.fact_sources(spark, sf).where("session_fact_id % 2 = 0").select("event_id")
+    return A.fact_sources(spark, sf).select("session_fact_id", "event_id")
 
 
 @query("xs_decisions", "SELECT superseded_by AS fact_id, count(*) AS n, min(id) AS first FROM order_facts WHERE superseded_by IS NOT NULL GROUP BY 1", "order_facts")
@@ -603,7 +603,7 @@ def _(spark, sf):
 
 _STOPS = ", ".join("'" + w + "'" for w in X.STOP_WORDS)
 _TOK = rf"list_distinct(list_filter(string_split_regex(lower({{0}}), '[ \t\n\r\f]+'), lambda w: w <> '' AND NOT list_contains([{_STOPS}], w)))"
-_SUP = f"""WITH n AS (SELECT item_id AS new_id, 'not ' || text AS c, {_TOK.format("('not ' || text)")} AS w FROM benchmark WHERE item_id % 2 = 0), o AS (SELECT item_id AS old_id, substr(text, 1, 60) AS c, {_TOK.format('substr(text, 1, 60)')} AS w FROM benchmark),
+_SUP = f"""WITH n AS (SELECT item_id AS new_id, 'not ' || text AS c, {_TOK.format("('not ' || text)")} AS w FROM benchmark), o AS (SELECT item_id AS old_id, text || ' indeed' AS c, {_TOK.format("(text || ' indeed')")} AS w FROM benchmark),
     p AS (SELECT new_id, old_id, len(list_intersect(n.w, o.w)) / CAST(len(list_distinct(list_concat(n.w, o.w))) AS DOUBLE) AS similarity FROM n, o WHERE lower(n.c) <> lower(o.c)), b AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, old_id) AS k FROM p WHERE similarity >= 0.3)
     SELECT new_id, old_id, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY old_id ORDER BY new_id) = 1 AS accepted FROM b WHERE k = 1"""
 
@@ -612,8 +612,8 @@ _SUP = f"""WITH n AS (SELECT item_id AS new_id, 'not ' || text AS c, {_TOK.forma
 def _(spark, sf):
     b = T(spark, sf, "benchmark")
     none = F.lit(None).cast("string")
-    new = b.where("item_id % 2 = 0").select(F.col("item_id").alias("id"), F.col("item_id").alias("position"), F.concat(F.lit("not "), F.col("text")).alias("content"), F.lit("d").alias("domain"), none.alias("project"))
-    old = b.select(F.col("item_id").alias("id"), F.substring("text", 1, 60).alias("content"), F.lit("d").alias("domain"), none.alias("project"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("active").alias("status"), F.lit(True).alias("is_latest"), F.lit(None).cast("timestamp").alias("valid_until"))
+    new = b.select(F.col("item_id").alias("id"), F.col("item_id").alias("position"), F.concat(F.lit("not "), F.col("text")).alias("content"), F.lit("d").alias("domain"), none.alias("project"))
+    old = b.select(F.col("item_id").alias("id"), F.concat(F.col("text"), F.lit(" indeed")).alias("content"), F.lit("d").alias("domain"), none.alias("project"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("active").alias("status"), F.lit(True).alias("is_latest"), F.lit(None).cast("timestamp").alias("valid_until"))
     return C.supersessions(new, old, A.now()).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"), "accepted")
 
 

@@ -264,10 +264,10 @@ def _(spark, sf):
     return A.table(spark, sf, "events").select("event_id", X.tool_name(raw).alias("tool"))
 
 
-@query("src_user_query", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) ELSE text END AS spoken FROM conversations WHERE conv_id < 40")
+@query("src_user_query", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim(text) ELSE text END AS spoken FROM conversations")
 def _(spark, sf):
     raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("x <user_query> "), F.col("text"), F.lit(" </user_query> y"))).otherwise(F.col("text"))
-    return A.table(spark, sf, "conversations").where("conv_id < 40").select("conv_id", "turn", X.spoken_text(raw).alias("spoken"))
+    return A.table(spark, sf, "conversations").select("conv_id", "turn", X.spoken_text(raw).alias("spoken"))
 
 
 @query("src_looks_json", "SELECT event_id, event_id % 2 = 0 AS json FROM events")
