@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time; one longer text is taken in segments.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _POWER_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -148,6 +149,17 @@ ALNUM_WORDS = byte_class(lambda i: i >= 0x80 or chr(i).isdigit() or chr(i).islow
 SPACED_WORDS = byte_class(lambda i: i != 0x20 and not 0x09 <= i <= 0x0D)
 
 
+@cache
+def alnum_hasher() -> WordHasher:
+    """One for each process: its tables of powers are kept."""
+    return WordHasher(ALNUM_WORDS)
+
+
+@cache
+def spaced_hasher() -> WordHasher:
+    return WordHasher(SPACED_WORDS)
+
+
 def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, root), root the smallest node of its component.
 

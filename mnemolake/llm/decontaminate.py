@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import ALNUM_WORDS, WordHasher
+from mnemolake.llm.common import alnum_hasher
 from mnemolake.llm.tokens import map_texts
 
 WINDOW = 13
@@ -45,7 +45,7 @@ class Block:
 
     @classmethod
     def of(cls, items: list[tuple[str, bytes]]) -> Block:
-        hashes, start = WordHasher(ALNUM_WORDS).texts([t for _, t in items])
+        hashes, start = alnum_hasher().texts([t for _, t in items])
         vocabulary, one, ids = np.unique(hashes, return_index=True, return_inverse=True)
         flat = [w for _, t in items for w in words(t)]
         spelled = [flat[i] for i in one]
@@ -225,7 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     keep = [id_col, *(carry or [])]
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        hashes, first = WordHasher(ALNUM_WORDS).texts(texts)
+        hashes, first = alnum_hasher().texts(texts)
         hit = np.zeros(len(hashes), bool)
         items: list[set[str]] = [set() for _ in texts]
         for shared in blocks:
@@ -271,7 +271,7 @@ def longest(docs: DataFrame, benchmark: DataFrame, at_least: int = WINDOW, id_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        hashes, first = WordHasher(ALNUM_WORDS).texts(texts)
+        hashes, first = alnum_hasher().texts(texts)
         rows: Iterator | list = []
         for shared in blocks:
             block = shared.value

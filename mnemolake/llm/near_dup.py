@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import SPACED_WORDS, WordHasher, connected, mix, slices, written
+from mnemolake.llm.common import WordHasher, connected, mix, slices, spaced_hasher, written
 from mnemolake.llm.tokens import map_texts
 
 WORDS, PERCENT = 5, 80
@@ -166,7 +166,7 @@ def sketched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: s
     count, rows = banding(percent)
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        sets = shingles(WordHasher(SPACED_WORDS), texts, words)
+        sets = shingles(spaced_hasher(), texts, words)
         full = [i for i, s in enumerate(sets) if len(s)]
         buckets = np.zeros((len(sets), count), np.int64)
         if full:
@@ -182,7 +182,7 @@ def _verify(words: int, percent: int):
     """Tasks over rows (task, side, node, text), sorted by task, to tree edges (a, b)."""
 
     def edges(group: list[tuple]) -> list[tuple[int, int]]:
-        sets = shingles(WordHasher(SPACED_WORDS), [g[3] or b"" for g in group], words)
+        sets = shingles(spaced_hasher(), [g[3] or b"" for g in group], words)
         keep = [i for i, s in enumerate(sets) if len(s)]
         if len(keep) < 2:
             return []

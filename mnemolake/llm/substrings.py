@@ -33,8 +33,8 @@ LENGTH, GRAM = 100, 32
 #: Bytes of the Bloom filter of repeated q-grams, whatever the input; and of text in a bucket of the shuffles.
 BLOOM_BYTES, BUCKET_TEXT = 1 << 25, 16 << 20
 #: Anchors that a task holds before it settles and hands on; runs in a bucket from which its windows are dealt singly.
-HOLD, HOT = 1 << 20, 2000
-SEGMENT = 1 << 21
+HOLD, HOT = 1 << 18, 2000
+SEGMENT = 1 << 20
 _BLOOM_HASHES = 3
 
 #: A run: q-gram hash, hash of all its bytes, document (id, hash of its text), first window, number of windows.

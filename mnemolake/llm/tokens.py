@@ -29,7 +29,7 @@ CHUNK_CHARS, OVERLAP_CHARS = 65_536, 512
 #: A vocabulary is broadcast; a file above this is refused.
 VOCABULARY_BYTES = 64 << 20
 #: A worker remembers pre-tokens in a table of 2 ** SLOT_BITS places, and about POOL ids of theirs.
-SLOT_BITS, POOL = 21, 1 << 23
+SLOT_BITS, POOL = 20, 1 << 22
 #: The pattern that byte-level pre-tokenization stands for, and its contractions.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -236,17 +236,21 @@ def share_vocabulary(spark, path: str):
 
 
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, keep: list[str], text_col: str) -> DataFrame:
-    """``work`` on slices of rows: the columns ``keep`` and the UTF-8 text (null: empty), in bounded portions."""
+    """``work`` on slices of rows: the columns ``keep`` and the UTF-8 text (null: empty), in bounded portions.
+
+    The text is sent once, also where it is among ``keep``.
+    """
+    at = keep.index(text_col) if text_col in keep and df.schema[text_col].dataType.simpleString() == "string" else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(len(keep))
+            text = batch.column(at).cast(pa.binary())
             sizes = [x.as_py() or 0 for x in pc.binary_length(text)]
             for a, b in slices(sizes):
-                part = batch.slice(a, b - a)
-                yield work(part, [x or b"" for x in part.column(len(keep)).to_pylist()])
+                yield work(batch.slice(a, b - a), [x or b"" for x in text.slice(a, b - a).to_pylist()])
 
-    return df.select(*[F.col(c) for c in keep], F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, schema)
+    own = [F.col(c) for c in keep]
+    return df.select(*(own if at < len(keep) else [*own, F.col(text_col).cast("binary").alias("_text")])).mapInArrow(run, schema)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:

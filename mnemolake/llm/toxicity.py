@@ -12,6 +12,7 @@ hash of the id). Features are words and stems that a share of ``min_share`` of t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,12 @@ class Features(WordHasher):
         return hashes, first * 3
 
 
+@cache
+def features() -> Features:
+    """One for each process."""
+    return Features(LETTER_WORDS)
+
+
 @dataclass
 class Model:
     """Weights of words by hash (sorted), and the bias."""
@@ -120,7 +127,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, count: int, most: int)
     some = docs.where(hashed < int((1 << 30) * min(1.0, 0.9 * most / max(1, count)))) if count > most else docs
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        hashes, first = Features(LETTER_WORDS).texts(texts)
+        hashes, first = features().texts(texts)
         each = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first, first[1:])]
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(each, pa.binary())], names=[id_col, "words"])
 
@@ -148,7 +155,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
-        hashes, first = Features(LETTER_WORDS).texts(texts)
+        hashes, first = features().texts(texts)
         s = shared.value.scores(hashes, first)
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= at_least).astype(np.int32))], names=[id_col, "score", "predicted"])
 
