@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import slices, written
+from mnemolake.llm.common import slices, trim, written
 from mnemolake.llm.tokens import share_vocabulary, worker_encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -202,6 +202,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_
                         seen[y - x] += 1
                 at, piece, start, length, crc, nth = (np.array(c, np.int64) for c in zip(*rows))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(at)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(at), task, np.int32)), pa.array(nth)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+        trim()
 
     return docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, PIECES.format(kind=kind))
 
@@ -223,9 +224,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     made = plan(histogram, capacity, rounds)
     ranges = spark.sparkContext.broadcast(made.ranges())
-    # Where each task's ranks of a length begin: few rows, one for each task and length.
+    # Where each task's ranks of a length begin: one row for each task and length, which grow with the tasks, so no broadcast.
     begins = counts.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).alias("begin"))
-    placed = pieces.join(begins, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.coalesce("begin", F.lit(0))).alias("rank"))
+    placed = pieces.join(begins.hint("merge"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.coalesce("begin", F.lit(0))).alias("rank"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import mix, slices
+from mnemolake.llm.common import mix, slices, trim
 
 CHUNK_CHARS, OVERLAP_CHARS = 65_536, 512
 #: A vocabulary is broadcast; a file above this is refused.
@@ -248,6 +248,7 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.Re
             sizes = [x.as_py() or 0 for x in pc.binary_length(text)]
             for a, b in slices(sizes):
                 yield work(batch.slice(a, b - a), [x or b"" for x in text.slice(a, b - a).to_pylist()])
+        trim()
 
     own = [F.col(c) for c in keep]
     return df.select(*(own if at < len(keep) else [*own, F.col(text_col).cast("binary").alias("_text")])).mapInArrow(run, schema)
