@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import _POWER_BASE, mix, slices, written
+from mnemolake.llm.common import _POWER_BASE, mix, slices, trim, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of the Bloom filter of repeated q-grams, whatever the input; and of text in a bucket of the shuffles.
 BLOOM_BYTES, BUCKET_TEXT = 1 << 25, 16 << 20
 #: Anchors that a task holds before it settles and hands on; runs in a bucket from which its windows are dealt singly.
-HOLD, HOT = 1 << 18, 2000
+HOLD, HOT = 1 << 20, 2000
 SEGMENT = 1 << 20
 _BLOOM_HASHES = 3
 
@@ -242,6 +242,8 @@ def _filter_rows(anchors: Anchors, buckets: int):
                 held, count = [], 0
         if count:
             yield flush()
+        held.clear()
+        trim()
 
     return run
 
@@ -303,6 +305,8 @@ def _run_rows(anchors: Anchors, shared, buckets: int):
                 held, count = [], 0
         if count:
             yield flush()
+        held.clear()
+        trim()
 
     return run
 
@@ -367,6 +371,7 @@ def _piece_rows(anchors: Anchors, buckets: int):
                     keys, held, bodies, size = [], [], [], 0
         if held:
             yield flush()
+        trim()
 
     return run
 
