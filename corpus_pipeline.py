@@ -11,20 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A document is rejected whose n-grams are out of place by more than this share of the largest distance, for every language.
+#: A document is rejected whose n-grams are out of place by more than those of labelled documents of its length; by more
+#: than this share of the largest distance in any case.
 FARTHEST = 0.85
 VOCABULARY = "byte_bpe_50k.json"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language: rejected are those without letters or far from every profile."""
+    """Keeps documents in a learned language: rejected are those without letters or farther from every profile than labelled ones."""
     from mnemolake.llm import language
 
     own = docs.select(*COLUMNS)
-    profiles = language.learn(own, F.lit(True))
+    profiles = language.learn_limited(own, F.lit(True), FARTHEST)
     got = language.identify(own, profiles, carry=COLUMNS[1:], text_col="text")
-    return got.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("distance") <= FARTHEST)).select(*COLUMNS)
+    return got.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,10 @@ from mnemolake.llm.tokens import map_texts
 
 PROFILE, MAX_DOCUMENTS, MAX_LANGUAGES = 400, 3000, 500
 UNKNOWN = "und"
+#: How far a document may be from its profile: this quantile of the distances of labelled documents and a margin. Groups
+#: of fewer documents than FEWEST have no quantile of their own.
+QUANTILE, MARGIN, FEWEST = 0.999, 0.08, 30
+CLASSES = 24
 #: Characters of a huge text that are counted at a time; the counts are added up.
 SEGMENT = 1 << 20
 _BITS = np.int64(21)
@@ -86,6 +90,11 @@ def ranked(codes: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:size]]
 
 
+def length_class(codes: np.ndarray) -> int:
+    """Texts of like length: the power of two of their distinct n-grams, of which short texts' distances depend."""
+    return min(CLASSES, len(codes).bit_length()) - 1
+
+
 @dataclass
 class Profiles:
     """Languages, all n-grams of their profiles (sorted), and each one's rank in each profile (its length: absent)."""
@@ -94,6 +103,8 @@ class Profiles:
     codes: np.ndarray
     ranks: np.ndarray
     size: int
+    #: The largest distance by language and class of length, where documents are rejected by it.
+    limits: np.ndarray | None = None
 
     @classmethod
     def of(cls, lists: dict[str, list[int]], size: int) -> Profiles:
@@ -114,30 +125,73 @@ class Profiles:
         return gap.sum(1) / (self.size * max(1, len(own)))
 
     def predict(self, text: str) -> tuple[str, float, float]:
-        """Language, score and distance; UNKNOWN, 0 and 1 for a text without letters or where nothing was learnt."""
+        """Language, score and distance; UNKNOWN, 0 and 1 for a text without letters or where nothing was learnt.
+
+        A text beyond its limit is UNKNOWN with score 0, too.
+        """
         codes, counts = grams(text)
         if not len(codes) or not self.names:
             return UNKNOWN, 0.0, 1.0
         distance = self.distances(ranked(codes, counts, self.size))
         best = int(distance.argmin())
+        if self.limits is not None and distance[best] > self.limits[best, length_class(codes)]:
+            return UNKNOWN, 0.0, float(distance[best])
         return self.names[best], float(1 / np.exp((distance[best] - distance) * 40).sum()), float(distance[best])
 
 
-def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, max_documents: int = MAX_DOCUMENTS) -> Profiles:
-    """Profiles of the languages that rows with ``train`` and a non-null language have (at most MAX_LANGUAGES)."""
+def sample(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_documents: int = MAX_DOCUMENTS) -> DataFrame | None:
+    """Rows (lang, text): about ``max_documents`` of each language (at most MAX_LANGUAGES) of the rows with ``train``."""
     own = docs.where(train & F.col(lang_col).isNotNull())
     sizes = {r[0]: r[1] for r in own.groupBy(F.col(lang_col).cast("string")).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
-        return Profiles.of({}, size)
+        return None
     share = F.lit(0)
     for name, n in sizes.items():
         share = F.when(F.col(lang_col).cast("string") == name, math.ceil((1 << 30) * min(1.0, max_documents / n))).otherwise(share)
     # Rows without an id have no hash of their own: the text's stands in.
     chosen = own.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 30)) < share)
-    rows = chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    return chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+
 
+def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, max_documents: int = MAX_DOCUMENTS) -> Profiles:
+    """Profiles of the languages that rows with ``train`` and a non-null language have (at most MAX_LANGUAGES)."""
+    rows = sample(docs, train, id_col, text_col, lang_col, max_documents)
+    return Profiles.of({}, size) if rows is None else _profiles(rows, size)
+
+
+def learn_limited(docs: DataFrame, train: Column, farthest: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, max_documents: int = MAX_DOCUMENTS) -> Profiles:
+    """Profiles with limits: how far the labelled documents (the same sample) are from their nearest profile.
+
+    A limit is a quantile of these distances and a margin, by language and class of length; where a language has too
+    few documents of a class, that of the class in all languages, or that of all, or ``farthest`` (the most in any case).
+    """
+    rows = sample(docs, train, id_col, text_col, lang_col, max_documents)
+    if rows is None:
+        return Profiles.of({}, size)
+    made = _profiles(rows, size)
+    shared = docs.sparkSession.sparkContext.broadcast(made)
+
+    def measure(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        out = []
+        for text in texts:
+            codes, counts = grams(text.decode("utf-8", "replace"))
+            if len(codes):
+                distance = shared.value.distances(ranked(codes, counts, size))
+                out.append((int(distance.argmin()), length_class(codes), float(distance.min())))
+        best, class_, distance = zip(*out) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(best, pa.int32()), pa.array(class_, pa.int32()), pa.array(distance, pa.float64())], names=["best", "class", "distance"])
+
+    far = map_texts(rows, measure, "best int, class int, distance double", ["lang"], "text")
+    found = far.rollup("class", "best").agg(F.count("*").alias("n"), F.percentile_approx("distance", QUANTILE).alias("far")).where(F.col("n") >= FEWEST)
+    by = {(r["class"], r["best"]): min(farthest, r["far"] + MARGIN) for r in found.collect()}
+    all_ = by.get((None, None), farthest)
+    made.limits = np.array([[by.get((c, i), by.get((c, None), all_)) for c in range(CLASSES)] for i in range(len(made.names))])
+    return made
+
+
+def _profiles(rows: DataFrame, size: int) -> Profiles:
     def count(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         by: dict[str, list[str]] = {}
         for lang, text in zip(part.column(0).to_pylist(), texts):

@@ -32,3 +32,19 @@ def test_stages(spark, tmp_path):
     assert kept["decontamination"] == everything - {20, 21, 22, 23, 24}
     assert kept["personal_data"] == kept["packing"] == kept["decontamination"]
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == 21
+
+
+def test_gibberish_and_foreign_languages_go(spark):
+    """sf0.1 has labelled documents in four languages; Latin gibberish, Polish and Italian are none of them."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    rng = random.Random(2)
+    noise = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9))) for _ in range(n))
+    polish = "wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa"
+    italian = "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza"
+    labelled = spark.read.parquet(path).select(*corpus_pipeline.COLUMNS)
+    added = spark.createDataFrame([(-i, t, None, "s") for i, t in enumerate([noise(20), noise(200), noise(2000), polish, italian], 1)], "doc_id long, text string, lang string, source string")
+    docs = labelled.unionByName(added.withColumn("n_chars", F.length("text").cast(labelled.schema["n_chars"].dataType)))
+    gone = docs.select("doc_id", "text").exceptAll(corpus_pipeline.language_id(spark, docs, "").select("doc_id", "text")).collect()
+    assert {r.doc_id for r in gone if any(c.isalpha() for c in r.text or "")} == {-1, -2, -3, -4, -5}
