@@ -2,9 +2,9 @@
 
 The program's variables are configurations (multisets of lengths that fit a sequence); each length must be covered as
 often as it occurs. Multiplicative weights raise the price of lengths that are covered least, and a bounded knapsack
-by dynamic programming finds the configuration worth most at the present prices. The fractional solution is rounded
-down, and what is left is placed best fit, longest first. All of this sees only the
-histogram (at most ``capacity`` numbers), whatever the number of documents.
+by dynamic programming finds the configurations worth most at the present prices, which are taken in whole amounts, until
+they cover all but a small share of the tokens. What is left is placed best fit, longest first. All of this sees only
+the histogram (at most ``capacity`` numbers), whatever the number of documents.
 
 Pieces find their places without a global sort: a piece's rank among those of its length is its rank in its task plus
 the counts of earlier tasks, and the plan maps ranges of ranks to sequences.
@@ -29,61 +29,93 @@ from mnemolake.llm.tokens import share_vocabulary, worker_encoder
 CAPACITY, END_ID = 2048, 0
 #: Rounds of multiplicative weights, and the step.
 ROUNDS, STEP = 120, 0.5
-#: Shares of the fractional solution that are tried in rounding.
-SHARES = (1.0, 0.9, 0.6, 0.3)
+#: A configuration is taken whose worth is within this share of the best one's; the program stops when this share of the
+#: tokens is left; large lengths are worth more than in proportion, by this power.
+NEAR, TOLERANCE, LARGE = 0.005, 0.005, 0.05
 
 
-def knapsack(capacity: int, sizes: np.ndarray, value: np.ndarray, most: np.ndarray) -> dict[int, int]:
-    """The multiset of ``sizes`` (each at most ``most`` times) within ``capacity`` of greatest value, by exact DP.
+def _table(capacity: int, sizes: np.ndarray, value: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """The exact DP of a bounded knapsack: the greatest value within each room, and how it comes about.
 
-    Multiplicities are split in powers of two, so that each copy count up to ``most`` is reachable.
+    Multiplicities are split in powers of two, so that each copy count up to ``most`` is reachable: ``items`` has
+    (index of the size, copies). ``last[i, c]`` is the last of the first i items that room c takes, or -1.
     """
-    best = np.zeros(capacity + 1)
-    takes: list[tuple[int, int, np.ndarray]] = []
-    for s, v, m in zip(sizes.tolist(), value.tolist(), np.minimum(most, capacity // sizes).tolist()):
+    items: list[tuple[int, int]] = []
+    for i, m in enumerate(np.minimum(most, capacity // sizes).tolist()):
         k = 1
         while m > 0:
             k = min(k, m)
-            w = s * k
-            better = best[: capacity + 1 - w] + v * k > best[w:] + 1e-12
-            best[w:] = np.where(better, best[: capacity + 1 - w] + v * k, best[w:])
-            takes.append((s, k, better))
+            items.append((i, k))
             m, k = m - k, 2 * k
-    out: dict[int, int] = {}
-    at = int(best.argmax())
-    for s, k, better in reversed(takes):
-        if at >= s * k and better[at - s * k]:
-            out[s] = out.get(s, 0) + k
-            at -= s * k
+    best = np.zeros(capacity + 1)
+    last = np.full((len(items) + 1, capacity + 1), -1, np.int16 if len(items) < 1 << 15 else np.int32)
+    for j, (i, k) in enumerate(items):
+        w, v = int(sizes[i]) * k, float(value[i]) * k
+        with_ = best[: capacity + 1 - w] + v
+        better = with_ > best[w:] + 1e-12
+        last[j + 1] = last[j]
+        last[j + 1, w:][better] = j
+        np.copyto(best[w:], with_, where=better)
+    return best, items, last
+
+
+def _trace(rooms: np.ndarray, sizes: np.ndarray, items: list[tuple[int, int]], last: np.ndarray) -> list[dict[int, int]]:
+    """For each room the multiset {index: copies} of greatest value."""
+    index, copies = (np.array(x, np.int64) for x in zip(*items)) if items else (np.zeros(0, np.int64),) * 2
+    out: list[dict[int, int]] = [{} for _ in rooms]
+    room, upto, at = rooms.astype(np.int64), np.full(len(rooms), len(items)), np.arange(len(rooms))
+    while len(at):
+        j = last[upto, room].astype(np.int64)
+        on = j >= 0
+        j, room, at = j[on], room[on], at[on]
+        for n, i, k in zip(at.tolist(), index[j].tolist(), copies[j].tolist()):
+            out[n][i] = out[n].get(i, 0) + k
+        room, upto = room - sizes[index[j]] * copies[j], j
     return out
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """Configurations and amounts that cover (nearly) ``counts``, by multiplicative weights."""
-    need = counts.astype(float)
-    covered, weight = np.zeros(len(sizes)), np.ones(len(sizes))
-    total = max(1.0, float((sizes * counts).sum()) / capacity)
-    found: list[tuple[dict[int, int], float]] = []
-    where = {int(s): i for i, s in enumerate(sizes)}
-    for r in range(rounds):
+def knapsack(capacity: int, sizes: np.ndarray, value: np.ndarray, most: np.ndarray) -> dict[int, int]:
+    """The multiset of ``sizes`` (each at most ``most`` times) within ``capacity`` of greatest value."""
+    best, items, last = _table(capacity, sizes, value, most)
+    return {int(sizes[i]): k for i, k in _trace(np.array([best.argmax()]), sizes, items, last)[0].items()}
+
+
+def covering(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """Configurations and whole amounts that cover all but TOLERANCE of ``counts``, by multiplicative weights.
+
+    A round prices all lengths by one knapsack table. From it come, for each length, the best configuration with it;
+    those within NEAR of the best of all are taken, in whole amounts, so that no length is covered by more than its part of
+    the round. After ``rounds`` the parts are all that is left, so each further round halves what some length has left.
+    """
+    need, left = counts.astype(float), counts.astype(np.int64).copy()
+    rest = TOLERANCE * float((sizes * counts).sum())
+    found: dict[tuple, int] = {}
+    r = 0
+    while float((sizes * left).sum()) > rest:
+        own = np.flatnonzero(left)
         # What a unit of a length is worth: its size, raised by how far its covering lags behind.
-        price = sizes * weight
-        config = knapsack(capacity, sizes, price, np.minimum(counts, capacity))
-        if not config:
-            break
-        take = np.zeros(len(sizes))
-        for s, k in config.items():
-            take[where[s]] = k
-        used = take > 0
-        # As much of it as its scarcest length allows, in shares of the whole.
-        amount = min(float((need[used] / take[used]).min()), 4 * total / rounds)
-        found.append((config, amount))
-        covered += amount * take
-        weight *= np.exp(-STEP * np.minimum(1.0, amount * take / need) * 4)
-        weight /= weight.max()
-    # Where a length is covered beyond its need, all configurations with it shrink alike.
-    over = np.maximum(1.0, covered / need)
-    return [(c, a / max(over[where[s]] for s in c)) for c, a in found]
+        lag = left[own] / need[own]
+        price = sizes[own] * np.exp(STEP * (lag - lag.max())) * (sizes[own] / capacity) ** LARGE
+        best, items, last = _table(capacity, sizes[own], price, left[own])
+        worth = price + best[capacity - sizes[own]]
+        order = np.argsort(-worth, kind="stable")
+        order = order[worth[order] >= (1 - NEAR) * worth[order[0]]]
+        part = -(-left[own] // max(1, rounds - r))
+        taken = np.zeros(len(own), np.int64)
+        for n, config in zip(order.tolist(), _trace(capacity - sizes[own][order], sizes[own], items, last)):
+            config[n] = min(config.get(n, 0) + 1, int(left[own[n]]))
+            times = min(int(part[i] - taken[i]) // k for i, k in config.items())
+            if not times and not taken.any():
+                times = 1
+            if times <= 0:
+                continue
+            for i, k in config.items():
+                taken[i] += k * times
+            key = tuple(sorted((int(sizes[own[i]]), k) for i, k in config.items()))
+            found[key] = found.get(key, 0) + times
+        left[own] -= taken
+        r += 1
+    return [(dict(key), times) for key, times in found.items()]
 
 
 @dataclass
@@ -115,35 +147,29 @@ class Plan:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> Plan:
     """Pack ``histogram`` (length: count; lengths from 1 to ``capacity``).
 
-    The fractional solution is rounded down at each of the shares SHARES of itself, the rest is placed best fit, and
-    the rounding with the fewest sequences is taken.
+    The program covers all but TOLERANCE of the tokens in whole amounts; the rest is placed best fit, into what room these leave and
+    new sequences.
     """
-    need = {int(s): int(n) for s, n in histogram.items() if n > 0}
-    full = need.pop(capacity, 0)
-    sizes = np.array(sorted(need, reverse=True), np.int64)
-    counts = np.array([need[int(s)] for s in sizes], np.int64)
-    amounts = fractional(sizes, counts, capacity, rounds) if len(sizes) else []
-    best = None
-    for share in SHARES:
-        out, left = Plan(capacity), dict(need)
-        if full:
-            out.add({capacity: 1}, full)
-        for config, amount in amounts:
-            times = min([int(amount * share), *(left[s] // k for s, k in config.items())])
-            out.add(config, times)
-            for s, k in config.items():
-                left[s] -= k * times
-        for config, times in best_fit(left, capacity):
-            out.add(config, times)
-        if best is None or out.count < best.count:
-            best = out
-    return best
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Longest first, each into the fullest sequences with room for it; equal sequences are handled as one."""
+    left = {int(s): int(n) for s, n in histogram.items() if n > 0}
+    out = Plan(capacity)
+    if full := left.pop(capacity, 0):
+        out.add({capacity: 1}, full)
+    sizes = np.array(sorted(left, reverse=True), np.int64)
+    made = covering(sizes, np.array([left[int(s)] for s in sizes], np.int64), capacity, rounds)
+    for config, times in made:
+        for s, k in config.items():
+            left[s] -= k * times
+    for config, times in best_fit(left, capacity, made):
+        out.add(config, times)
+    return out
+
+
+def best_fit(counts: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] | None = None) -> list[tuple[dict[int, int], int]]:
+    """Longest first, each into the fullest sequences with room for it (of ``begun``, too); equal ones are handled as one."""
     open_: dict[int, list[tuple[dict[int, int], int]]] = {}  # room: sequences that have it
     rooms: list[int] = []
+    for config, times in begun or []:
+        _open(open_, rooms, capacity - sum(s * k for s, k in config.items()), config, times)
     for s in sorted(counts, reverse=True):
         n = counts[s]
         while n > 0:

@@ -316,6 +316,21 @@ def test_the_program_beats_best_fit_where_that_is_poor():
     assert packing.plan(histogram).count < sum(n for _, n in packing.best_fit(histogram, 2048))
 
 
+@pytest.mark.parametrize("times", [1, 300])
+def test_the_program_covers_the_histogram(times):
+    rng = random.Random(10)
+    counts = {s: times * rng.randrange(1, 11) for s in range(2047, 0, -1)}
+    made, got = packing.covering(np.array(list(counts)), np.array(list(counts.values())), 2048), {}
+    for config, n in made:
+        assert n >= 1 and sum(s * k for s, k in config.items()) <= 2048
+        for s, k in config.items():
+            got[s] = got.get(s, 0) + k * n
+    assert all(got.get(s, 0) <= n for s, n in counts.items())
+    total = sum(s * n for s, n in counts.items())
+    assert sum(s * n for s, n in got.items()) >= 0.995 * total and sum(got.values()) >= 0.95 * sum(counts.values())
+    assert packing.plan(counts).count <= 1.01 * total / 2048 + 1
+
+
 def test_knapsack_is_exact():
     rng = random.Random(11)
     for _ in range(30):
