@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction, in DataFrame functions alone.
 
 One pass over the texts finds the entities of the fixed patterns (seeds) and other identifier-like tokens
-(candidates), each with its lexical pattern: the words right before it. The edges between patterns and instances form
-a graph that is scored in rounds: a pattern by the mean score of its instances, an instance by its best pattern, seeds
-always by 1. Patterns of high confidence and enough distinct seeds then discover the candidates beside them.
+(candidates), each with its lexical patterns: the word and the two words right before it. The edges between patterns and
+instances form a graph that is scored in rounds: a pattern by the mean score of its instances, an instance by its best
+pattern, seeds always by 1. Instances that a round accepts count as seeds in the next, so each round reaches a context
+further. Patterns of high confidence and enough distinct seeds then discover the candidates beside them.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.llm.common import written
 
-#: Rounds of scoring; distinct seed instances and the confidence that a pattern needs.
+#: Rounds of scoring; distinct seed or accepted instances and the confidence that a pattern needs.
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.6
 #: Code points before an entity in which its pattern is looked for.
 CONTEXT = 48
@@ -34,6 +35,8 @@ KINDS: tuple[tuple[str, str, str, str | None], ...] = (
 CANDIDATE = r"(?<![\p{L}\p{N}_.@+-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,}+"
 #: The last one or two words before an entity, with what follows them.
 LEFT = r"((?:\p{L}++[^\p{L}\p{N}]++)?\p{L}++[^\p{L}\p{N}]*+)$"
+#: The last one of these words.
+LAST = r"(?<!\p{L})(\p{L}++[^\p{L}\p{N}]*+)$"
 
 
 def spans(text: Column, found: Column, pattern: str, kind: str, order: int) -> Column:
@@ -83,22 +86,28 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "sha", "base", free.alias("candidates"))
 
 
+def contexts(left: Column) -> Column:
+    """The patterns of an entity: its words before it, two (where there are) and one."""
+    return F.array_distinct(F.array(left, F.regexp_extract(left, LAST, 1)))
+
+
 def confident_patterns(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Patterns (left, confidence) that seeds support, by scoring the graph of patterns and instances in rounds.
+    """Patterns (left, confidence) that seeds or accepted instances support, by scoring the whole graph in rounds.
 
-    Edges are distinct, so a passage that many documents share counts once.
+    Edges are distinct, so a passage that many documents share counts once. An instance is accepted that a pattern with
+    enough seeds and confidence is beside; only such patterns lend it their confidence as a score.
     """
-    seeds = scanned.select(F.explode("base").alias("x")).select("x.left", F.sha2("x.value", 256).alias("instance"), F.lit(1).alias("seed")).where("left <> ''")
-    others = scanned.select(F.explode("candidates").alias("x")).select("x.left", F.sha2("x.value", 256).alias("instance"), F.lit(0).alias("seed"))
-    # Patterns without seeds beside them can't become confident: they are left out before scoring.
-    edges = seeds.union(others).groupBy("left", "instance").agg(F.max("seed").alias("seed"))
-    support = edges.groupBy("left").agg(F.sum("seed").alias("seeds"))
-    edges = written(edges.join(support.where(F.col("seeds") >= min_seeds).select("left", "seeds"), "left"), "pattern-edges")
-    score = edges.select("instance", F.col("seed").cast("double").alias("score")).groupBy("instance").agg(F.max("score").alias("score"))
+    each = lambda name, seed: scanned.select(F.explode(name).alias("x")).where("x.left <> ''").select(F.explode(contexts(F.col("x.left"))).alias("left"), F.sha2("x.value", 256).alias("instance"), F.lit(seed).alias("seed"))
+    edges = each("base", 1).union(each("candidates", 0)).groupBy("left", "instance").agg(F.max("seed").alias("seed"))
+    edges = written(edges, "pattern-edges")
+    score = edges.where("seed = 1").select("instance", F.lit(1.0).alias("score")).distinct()
     for _ in range(rounds):
-        patterns = edges.join(score, "instance").groupBy("left").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"))
-        score = edges.join(patterns, "left").groupBy("instance").agg(F.max(F.greatest(F.col("seed").cast("double"), "confidence")).alias("score"))
-    return patterns.where(F.col("confidence") >= min_confidence)
+        # Instances without a score count in the mean, as 0.
+        known = edges.join(score.hint("merge"), "instance", "left")
+        patterns = known.groupBy("left").agg((F.coalesce(F.sum("score"), F.lit(0.0)) / (F.count("*") + 1)).alias("confidence"), F.count("score").alias("support"))
+        patterns = written(patterns.where((F.col("support") >= min_seeds) & (F.col("confidence") >= min_confidence)).select("left", "confidence"), "patterns")
+        score = edges.join(patterns.hint("merge"), "left", "left").groupBy("instance").agg(F.max(F.when(F.col("seed") == 1, 1.0).otherwise(F.col("confidence"))).alias("score")).where("score IS NOT NULL")
+    return patterns
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -109,7 +118,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     """
     scanned = written(scan(docs, id_col, text_col), "pii")
     patterns = confident_patterns(scanned, rounds, min_seeds, min_confidence).select("left")
-    extra = scanned.select("doc_id", "sha", F.explode("candidates").alias("x")).withColumn("left", F.col("x.left")).join(patterns, "left")
+    extra = scanned.select("doc_id", "sha", F.explode("candidates").alias("x")).withColumn("left", F.explode(contexts(F.col("x.left")))).join(patterns, "left")
     extra = extra.groupBy("doc_id", "sha").agg(F.array_sort(F.collect_set("x")).alias("found")).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), "found")
     joined = scanned.join(extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
     return joined.select(F.col("doc_id").alias(id_col), "sha", "base", F.coalesce("found", F.array().cast(joined.schema["found"].dataType)).alias("found"))

@@ -385,6 +385,21 @@ def test_contexts_discover_identifiers(spark):
     assert redacted[0] == "please write to my address: [EMAIL] now" and redacted[8] == "please write to my address: [ID] now" and redacted[10] == texts[10]
 
 
+def test_discovered_identifiers_seed_further_contexts(spark):
+    """Ten identifiers found beside 'write to address' make 'parcel label' confident, which finds two that are only there."""
+    first = [f"please write to address: u{i}@mail.example now" for i in range(60)] + [f"please write to address: ref-{i}77 now" for i in range(10)]
+    second = [f"the parcel label: ref-{i}77 now" for i in range(10)] + [f"the parcel label: new-{i}99 now" for i in range(2)]
+    got = {r.doc_id: r for r in pii.report(docs(spark, first + second)).collect()}
+    assert all(got[i].n_found == 1 for i in range(60, 82))
+
+
+def test_one_word_contexts(spark):
+    """The two words differ everywhere; the last one is the same."""
+    texts = [f"{w} address: u{i}@mail.example now" for i, w in enumerate(WORDS[:8])] + ["quite another address: ref-177 now"]
+    got = {r.doc_id: r for r in pii.report(docs(spark, texts)).collect()}
+    assert got[8].spans == "id:23:30"
+
+
 def test_redaction_keeps_rows(spark):
     d = make(spark, [(1, None, "en", "s"), (None, "a@b.c", "en", "s"), (2, "a@b.c é 1.2.3.4", "en", "s"), (2, "a@b.c é 1.2.3.4", "en", "s"), (2, "", "en", "s")])
     got = pii.redact(d)
