@@ -1,29 +1,51 @@
 """Document fingerprints: threshold-scaled sketches, in DataFrame functions alone.
 
-Of the hashes of all 5-word shingles those below a fixed fraction of the range are kept, so the sketch of a union is
-the union of sketches (mergeable), and the part of a small document that a large one contains shows in the share of
-the small sketch that the large one has.
+Of the hashes of all 5-word shingles those below a fixed fraction of the range are kept, and the smallest LEAST in any
+case, so every text with words has a sketch. The sketch of a union is what this rule keeps of the union of sketches
+(mergeable), and the part of a small document that a large one contains shows in the share of the small sketch that the
+large one has. Sketches that reach differently far are compared as far as both do. A sketch of fewer than LEAST hashes is
+the whole set of a short text; it is compared with all hashes of the other text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = 5
 #: One hash in so many is kept.
 SCALE = 4
+#: So many of the smallest hashes are kept in any case.
+LEAST = 16
 #: Ranges of ids in which a next document is looked up; each has about so many rows, as long as MOST_RANGES allow.
 RANGE_ROWS, MOST_RANGES = 2500, 2500
 _LOWEST = -(1 << 63)
 
 
-def sketch(words: Column, shingle: int = WORDS, scale: int = SCALE) -> Column:
-    """The sorted kept hashes of an array of words; fewer words than ``shingle`` are one shingle, no words none."""
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``x``, which is evaluated once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def hashes(words: Column, shingle: int = WORDS) -> Column:
+    """The hashes of all shingles of an array of words; fewer words than ``shingle`` are one shingle, no words none."""
     at = lambda i: [F.get(words, i + k) for k in range(shingle)]
     many = F.transform(F.sequence(F.lit(0), F.size(words) - shingle), lambda i: F.xxhash64(*at(i)))
-    hashes = F.when(F.size(words) >= shingle, many).when(F.size(words) > 0, F.array(F.xxhash64(F.concat_ws(" ", words)))).otherwise(F.array().cast("array<long>"))
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < _LOWEST + (1 << 64) // scale)))
+    return F.when(F.size(words) >= shingle, many).when(F.size(words) > 0, F.array(F.xxhash64(F.concat_ws(" ", words)))).otherwise(F.array().cast("array<long>"))
+
+
+def keep(every: Column, scale: int = SCALE, least: int = LEAST) -> Column:
+    """Of hashes, sorted and distinct: those below the fraction, or the ``least`` smallest if these are more."""
+    set_ = lambda x: F.sort_array(F.array_distinct(x))
+    low = lambda e: set_(F.filter(e, lambda h: h < _LOWEST + (1 << 64) // scale))
+    return _let(every, lambda e: _let(low(e), lambda l: F.when(F.size(l) >= least, l).otherwise(F.slice(set_(e), 1, least))))
+
+
+def sketch(words: Column, shingle: int = WORDS, scale: int = SCALE) -> Column:
+    """The sorted kept hashes of an array of words; never empty where there are words."""
+    return keep(hashes(words, shingle), scale)
 
 
 def text_words(text: Column) -> Column:
@@ -31,10 +53,24 @@ def text_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The share of the smaller sketch that the other has; 1 if both are empty, 0 if one is."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).cast("double")
+def _share(a: Column, b: Column) -> Column:
+    """The share of the smaller set that the other has; 1 if both are empty, 0 if one is."""
+    least = lambda x, y: F.least(F.size(x), F.size(y))
+    share = lambda x, y: F.when(least(x, y) > 0, F.size(F.array_intersect(x, y)) / least(x, y)).otherwise(F.when(F.size(x) == F.size(y), 1.0).otherwise(0.0)).cast("double")
+    return _let(a, lambda x: _let(b, lambda y: share(x, y)))
+
+
+def containment(a: Column, b: Column, text_a: Column, text_b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
+    """The share of the smaller sketch that the other has, as far as both reach; 1 if neither text has words, 0 if one has.
+
+    Where a sketch is the whole set of its text, its share of all hashes of the other text is exact.
+    """
+    whole = lambda kept, text: F.when(F.size(kept) < least, kept).otherwise(_let(text_words(text), lambda w: F.array_distinct(hashes(w))))
+    # A sketch reaches to the fraction, or to its last hash if that is beyond.
+    reach = lambda kept: F.greatest(F.element_at(kept, -1), F.lit(_LOWEST + (1 << 64) // scale - 1))
+    upto = lambda kept, most: F.filter(kept, lambda h: h <= most)
+    exact = (F.size(a) < least) | (F.size(b) < least)
+    return F.when(exact, _share(whole(a, text_a), whole(b, text_b))).otherwise(_let(F.least(reach(a), reach(b)), lambda most: _share(upto(a, most), upto(b, most))))
 
 
 def spelled(kept: Column) -> Column:
@@ -94,6 +130,6 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     paired = with_next(own, id_col, ["text", "kept"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    edited = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))).select(id_col, n.cast("long").alias("n_chars"), "edited", "kept", "next_kept")
-    worded = edited.withColumn("words", text_words(F.col("edited"))).select(id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "kept", "next_kept", sketch(F.col("words")).alias("edited_kept"))
-    return worded.select(id_col, "n_chars", "edited_sha256", spelled(F.col("kept")).alias("fingerprint"), spelled(F.col("edited_kept")).alias("edited_fingerprint"), containment(F.col("kept"), F.col("edited_kept")).alias("near_edited"), containment(F.col("kept"), F.col("next_kept")).alias("near_next"))
+    edited = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))).select(id_col, n.cast("long").alias("n_chars"), "text", "next_text", "edited", "kept", "next_kept")
+    worded = edited.withColumn("words", text_words(F.col("edited"))).select(id_col, "n_chars", "text", "next_text", "edited", F.sha2("edited", 256).alias("edited_sha256"), "kept", "next_kept", sketch(F.col("words")).alias("edited_kept"))
+    return worded.select(id_col, "n_chars", "edited_sha256", spelled(F.col("kept")).alias("fingerprint"), spelled(F.col("edited_kept")).alias("edited_fingerprint"), containment(F.col("kept"), F.col("edited_kept"), F.col("text"), F.col("edited")).alias("near_edited"), containment(F.col("kept"), F.col("next_kept"), F.col("text"), F.col("next_text")).alias("near_next"))

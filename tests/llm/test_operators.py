@@ -479,6 +479,25 @@ def test_fingerprints(spark):
     assert fingerprint.edited_fingerprints(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_short_texts_have_fingerprints(spark):
+    texts = [" ".join(f"{i}w{k}" for k in range(1 + i % 19)) for i in range(190)] + ["", " \n"]
+    long_ = [f"l{k}" for k in range(300)]
+    texts += [" ".join(long_[20:28]), " ".join(long_), " ".join(long_[100:118])]
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(docs(spark, texts)).collect()}
+    assert all(len(got[i].fingerprint) == 16 * min(16, max(1, 1 + i % 19 - 4)) for i in range(190)) and len({got[i].fingerprint for i in range(190)}) == 190
+    assert all(got[i].near_next == 0 for i in range(190))
+    assert got[190].fingerprint == "" and got[190].near_next == 1
+    assert got[192].near_next == got[193].near_next == 1
+
+
+def test_short_sketches_merge(spark):
+    w = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(w[:12], w[8:30], w[:30])], "a array<string>, b array<string>, c array<string>")
+    kept = df.select(*[fingerprint.sketch(F.col(c)).alias(c) for c in "abc"])
+    r = kept.select("c", fingerprint.keep(F.concat("a", "b")).alias("merged")).first()
+    assert r.merged == r.c and len(r.c) >= 16
+
+
 def test_next_documents_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
     rng = random.Random(17)
