@@ -8,12 +8,14 @@ in the same one). Which strings are equal is settled in steps, each on what the
    of fixed size drops nearly all of them before anything large is shuffled).
 2. A run of windows with one representative is compared as a whole, by 64-bit hashes of its bytes beside those of its
    q-gram. Tasks settle their own equal runs first, so a bucket receives at most one row a task for a run.
-3. Buckets that still hold different runs are refined on their bytes: suffixes start in buckets of 8-grams, and each
-   round splits the buckets by the bucket of the suffix 8, 16, 32 and 36 bytes further on (bucket pointers, the last
-   round's results being reused), until buckets stand for ``length`` bytes. Very large buckets are dealt anew by the
-   windows' own bytes.
-
-Covered stretches meet the texts in one join by document.
+3. Buckets that still hold different runs are refined on their bytes, a bounded number of q-grams at a time: suffixes
+   start in buckets of 8-grams, and each round sorts the places of unfinished buckets by the bucket of the suffix 8, 16,
+   32 and 36 bytes further on (bucket pointers, the last round's results being reused in place), until buckets stand
+   for ``length`` bytes. A q-gram with very many different runs is dealt anew by the windows' own bytes, after each task
+   has refined its own; such buckets take their rows in portions and keep the first of equal windows.
+
+Covered stretches meet the texts in one join by document. No task holds more than a portion of a bucket, and the number
+of buckets follows the input.
 """
 
 from __future__ import annotations
@@ -30,17 +32,21 @@ from pyspark.sql import functions as F
 from mnemolake.llm.common import _POWER_BASE, mix, slices, trim, written
 
 LENGTH, GRAM = 100, 32
-#: Bytes of the Bloom filter of repeated q-grams, whatever the input; and of text in a bucket of the shuffles.
-BLOOM_BYTES, BUCKET_TEXT = 1 << 25, 16 << 20
-#: Anchors that a task holds before it settles and hands on; runs in a bucket from which its windows are dealt singly.
-HOLD, HOT = 1 << 20, 2000
-SEGMENT = 1 << 20
+#: Bytes of the Bloom filter of repeated q-grams, whatever the input (what it can't tell passes and is settled by the
+#: shuffles); bytes of text in a bucket of the shuffles; tasks that share the buckets, and parts of the filter.
+BLOOM_BYTES, BUCKET_TEXT, TASKS, PARTS = 1 << 25, 16 << 20, 1 << 15, 1 << 12
+#: Anchors that a task holds before it settles and hands on; runs of a q-gram from which its windows are dealt singly.
+HOLD, HOT = 1 << 20, 6000
+#: Bytes of text that tasks take at a time, that are refined at a time, and of pieces that they hand on together.
+SEGMENT, REFINED, HANDED = 1 << 20, 1 << 19, 8 << 20
 _BLOOM_HASHES = 3
 
 #: A run: q-gram hash, hash of all its bytes, document (id, hash of its text), first window, number of windows.
 RUN = np.dtype([("gram", "<u8"), ("run", "<u8"), ("id", "<i8"), ("text", "<i8"), ("start", "<i8"), ("count", "<i4")])
-#: A run with its bytes.
+#: A run with its bytes; ``gram`` is what it must share with others, the q-gram's hash or that of a single window.
 PIECE = np.dtype([("gram", "<u8"), ("id", "<i8"), ("text", "<i8"), ("start", "<i8"), ("count", "<i4")])
+#: Windows of a document that are covered.
+STRETCH = np.dtype([("id", "<i8"), ("text", "<i8"), ("start", "<i8"), ("count", "<i4")])
 
 
 class Anchors:
@@ -123,31 +129,83 @@ def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def refine(raw: np.ndarray, length: int) -> np.ndarray:
     """For each place the bucket of the ``length`` bytes from it; equal buckets are equal bytes. 8 <= length.
 
-    Places with fewer bytes after them have buckets too, which mean nothing.
+    A bucket's number is the rank of its first member, so splitting one leaves all others as they are: only places in
+    buckets of several are sorted again. Places with fewer bytes after them have buckets too, which mean nothing.
     """
+    n = len(raw)
     padded = np.concatenate((raw, np.zeros(8, np.uint8)))
-    start = np.zeros(len(raw), np.uint64)
+    key = np.zeros(n, np.uint64)
     for k in range(8):
-        start = (start << np.uint64(8)) | padded[k : k + len(raw)]
-    bucket = np.unique(start, return_inverse=True)[1].astype(np.int64)
+        key <<= np.uint64(8)
+        key |= padded[k : k + n]
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    bucket = np.empty(n, np.int32)
+    bucket[order], order = _split(key, order, np.zeros(n, np.int32))
     depth = 8
-    while depth < length:
+    while depth < length and len(order):
         step = min(depth, length - depth)
-        pointer = np.zeros(len(raw), np.int64)
-        pointer[:-step] = bucket[step:]
-        bucket = np.unique(bucket * (int(bucket.max(initial=0)) + 1) + pointer, return_inverse=True)[1].astype(np.int64)
+        pointer = np.where(order + step < n, bucket[np.minimum(order + step, n - 1)] + 1, 0)
+        key = (bucket[order].astype(np.int64) << 32) | pointer
+        sort = np.argsort(key, kind="stable")
+        key, order = key[sort], order[sort]
+        del sort, pointer
+        # All pointers of the round are read before any is changed: every bucket stands for as many bytes.
+        changed, left = _split(key, order, bucket[order])
+        bucket[order], order = changed, left
         depth += step
     return bucket
 
 
-def later_windows(pieces: np.ndarray, data: bytes, length: int) -> np.ndarray:
-    """Records (id, text, start) of windows of ``pieces`` that equal an earlier one; ``data`` has the pieces' bytes."""
-    sizes = pieces["count"].astype(np.int64) + length - 1
+def _split(key: np.ndarray, order: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of sorted places whose keys differ from those before them, and the places in buckets of several.
+
+    ``base`` has the old numbers: a bucket's parts are numbered from it on by where they begin within it.
+    """
+    at = np.arange(len(order), dtype=np.int32)
+    new, old = np.ones(len(order), bool), np.ones(len(order), bool)
+    new[1:], old[1:] = key[1:] != key[:-1], base[1:] != base[:-1]
+    inside = np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(old, at, 0))
+    last = np.append(new[1:], True)
+    return (base + inside).astype(np.int32), order[~(new & last)] if len(order) else order
+
+
+def _sizes(pieces: np.ndarray, length: int) -> np.ndarray:
+    return pieces["count"].astype(np.int64) + length - 1
+
+
+def later_windows(pieces: np.ndarray, data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Records (id, text, start) of windows of ``pieces`` that equal an earlier one, and which pieces have a first one.
+
+    ``data`` has the pieces' bytes. Pieces are compared with those of their own ``gram``, about REFINED bytes at a time.
+    """
+    first = np.concatenate(([0], np.cumsum(_sizes(pieces, length))))
+    order = np.argsort(pieces["gram"], kind="stable")
+    gram, total = pieces["gram"][order], np.cumsum(_sizes(pieces[order], length))
+    ends = np.append(np.flatnonzero(gram[1:] != gram[:-1]) + 1, len(order))
+    raw = np.frombuffer(data, np.uint8)
+    late, leads, begin, base = [], np.zeros(len(pieces), bool), 0, 0
+    for end, following in zip(ends, np.append(ends[1:], 0)):
+        # Whole groups, as many as fit.
+        if following and total[following - 1] - base <= REFINED:
+            continue
+        own = order[begin:end]
+        some = pieces[own]
+        body = np.concatenate([raw[first[i] : first[i + 1]] for i in own.tolist()])
+        found, head = _later(some, body, length)
+        late.append(found)
+        leads[own[head]] = True
+        begin, base = end, total[end - 1]
+    return (np.concatenate(late) if late else np.zeros(0, STRETCH)), leads
+
+
+def _later(pieces: np.ndarray, raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = _sizes(pieces, length)
     first = np.cumsum(sizes) - sizes
     count = pieces["count"].astype(np.int64)
     which = np.repeat(np.arange(len(pieces)), count)
     inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    bucket = refine(np.frombuffer(data, np.uint8), length)[first[which] + inside]
+    bucket = refine(raw, length)[first[which] + inside]
     ids, text, start = pieces["id"][which], pieces["text"][which], pieces["start"][which] + inside
     order = np.lexsort((start, text, ids, bucket))
     bucket, ids, text, start = bucket[order], ids[order], text[order], start[order]
@@ -155,9 +213,9 @@ def later_windows(pieces: np.ndarray, data: bytes, length: int) -> np.ndarray:
     new[1:] = bucket[1:] != bucket[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     late = ~new & ~((ids[head] == ids) & (text[head] == text) & (start[head] == start))
-    out = np.empty(int(late.sum()), [("id", "<i8"), ("text", "<i8"), ("start", "<i8"), ("count", "<i4")])
+    out = np.empty(int(late.sum()), STRETCH)
     out["id"], out["text"], out["start"], out["count"] = ids[late], text[late], start[late], 1
-    return out
+    return out, np.unique(which[order[new]])
 
 
 def _stretches(found: np.ndarray, length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -184,6 +242,8 @@ def merged(pairs: np.ndarray) -> np.ndarray:
 
 #: Rows between steps: part 0 covered stretches of a document (id, text), part 1 records for a bucket (id).
 ROWS = "part int, id long, text long, data binary"
+#: The same, with distinct runs in columns of their own (part 1).
+CLASSES = ROWS + ", gram long, start long, count int"
 
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -252,32 +312,37 @@ def _bloom_places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(keys + np.uint64(k + 1)) % np.uint64(bits)).astype(np.int64) for k in range(_BLOOM_HASHES)]
 
 
-def _bloom_rows(bits: int):
-    """The part of the filter that each bucket's repeated hashes set."""
+def _bloom_rows(bits: int, parts: int):
+    """The part of the filter that the repeated hashes of its buckets set; a part's buckets come one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(bits, np.uint8)
         for bucket, data in _by_bucket(batches):
+            if now is not None and bucket % parts != now:
+                yield _rows([(1, now, 0, np.packbits(held).tobytes())])
+                held[:] = 0
+            now = bucket % parts
             keys = np.sort(np.frombuffer(b"".join(data), np.uint64))
-            again = keys[1:][keys[1:] == keys[:-1]]
-            part = np.zeros(bits, np.uint8)
-            for place in _bloom_places(again, bits):
-                part[place] = 1
-            yield _rows([(1, bucket, 0, np.packbits(part).tobytes())])
+            for place in _bloom_places(keys[1:][keys[1:] == keys[:-1]], bits):
+                held[place] = 1
+        if now is not None:
+            yield _rows([(1, now, 0, np.packbits(held).tobytes())])
+        trim()
 
     return run
 
 
 class Bloom:
-    """Repeated q-grams, in one part for each bucket."""
+    """Repeated q-grams, in one part for each bucket or several buckets."""
 
-    def __init__(self, parts: dict[int, bytes], buckets: int, bits: int):
-        self.buckets, self.bits = buckets, bits
-        self.data = np.zeros((buckets, bits // 8), np.uint8)
-        for k, part in parts.items():
+    def __init__(self, filled: dict[int, bytes], buckets: int, parts: int, bits: int):
+        self.buckets, self.parts, self.bits = buckets, parts, bits
+        self.data = np.zeros((parts, bits // 8), np.uint8)
+        for k, part in filled.items():
             self.data[k] = np.frombuffer(part, np.uint8)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        bucket = (mix(keys.copy()) % np.uint64(self.buckets)).astype(np.int64)
+        bucket = ((mix(keys.copy()) % np.uint64(self.buckets)) % np.uint64(self.parts)).astype(np.int64)
         out = np.ones(len(keys), bool)
         for place in _bloom_places(keys, self.bits):
             out &= (self.data[bucket, place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
@@ -312,81 +377,129 @@ def _run_rows(anchors: Anchors, shared, buckets: int):
 
 
 def _class_rows(length: int):
-    """Step 2 in the buckets: rows of covered stretches (part 0), and of each distinct run (part 1: gram, its record)."""
+    """Step 2 in the buckets: rows of covered stretches (part 0), and of each distinct run (part 1)."""
+
+    def batch(part: int, rows: np.ndarray | None, found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        n = len(found) if rows is None else len(rows)
+        own = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32())] if rows is None else [pa.array(rows["gram"].view(np.int64)), pa.array(rows["start"]), pa.array(rows["count"])]
+        data = pa.array([d for _, _, d in found], pa.binary()) if rows is None else pa.nulls(n, pa.binary())
+        ids, text = ([pa.array([r[i] for r in found], pa.int64()) for i in (0, 1)]) if rows is None else (pa.array(rows["id"]), pa.array(rows["text"]))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), ids, text, data, *own], names=["part", "id", "text", "data", "gram", "start", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data in _by_bucket(batches):
             keep, late = settle(np.frombuffer(b"".join(data), RUN))
-            yield _rows([(0, i, t, d) for i, t, d in _stretches(late, length)])
-            for a in range(0, len(keep), 20_000):
-                part = keep[a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int32)), pa.array(part["id"]), pa.array(part["text"]), pa.array([x.tobytes() for x in part], pa.binary())], names=["part", "id", "text", "data"])
+            yield batch(0, None, list(_stretches(late, length)))
+            for a in range(0, len(keep), 50_000):
+                yield batch(1, np.ascontiguousarray(keep[a : a + 50_000]), [])
+        trim()
 
     return run
 
 
+def _packed(pieces: np.ndarray, bodies: list[bytes]) -> bytes:
+    return len(pieces).to_bytes(4, "little") + pieces.tobytes() + b"".join(bodies)
+
+
 def _piece_rows(anchors: Anchors, buckets: int):
     """Step 3 in the tasks: the bytes of runs that share a q-gram with others, to the bucket of the q-gram.
 
-    Runs of very large buckets go on as single windows, to buckets of their own bytes.
+    Runs of q-grams with very many runs go on as single windows, to buckets of their own bytes, if they aren't equal
+    to others of the task.
     """
     length = anchors.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
         held: list[np.ndarray] = []
         bodies: list[bytes] = []
-        size = 0
+        size = {False: 0, True: 0}
+        single: list[np.ndarray] = []
+        windows: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            pieces, rows = np.concatenate(held), []
-            for k, some in _dealt(np.concatenate(keys), buckets):
-                own = pieces[some]
-                rows.append((1, k, 0, len(own).to_bytes(4, "little") + own.tobytes() + b"".join([bodies[i] for i in some.tolist()])))
+            rows = []
+            if windows:
+                pieces = np.concatenate(single)
+                late, leads = later_windows(pieces, b"".join(windows), length)
+                rows += [(0, i, t, d) for i, t, d in _stretches(late, length)]
+                held.append(pieces[leads])
+                bodies.extend([windows[i] for i in np.flatnonzero(leads).tolist()])
+            if held:
+                pieces = np.concatenate(held)
+                rows += [(1, k, 0, _packed(pieces[some], [bodies[i] for i in some.tolist()])) for k, some in _dealt(pieces["gram"], buckets)]
+            for x in (held, bodies, single, windows):
+                x.clear()
+            size.update({False: 0, True: 0})
             return _rows(rows)
 
         for batch in batches:
+            spots = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(3)).to_numpy())))
+            flat = {c: batch.column(i).flatten().to_numpy(zero_copy_only=False) for i, c in ((3, "gram"), (4, "start"), (5, "count"), (6, "hot"))}
             for at in range(len(batch)):
                 text = batch.column(2)[at].as_py()
-                records = np.frombuffer(b"".join(batch.column(3)[at].as_py()), RUN)
-                hot = np.frombuffer(bytes(batch.column(4)[at].as_py()), np.uint8).astype(bool)
-                for own, single in ((records[~hot], False), (records[hot], True)):
-                    if not len(own):
-                        continue
-                    count = own["count"].astype(np.int64)
-                    which = np.repeat(np.arange(len(own)), count) if single else np.arange(len(own))
-                    pieces = np.empty(len(which), PIECE)
-                    for c in ("gram", "id", "text", "start", "count"):
-                        pieces[c] = own[c][which]
-                    if single:
-                        pieces["start"] += np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                        pieces["count"] = 1
-                    body = [text[s : s + c + length - 1] for s, c in zip(pieces["start"].tolist(), pieces["count"].tolist())]
-                    keys.append(np.array([int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in body], np.uint64) if single else pieces["gram"].copy())
-                    held.append(pieces)
-                    bodies += body
-                    size += sum(map(len, body))
-                if size > SEGMENT:
-                    yield flush()
-                    keys, held, bodies, size = [], [], [], 0
-        if held:
-            yield flush()
+                own = np.empty(spots[at + 1] - spots[at], PIECE)
+                own["id"], own["text"] = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                own["gram"], own["start"], own["count"] = (flat[c][spots[at] : spots[at + 1]] for c in ("gram", "start", "count"))
+                hot = flat["hot"][spots[at] : spots[at + 1]].astype(bool)
+                for some, apart in ((own[~hot], False), (own[hot], True)):
+                    # A long text has many runs: they are handed on in portions.
+                    for a, b in slices(some["count"].astype(np.int64) * (length if apart else 1) + length, SEGMENT):
+                        pieces = some[a:b]
+                        if apart:
+                            count = pieces["count"].astype(np.int64)
+                            start = np.repeat(pieces["start"] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                            pieces = np.repeat(pieces, count)
+                            pieces["start"], pieces["count"] = start, 1
+                        body = [text[s : s + c + length - 1] for s, c in zip(pieces["start"].tolist(), pieces["count"].tolist())]
+                        if apart:
+                            pieces["gram"] = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in body]
+                        (single if apart else held).append(pieces)
+                        (windows if apart else bodies).extend(body)
+                        size[apart] += sum(map(len, body))
+                        if max(size.values()) > HANDED:
+                            yield flush()
+        yield flush()
         trim()
 
     return run
 
 
 def _window_rows(length: int):
-    """Step 3 in the buckets: refined windows, as covered stretches."""
+    """Step 3 in the buckets: refined windows, as covered stretches. A bucket that is still too large comes in portions,
+    of which the pieces that have the first of equal windows stay for the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data in _by_bucket(batches):
-            heads, bodies = [], []
-            for x in data:
+        now, heads, bodies, size, carried = None, [], [], 0, 0
+
+        def settled(last: bool) -> pa.RecordBatch:
+            nonlocal heads, bodies, size, carried
+            pieces, data = np.concatenate(heads), b"".join(bodies)
+            late, leads = later_windows(pieces, data, length)
+            heads, bodies, size, carried = [], [], 0, 0
+            if not last:
+                ends = np.cumsum(_sizes(pieces, length))
+                heads = [pieces[leads]]
+                bodies = [data[e - n : e] for e, n in zip(ends[leads].tolist(), _sizes(pieces[leads], length).tolist())]
+                size = carried = sum(map(len, bodies))
+            return _rows([(0, i, t, d) for i, t, d in _stretches(late, length)])
+
+        for batch in batches:
+            # What tasks have settled passes.
+            done = batch.filter(pc.equal(batch.column(0), 0))
+            if len(done):
+                yield done
+            rest = batch.filter(pc.equal(batch.column(0), 1))
+            for bucket, data in zip(rest.column(1).to_pylist(), rest.column(3)):
+                if heads and (bucket != now or size > 2 * carried + BUCKET_TEXT // 2):
+                    yield settled(bucket != now)
+                now, x = bucket, data.as_buffer().to_pybytes()
                 n = int.from_bytes(x[:4], "little")
                 heads.append(np.frombuffer(x, PIECE, n, 4))
                 bodies.append(x[4 + n * PIECE.itemsize :])
-            yield _rows([(0, i, t, d) for i, t, d in _stretches(later_windows(np.concatenate(heads), b"".join(bodies), length), length)])
+                size += len(bodies[-1])
+        if heads:
+            yield settled(True)
+        trim()
 
     return run
 
@@ -418,23 +531,25 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str
     anchors = Anchors(length, gram)
     own = _keyed(docs, id_col, text_col).select("id", "hash", F.col("body"))
     total = own.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    buckets = max(8, min(1 << 16, total // BUCKET_TEXT + 1))
-    bits = max(64, BLOOM_BYTES // buckets * 8)
-    to_buckets = lambda df: df.where("part = 1").select("id", "data").repartition(buckets, "id").sortWithinPartitions("id")
-    filter_ = to_buckets(own.mapInArrow(_filter_rows(anchors, buckets), ROWS)).mapInArrow(_bloom_rows(bits), ROWS)
-    shared = spark.sparkContext.broadcast(Bloom({r[0]: bytes(r[1]) for r in filter_.select("id", "data").toLocalIterator()}, buckets, bits))
+    buckets = max(8, total // BUCKET_TEXT + 1)
+    parts, tasks = min(buckets, PARTS), min(buckets, TASKS)
+    bits = BLOOM_BYTES // parts * 8
+    sent = lambda df: df.where("part = 1").select("id", "data")
+    to_buckets = lambda df: sent(df).repartition(tasks, "id").sortWithinPartitions("id")
+    keys = sent(own.mapInArrow(_filter_rows(anchors, buckets), ROWS))
+    filter_ = keys.repartition(parts, F.col("id") % parts).sortWithinPartitions(F.col("id") % parts, "id").mapInArrow(_bloom_rows(bits, parts), ROWS)
+    shared = spark.sparkContext.broadcast(Bloom({r[0]: bytes(r[1]) for r in filter_.select("id", "data").toLocalIterator()}, buckets, parts, bits))
     runs = written(own.mapInArrow(_run_rows(anchors, shared, buckets), ROWS), "runs")
-    classes = written(to_buckets(runs).mapInArrow(_class_rows(length), ROWS), "classes")
-    gram_of = F.substring("data", F.lit(1), F.lit(8))
-    distinct = classes.where("part = 1").withColumn("gram", gram_of)
-    several = distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    asked = distinct.join(several, "gram").groupBy("id", "text").agg(F.collect_list(F.struct("data", (F.col("n") > hot).alias("hot"))).alias("asked"))
-    hots = F.unhex(F.concat_ws("", F.transform("asked", lambda x: F.when(x["hot"], "01").otherwise("00"))))
-    asked = asked.select("id", "text", F.col("asked.data").alias("records"), hots.alias("hot"))
-    pieces = own.join(asked, (own["id"] == asked["id"]) & (own["hash"] == asked["text"])).select(own["id"], own["hash"], "body", "records", "hot")
-    windows = to_buckets(pieces.mapInArrow(_piece_rows(anchors, buckets), ROWS)).mapInArrow(_window_rows(length), ROWS)
-    windows = written(windows, "windows")
-    return runs.where("part = 0").union(classes.where("part = 0")).union(windows).select("id", "text", "data")
+    classes = written(to_buckets(runs).mapInArrow(_class_rows(length), CLASSES), "classes")
+    distinct = classes.where("part = 1").select("gram", "id", "text", "start", "count")
+    # Written, so that Spark may split the hot q-grams of the join, whose sides are then plain scans.
+    several = written(distinct.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "shared-grams")
+    asked = distinct.join(several.hint("merge"), "gram").groupBy("id", "text").agg(F.collect_list(F.struct("gram", "start", "count", (F.col("n") > hot).alias("hot"))).alias("asked"))
+    asked = asked.select("id", "text", *(F.col(f"asked.{c}").alias(c) for c in ("gram", "start", "count", "hot")))
+    pieces = own.join(asked, (own["id"] == asked["id"]) & (own["hash"] == asked["text"])).select(own["id"], own["hash"], "body", "gram", "start", "count", "hot")
+    handed = pieces.mapInArrow(_piece_rows(anchors, buckets), ROWS).repartition(tasks, "part", "id").sortWithinPartitions("part", "id")
+    windows = written(handed.mapInArrow(_window_rows(length), ROWS), "windows")
+    return runs.where("part = 0").union(classes.where("part = 0").select(*runs.columns)).union(windows).select("id", "text", "data")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

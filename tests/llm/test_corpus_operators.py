@@ -461,6 +461,57 @@ def test_refinement_is_equality():
         assert len({(b, s) for b, s in zip(bucket[:n].tolist(), strings)}) == len(set(strings)) == len(set(bucket[:n].tolist()))
 
 
+def bucket_rows(rng, passage, copies, length=100):
+    """One bucket of pieces around a passage, as tasks hand it on, and the windows that are covered."""
+    pieces, bodies, seen, late = [], [], set(), set()
+    for i in range(copies):
+        body = (prose(rng, 4) + passage + prose(rng, 4)).encode()[:260]
+        pieces.append((7, i, i, 10, len(body) - length + 1))
+        bodies.append(body)
+        for s in range(len(body) - length + 1):
+            if body[s : s + length] in seen:
+                late.add((i, s + 10))
+            seen.add(body[s : s + length])
+    return np.array(pieces, substrings.PIECE), bodies, late
+
+
+def windows_of(stretches, length=100):
+    return {(i, p) for i, _, d in stretches for s, e in np.frombuffer(d, np.int64).reshape(-1, 2).tolist() for p in range(s, e - length + 1)}
+
+
+def test_a_bucket_in_portions(monkeypatch):
+    """More of a bucket than a task holds: the first of equal windows stay, also if smaller ids come later."""
+    rng = random.Random(31)
+    pieces, bodies, late = bucket_rows(rng, prose(rng, 30)[:150], 60)
+    monkeypatch.setattr(substrings, "BUCKET_TEXT", 4000)
+    order = rng.sample(range(60), 60)
+    rows = [(1, 3, 0, substrings._packed(pieces[some], [bodies[i] for i in some])) for some in (order[k : k + 7] for k in range(0, 60, 7))]
+    got = [r for b in substrings._window_rows(100)(iter([substrings._rows([(0, 5, 6, b"done"), *rows[:4]]), substrings._rows(rows[4:])])) for r in b.to_pylist()]
+    assert [r for r in got if r["data"] == b"done"] == [{"part": 0, "id": 5, "text": 6, "data": b"done"}]
+    found = set().union(*(windows_of([(r["id"], r["text"], r["data"])]) for r in got if r["data"] != b"done"))
+    # Covered bytes agree: a window that isn't late may lie within those of late ones.
+    cover = lambda ws: {(i, p + k) for i, p in ws for k in range(100)}
+    assert cover(found) == cover(late)
+
+
+def test_memory_of_a_large_bucket():
+    """16 MB of pieces of many q-grams are refined a portion at a time."""
+    import tracemalloc
+
+    n = 120_000
+    raw = np.random.default_rng(3).integers(97, 123, (n // 2, 134)).astype(np.uint8)
+    raw = np.concatenate((raw, raw))
+    pieces = np.zeros(n, substrings.PIECE)
+    pieces["gram"], pieces["id"], pieces["count"] = np.arange(n) % (n // 2), np.arange(n), 35
+    data = raw.tobytes()
+    tracemalloc.start()
+    late, leads = substrings.later_windows(pieces, data, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(late) == 35 * n // 2 and leads.sum() == n // 2
+    assert peak < 9 * len(data)
+
+
 # 9
 
 
