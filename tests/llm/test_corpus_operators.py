@@ -400,6 +400,117 @@ def test_one_word_contexts(spark):
     assert got[8].spans == "id:23:30"
 
 
+def bootstrapped(texts):
+    """The method in plain Python: found spans (document, start, end), from base kinds as the contract has them."""
+    import regex
+    from collections import defaultdict
+
+    kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def valid(k, v):
+        d = re.sub("[^0-9]", "", v)
+        return [True, k != 1 or all(int(x) <= 255 for x in v.split(".")), 14 <= len(d) <= 19 and luhn(d), 10 <= len(d) <= 15][k]
+
+    def matches(t, pattern):
+        out, last = [], 0
+        for m in regex.finditer(pattern, t):
+            out.append((m.start(), m.end(), m.group(), last))
+            last = m.end()
+        return [(s, e, v, t[a:s][-48:], t[e : out[i + 1][0] if i + 1 < len(out) else len(t)][:48]) for i, (s, e, v, a) in enumerate(out)]
+
+    def shape(w):
+        return "0" if not w else "a" if not regex.search(r"\p{Lu}", w) else "A" if regex.fullmatch(r"\p{Lu}{2,}", w) else "Aa"
+
+    def patterns(before, after):
+        words = list(regex.finditer(r"\p{L}+", before))
+        right = regex.match(r"[^\p{L}\p{N}]*\p{L}+", after)
+        right = right.group() if right else ""
+        last = two = ""
+        if words and not regex.search(r"\p{N}", before[words[-1].end() :]):
+            last = before[words[-1].start() :]
+            if len(words) > 1 and words[-2].end() < words[-1].start() and not regex.search(r"\p{N}", before[words[-2].end() : words[-1].start()]):
+                two = before[words[-2].start() :]
+        sides = shape("".join(regex.findall(r"\p{L}", last))) + " " + shape("".join(regex.findall(r"\p{L}", right)))
+        marks = [regex.sub(r"[\p{L}\s]", "", x)[:4] for x in (last, right)]
+        last, two, right = last.lower(), two.lower(), right.lower()
+        some = [("two", two)] if two else []
+        some += [("one", last)] if last else []
+        some += [("after", right)] if right else []
+        some += [("both", last, right)] if last and right else []
+        return [*some, ("marked", *marks, sides), ("shaped", sides)]
+
+    seeds, base, other, edges = set(), defaultdict(list), [], defaultdict(set)
+    for i, t in enumerate(texts):
+        for k, pattern in enumerate(kinds):
+            for s, e, v, b, a in matches(t or "", pattern):
+                if valid(k, v):
+                    base[i].append((s, e))
+                    seeds.add(v)
+                    for p in patterns(b, a):
+                        edges[p].add(v)
+    for i, t in enumerate(texts):
+        for s, e, v, b, a in matches(t or "", pii.CANDIDATE):
+            if not any(x < e and s < y for x, y in base[i]):
+                other.append((i, s, e, v, patterns(b, a)))
+                for p in other[-1][4]:
+                    edges[p].add(v)
+    score = dict.fromkeys(seeds, 1.0)
+    for _ in range(3):
+        good = {}
+        for p, vs in edges.items():
+            known = [score[v] for v in vs if v in score]
+            confidence = sum(known) / (len(vs) + 1)
+            if len(known) >= (20 if p[0] in ("marked", "shaped") else 3) and confidence >= 0.6:
+                good[p] = confidence
+        score = dict.fromkeys(seeds, 1.0)
+        for p, c in good.items():
+            for v in edges[p] - seeds:
+                score[v] = max(score.get(v, 0), c)
+    return sorted((i, s, e) for i, s, e, _, ps in other if any(p in good for p in ps))
+
+
+def found_spans(rows):
+    return sorted((r.doc_id, int(s), int(e)) for r in rows for k, s, e in (x.split(":") for x in r.spans.split(",") if x) if k == "id")
+
+
+def test_discovery_span_by_span(spark):
+    """Identifiers of unseen forms, in contexts of their own, of seeds, and where ordinary tokens with digits prevail."""
+    rng = random.Random(41)
+    key = lambda: "AK" + "".join(rng.choices("ABCDEF0123456789", k=14)) + "7"
+    seed = lambda: rng.choice([f"u{rng.randrange(10**6)}@mail.example", f"10.{rng.randrange(256)}.3.{rng.randrange(256)}", f"+1 (555) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"])
+    texts, planted, clean = [None, "", "x1y2z3a4"], [], []
+    for i in range(200):
+        a, b, c = prose(rng, 6), prose(rng, 5), prose(rng, 3)
+        kind = (0, 0, 0, 1, 1, 1, 2, 3, 4)[i % 9]  # a pattern needs 0.6 of its instances to be seeds or like them
+        value = seed() if kind < 2 else key()
+        if kind == 1:  # a context of seeds and keys
+            t = f"{a} contact me: {value}; {b}"
+        elif kind == 2:
+            t = f"{a} contact me: {value}; {b}"
+        elif kind == 4:  # ordinary tokens, in places where no seed ever is
+            value = f"model-{rng.randrange(100, 999)}x"
+            t = f"{a.upper()} ({value}) {b.upper()}"
+        else:
+            t = f"{a} {value} {b}"
+        texts.append(f"{t} {c}")
+        at = t.index(value)
+        (planted if kind in (2, 3) else clean if kind == 4 else []).append((len(texts) - 1, at, at + len(value)))
+    got = found_spans(pii.report(docs(spark, texts)).collect())
+    assert got == bootstrapped(texts)
+    assert len(set(got) & set(planted)) >= 0.9 * len(planted) and not set(got) & set(clean) and set(got) <= set(planted)
+
+
+def test_thousands_of_spans_in_a_text(spark):
+    t = " ".join(f"word u{i}@mail.example" for i in range(3000))
+    (got,) = pii.report(make(spark, [(None, t, "en", "s")])).collect()
+    assert got.n_email == 3000 and got.spans.split(",") == [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"u\d+@mail\.example", t)]
+    (got,) = pii.redact(make(spark, [(None, t, "en", "s")])).collect()
+    assert got.text == " ".join(["word [EMAIL]"] * 3000)
+
+
 def test_redaction_keeps_rows(spark):
     d = make(spark, [(1, None, "en", "s"), (None, "a@b.c", "en", "s"), (2, "a@b.c é 1.2.3.4", "en", "s"), (2, "a@b.c é 1.2.3.4", "en", "s"), (2, "", "en", "s")])
     got = pii.redact(d)
