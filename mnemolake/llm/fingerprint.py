@@ -14,13 +14,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemolake.llm.common import written
+
 WORDS = 5
 #: One hash in so many is kept.
 SCALE = 4
 #: So many of the smallest hashes are kept in any case.
 LEAST = 16
-#: Ranges of ids in which a next document is looked up; each has about so many rows, as long as MOST_RANGES allow.
-RANGE_ROWS, MOST_RANGES = 2500, 2500
+#: Rows in a range of ids in which next documents are looked up; there are as many ranges as the table needs.
+RANGE_ROWS = 500_000
 _LOWEST = -(1 << 63)
 
 
@@ -45,7 +47,7 @@ def keep(every: Column, scale: int = SCALE, least: int = LEAST) -> Column:
 
 def sketch(words: Column, shingle: int = WORDS, scale: int = SCALE) -> Column:
     """The sorted kept hashes of an array of words; never empty where there are words."""
-    return keep(hashes(words, shingle), scale)
+    return _let(words, lambda w: keep(hashes(w, shingle), scale))
 
 
 def text_words(text: Column) -> Column:
@@ -84,52 +86,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return words.select(F.col(id_col), F.size("words").cast("long").alias("n_words"), sketch(F.col("words")).alias("sketch"))
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """The number of ``bounds`` (ascending) up to ``key``, by two short scans instead of one long one."""
-    step = max(1, int(len(bounds) ** 0.5))
-    array = lambda x: F.array(*map(F.lit, x)).cast("array<long>")
-    coarse = F.greatest(F.size(F.filter(array(bounds[::step]), lambda b: b <= key)) - 1, F.lit(0))
-    return coarse * step + F.size(F.filter(F.slice(array(bounds), coarse * step + 1, F.lit(step)), lambda b: b <= key))
+def small_sketch(words: Column, least: int = LEAST) -> Column:
+    """The sketch of words if it has fewer than ``least`` hashes, else null; found without hashing most texts.
+
+    Each distinct word but the first few begins or ends a shingle of its own, so many of them make many hashes.
+    """
+    few = lambda w: F.when(F.size(F.array_distinct(w)) < least + WORDS - 1, _let(sketch(w), lambda k: F.when(F.size(k) < least, k)))
+    return _let(words, few)
 
 
-def with_next(docs: DataFrame, id_col: str, values: list[str]) -> DataFrame:
-    """``docs`` with next_<value> of the document that follows by id (the last: the first), for each of ``values``.
+def neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """For distinct (_key, _tie, ...) of ``docs``: all columns with _next (its key and tie) and _prior (all of it).
 
-    Ids are cut into ranges at quantiles; each range is one window, and gets the first row of the next range as a
-    sentinel. Ties go by ``values``, null ids come first. Nothing is sorted as a whole.
+    Documents stand in a circle by _key and _tie. They are sorted in ranges, each on its own; only the ends of the
+    ranges, a row for each, meet in one window. Texts take no part in this.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
-    ids = docs.select(key.alias("_key"))
-    count = ids.count()
-    ranges = max(1, min(MOST_RANGES, count // RANGE_ROWS))
-    bounds = sorted(set(ids.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [])) if ranges > 1 else []
-    place = _range_of(F.col("_key"), bounds) if bounds else F.lit(0)
-    firsts = {r[0]: r[1] for r in ids.select("_key", place.alias("_range")).groupBy("_range").agg(F.min("_key")).collect()}
-    order = sorted(firsts)
-    heads = F.array(*[F.lit(firsts[r]) for r in order] or [F.lit(0)]).cast("array<long>")
-    before = dict(zip([firsts[r] for r in order], [*order[-1:], *order]))
-    prior = F.create_map(*[F.lit(x) for k, v in before.items() for x in (k, v)]) if before else F.create_map(F.lit(0), F.lit(0))
-    own = docs.withColumn("_key", key).withColumn("_range", place)
-    first = F.array_contains(heads, F.col("_key"))
-    # Only heads of ranges look into the map.
-    copies = F.when(first, F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("sentinel")), F.struct(F.element_at(prior, F.col("_key")).alias("r"), F.lit(1).alias("sentinel")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("sentinel"))))
-    dealt = own.withColumn("_copy", F.explode(copies)).withColumn("_range", F.col("_copy.r")).withColumn("_sentinel", F.col("_copy.sentinel")).drop("_copy")
-    window = Window.partitionBy("_range").orderBy("_sentinel", "_key", *values)
-    return dealt.withColumns({f"next_{v}": F.lead(v).over(window) for v in values}).where("_sentinel = 0").drop("_key", "_range", "_sentinel")
-
-
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    nodes = written(docs.dropDuplicates(["_key", "_tie"]), "nodes")
+    parts = nodes.count() // range_rows + 1
+    ranged = written(nodes.repartitionByRange(parts, "_key", "_tie").withColumn("_part", F.spark_partition_id()), "ranges")
+    whole = F.struct("_key", "_tie", *[c for c in nodes.columns if c not in ("_key", "_tie")])
+    ends = ranged.groupBy("_part").agg(F.min(F.struct("_key", "_tie")).alias("head"), F.max(whole).alias("tail"))
+    line = Window.orderBy("_part")
+    around = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("_part", F.coalesce(F.lead("head").over(line), F.first("head").over(around)).alias("_after"), F.coalesce(F.lag("tail").over(line), F.last("tail").over(around)).alias("_before"))
+    own = Window.partitionBy("_part").orderBy("_key", "_tie")
+    got = ranged.select("*", F.lead(F.struct("_key", "_tie")).over(own).alias("_lead"), F.lag(whole).over(own).alias("_lag")).join(ends, "_part")
+    return got.select(*nodes.columns, F.coalesce("_lead", "_after").alias("_next"), F.coalesce("_lag", "_before").alias("_prior"))
+
+
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like it is to that and to the next document's.
 
     The edited text ends in the first floor(n_chars / 4) code points (or all) of the next document instead of its
     own last ones. Rows: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. One row
-    comes out for each row; a null text is empty, the only document is its own next, other columns are ignored.
+    comes out for each row; a null text is empty, the only document is its own next, other columns are ignored. Null
+    ids come first; rows that agree in the id are ordered by a hash of their texts, and rows that agree in both are
+    one document, with one result. An empty table gives an empty one.
+
+    A text is shuffled once, by its id. What the document before it needs of it, its beginning and its sketch, goes
+    there in a second, smaller shuffle.
     """
-    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = texts.withColumn("words", text_words(F.col("text"))).select(id_col, "text", sketch(F.col("words")).alias("kept"))
-    paired = with_next(own, id_col, ["text", "kept"])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
+    own = docs.select(key.alias("_key"), F.xxhash64(text).alias("_tie"), text.alias("text"))
+    ids = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.xxhash64(text).alias("_tie"), F.length(text).alias("_n"), small_sketch(text_words(text)).alias("_small"))
+    links = written(neighbours(ids, range_rows), "links")
+    merge = lambda a, b: a.join(b.hint("merge"), ["_key", "_tie"])
+    prior = links.select("_key", "_tie", F.col("_prior._key").alias("_pk"), F.col("_prior._tie").alias("_pt"), F.floor(F.col("_prior._n") / 4).cast("int").alias("_cut"), F.col("_prior._small").alias("_ps"))
+    every = _let(text_words(F.col("text")), lambda w: F.array_distinct(hashes(w)))
+    near = F.when(F.col("_ps").isNotNull(), _share(F.col("_ps"), every))
+    told = merge(own, prior).select(F.col("_pk").alias("_key"), F.col("_pt").alias("_tie"), F.struct(F.substring(F.col("text"), F.lit(1), F.col("_cut")).alias("head"), sketch(text_words(F.col("text"))).alias("kept"), near.alias("near")).alias("next"))
+    told = told.groupBy("_key", "_tie").agg(F.first("next").alias("next"))
     n = F.length("text")
-    cut = F.floor(n / 4).cast("int")
-    edited = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))).select(id_col, n.cast("long").alias("n_chars"), "text", "next_text", "edited", "kept", "next_kept")
-    worded = edited.withColumn("words", text_words(F.col("edited"))).select(id_col, "n_chars", "text", "next_text", "edited", F.sha2("edited", 256).alias("edited_sha256"), "kept", "next_kept", sketch(F.col("words")).alias("edited_kept"))
-    return worded.select(id_col, "n_chars", "edited_sha256", spelled(F.col("kept")).alias("fingerprint"), spelled(F.col("edited_kept")).alias("edited_fingerprint"), containment(F.col("kept"), F.col("edited_kept"), F.col("text"), F.col("edited")).alias("near_edited"), containment(F.col("kept"), F.col("next_kept"), F.col("text"), F.col("next_text")).alias("near_next"))
+    whole = merge(own, links.select("_key", "_tie", "_id")).withColumn("kept", sketch(text_words(F.col("text"))))
+    paired = merge(whole, told).select(F.col("_id").alias(id_col), n.cast("long").alias("n_chars"), "text", "kept", "next", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.col("next.head")).alias("edited"))
+    worded = paired.withColumn("edited_kept", sketch(text_words(F.col("edited"))))
+    near_next = F.coalesce(F.col("next.near"), containment(F.col("kept"), F.col("next.kept"), F.col("text"), F.lit("")))
+    return worded.select(id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("kept")).alias("fingerprint"), spelled(F.col("edited_kept")).alias("edited_fingerprint"), containment(F.col("kept"), F.col("edited_kept"), F.col("text"), F.col("edited")).alias("near_edited"), near_next.alias("near_next"))

@@ -660,14 +660,59 @@ def test_short_sketches_merge(spark):
     assert r.merged == r.c and len(r.c) >= 16
 
 
-def test_next_documents_over_ranges(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 7)
+def brute_fingerprint(text):
+    """All hashes of a text and those that are kept, in plain Python."""
+    import xxhash
+
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+
+    def one(parts):
+        h = 42
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    every = {one(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {one([" ".join(words)])} if words else set()
+    low = sorted(h for h in every if h < -(1 << 63) + (1 << 62))
+    return every, low if len(low) >= 16 else sorted(every)[:16]
+
+
+def brute_likeness(a, b):
+    (every_a, a), (every_b, b) = a, b
+    if min(len(a), len(b)) < 16:
+        a, b = every_a if len(a) >= 16 else set(a), every_b if len(b) >= 16 else set(b)
+    else:
+        most = min(max(x[-1], -(1 << 63) + (1 << 62) - 1) for x in (a, b))
+        a, b = ({h for h in x if h <= most} for x in (a, b))
+    least = min(len(a), len(b))
+    return len(a & b) / least if least else float(len(a) == len(b))
+
+
+@pytest.mark.parametrize("rows", [7, 500_000])
+def test_fingerprints_by_brute_force(spark, rows):
+    """Ranges of few ids, null, negative and repeated ids, repeated rows, short beside long, one very long text."""
     rng = random.Random(17)
-    ids = rng.sample(range(-1000, 1000), 150) + [None]
-    d = make(spark, [(i, f"t{i}", "en", "s") for i in ids]).select("doc_id", "text")
-    order = sorted(ids, key=lambda i: -(1 << 63) if i is None else i)
-    want = {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
-    assert {r.doc_id: r.next_text for r in fingerprint.with_next(d, "doc_id", ["text"]).collect()} == want
+    pool = [f"w{k}" for k in range(400)]
+    line = lambda n: " ".join(rng.choices(pool, k=n))
+    ids = rng.sample(range(-1000, 1000), 60)
+    table = {i: line(rng.choice([0, 1, 3, 8, 14, 19, 25, 60, 300])) for i in ids}
+    for a, b in zip(sorted(ids), sorted(ids)[1:]):
+        if rng.random() < 0.5:  # parts of the document before
+            table[b] = " ".join(table[a].split()[2:]) + " " + line(3)
+    table[ids[3]] = "same words again " * 40
+    table[ids[5]] = "é😀 " + line(30_000)
+    table[ids[7]], table[None] = None, line(30)
+    rows_ = [(i, t, "en", "s") for i, t in table.items()]
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(make(spark, [*rows_, rows_[4]]), range_rows=rows).collect()}
+    order = sorted(table, key=lambda i: -(1 << 63) if i is None else i)
+    for i, after in zip(order, [*order[1:], order[0]]):
+        t, nxt = table[i] or "", table[after] or ""
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        own, other, next_ = map(brute_fingerprint, (t, edited, nxt))
+        spelled = lambda x: "".join(f"{h % (1 << 64):016X}" for h in x[1])
+        assert (got[i].edited_sha256, got[i].fingerprint, got[i].edited_fingerprint) == (hashlib.sha256(edited.encode()).hexdigest(), spelled(own), spelled(other))
+        assert (got[i].near_edited, got[i].near_next) == (brute_likeness(own, other), brute_likeness(own, next_)), (i, t, nxt)
+    assert fingerprint.edited_fingerprints(make(spark, [*rows_, rows_[4]]), range_rows=rows).count() == len(rows_) + 1
 
 
 def test_sketches_merge(spark):
