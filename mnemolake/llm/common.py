@@ -21,9 +21,11 @@ _POWER_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where the setting is absent a temporary one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="mnemolake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -172,6 +174,24 @@ def spaced_hasher() -> WordHasher:
     return WordHasher(SPACED_WORDS)
 
 
+#: A node with more edges than this, and than its share of all edges, is a hub; there are at most 2 * HUBS of them.
+HUB, HUBS = 1000, 20_000
+
+
+def with_least(edges: DataFrame, key: str, value: str, count: int) -> DataFrame:
+    """``edges`` with ``m``, the least ``value`` of each ``key``.
+
+    Keys with very many edges are so few that they are broadcast (no more than edges divided by their least number);
+    the rest meets in a join whose largest key has HUB edges or a small share of all.
+    """
+    low = edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("_n"))
+    hub = F.col("_n") > max(HUB, count // HUBS)
+    hubs = F.broadcast(low.where(hub).select(key, F.col("m").alias("_hub")))
+    seen = edges.join(hubs, key, "left")
+    rest = seen.where("_hub is null").drop("_hub").join(low.where(~hub).drop("_n").hint("merge"), key)
+    return rest.union(seen.where("_hub is not null").withColumnRenamed("_hub", "m").select(*rest.columns))
+
+
 def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b: long): rows (node, root), root the smallest node of its component.
 
@@ -182,24 +202,23 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     path = scratch_path(spark, name)
     now.write.parquet(path)
-    mark = None
-    for step in range(rounds):
+    count, mark = spark.read.parquet(path).count(), None
+    for step in range(rounds if count else 0):
         now = spark.read.parquet(path)
         # Large star: every larger neighbour of a node gets the node's smallest neighbour (itself included).
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(both, "u", "v", 2 * count).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
         # Small star: a node and its smaller neighbours get the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = with_least(large, "u", "v", count).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = scratch_path(spark, name)
         small.write.parquet(after)
         new = spark.read.parquet(after).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_scratch(spark, path)
-        path = after
+        path, count = after, new[0]
         if tuple(new) == mark:
             break
         mark = tuple(new)
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return spark.read.parquet(path).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if count:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return spark.read.schema("u long, v long").parquet(path).select(F.col("u").alias("node"), F.col("v").alias("root"))

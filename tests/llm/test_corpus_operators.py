@@ -228,6 +228,18 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_rows_that_clash_in_ids(spark):
+    """One id on two texts, one of them a copy; rows without an id; rows that repeat; very long copies."""
+    long_ = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, "a b c d e f", "en", "s"), (5, "a b c d e f", "en", "s"), (5, "quite other words than these", "de", "s"), (5, "quite other words than these", "de", "s"), (None, "a b  c d e f", "en", "s"), (None, "lone text here", "en", "s"), (None, "lone  text here", "en", "s"), (7, "", "en", "s"), (8, None, "en", "s"), (9, long_, "en", "s"), (10, long_ + " end", "en", "s")]
+    d = make(spark, rows)
+    got = near_dup.deduplicate(d)
+    assert got.columns == d.columns
+    kept = sorted(((r.doc_id, (r.text or "").replace("  ", " ")[:20]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, "a b c d e f"), (5, "quite other words th"), (None, "lone text here"), (7, ""), (8, ""), (9, long_[:20])], key=str)
+    assert near_dup.deduplicate(d.limit(0)).count() == 0
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(7)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -241,7 +253,9 @@ def test_registers_estimate_similarity():
     assert (merged == np.maximum(x, y)).all()
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("hub", [1000, 2])
+def test_connected(spark, monkeypatch, hub):
+    monkeypatch.setattr(common, "HUB", hub)
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(60)]
     root = {}
