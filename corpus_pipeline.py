@@ -32,9 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document of smallest id of each group (five words, similarity 0.8)."""
     from mnemolake.llm import near_dup
 
-    own = docs.select(*COLUMNS)
-    gone = near_dup.near_duplicates(own).where("not kept").select("doc_id").distinct()
-    return own.join(gone.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    return near_dup.deduplicate(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
