@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time; one longer text is taken in segments.
@@ -178,18 +178,24 @@ def spaced_hasher() -> WordHasher:
 HUB, HUBS = 1000, 20_000
 
 
-def with_least(edges: DataFrame, key: str, value: str, count: int) -> DataFrame:
-    """``edges`` with ``m``, the least ``value`` of each ``key``.
+def attached(df: DataFrame, key: str, values: list[Column], count: int) -> DataFrame:
+    """``df`` (of ``count`` rows) with aggregates ``values`` of all rows of the same ``key``.
 
-    Keys with very many edges are so few that they are broadcast (no more than edges divided by their least number);
-    the rest meets in a join whose largest key has HUB edges or a small share of all.
+    Keys with very many rows are so few that they are broadcast (no more than rows divided by their least number);
+    the rest meets in a join whose largest key has HUB rows or a small share of all.
     """
-    low = edges.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("_n"))
+    low = df.groupBy(key).agg(*values, F.count("*").alias("_n"))
+    names = [c for c in low.columns if c not in (key, "_n")]
     hub = F.col("_n") > max(HUB, count // HUBS)
-    hubs = F.broadcast(low.where(hub).select(key, F.col("m").alias("_hub")))
-    seen = edges.join(hubs, key, "left")
+    hubs = F.broadcast(low.where(hub).select(key, F.struct(*names).alias("_hub")))
+    seen = df.join(hubs, key, "left")
     rest = seen.where("_hub is null").drop("_hub").join(low.where(~hub).drop("_n").hint("merge"), key)
-    return rest.union(seen.where("_hub is not null").withColumnRenamed("_hub", "m").select(*rest.columns))
+    return rest.union(seen.where("_hub is not null").select(*[F.col(f"_hub.{c}").alias(c) if c in names else F.col(c) for c in rest.columns]))
+
+
+def with_least(edges: DataFrame, key: str, value: str, count: int) -> DataFrame:
+    """``edges`` with ``m``, the least ``value`` of each ``key``."""
+    return attached(edges, key, [F.min(value).alias("m")], count)
 
 
 def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import WordHasher, connected, mix, slices, spaced_hasher, with_least, written
+from mnemolake.llm.common import WordHasher, attached, connected, mix, slices, spaced_hasher, with_least, written
 from mnemolake.llm.tokens import map_texts
 
 WORDS, PERCENT = 5, 80
@@ -277,7 +277,7 @@ def components(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     # Followers are dealt in portions, each with their leader.
     stars = written(met.where("node > least").groupBy("node").agg(F.min("least").alias("leader")).join(nodes.select("node", "n").hint("merge"), "node"), "stars")
     portions = stars.groupBy("leader").agg(size("portions"))
-    follow = stars.join(portions.hint("merge"), "leader").select("node", F.xxhash64("leader", part_of("portions")).alias("task"), F.lit(1).alias("side"), F.col("node").alias("known"))
+    follow = attached(stars, "leader", [size("portions")], stars.count()).select("node", F.xxhash64("leader", part_of("portions")).alias("task"), F.lit(1).alias("side"), F.col("node").alias("known"))
     lead = portions.select("leader", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("i")).select(F.col("leader").alias("node"), F.xxhash64("leader", "i").alias("task"), F.lit(0).alias("side"), F.col("leader").alias("known"))
     led = verified(follow.union(lead), "star-links")
     # Buckets with members of different components of which not every pair was compared.
@@ -289,8 +289,7 @@ def components(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     coarse = connected(open_, "coarse")
     # A root is a member of its own cluster.
     members = written(known(coarse.union(coarse.select("root", "root").distinct()).withColumnRenamed("root", "cluster")).join(nodes.select("node", "n").hint("merge"), "node"), "members")
-    blocks = members.groupBy("cluster").agg(size("blocks"))
-    dealt = members.join(blocks.hint("merge"), "cluster").withColumn("own", part_of("blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = attached(members, "cluster", [size("blocks")], members.count()).withColumn("own", part_of("blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "known")
     links = led.union(verified(dealt, "block-links"))
     roots = connected(links, "components")
