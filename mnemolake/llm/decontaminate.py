@@ -2,9 +2,10 @@
 
 The benchmark (a query set) is cut into blocks of bounded size, each broadcast. A shard is a bounded run of documents
 in a task. Its words become ids of the block's vocabulary (0: not in it), its suffix array is built over the
-positions whose words are in the vocabulary, and every benchmark suffix is binary-searched in it. The range of
-suffixes that agree on a window's words are all the verbatim places of that window; the longest match of a suffix
-comes from the same search. Matches are confirmed on the words themselves.
+positions whose words are in the vocabulary, and every benchmark suffix that begins with a window is binary-searched in
+it. The range of suffixes that agree on the window's words are all its verbatim places: they give the words that are
+hit, the items, and, where a suffix and the one after it are found at places one after the other, the longest match of
+each document with its place. The words of all places are compared with the benchmark's, as ids stand for 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from mnemolake.llm.tokens import map_texts
 WINDOW = 13
 #: Words of benchmark items in one broadcast block.
 BLOCK_WORDS = 1 << 20
+#: Columns of a document's longest match.
+LONGEST = ("longest", "longest_item", "longest_item_word", "longest_word")
 #: Fixed value: what separates words, on bytes (A-Z lower-cased first).
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -160,26 +163,57 @@ class Shard:
         self.order = order[self.text[order] >= 0]
 
 
-def hits(shard: Shard, block: Block, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hit words of the shard (booleans), and distinct pairs (document, item) as rows."""
+@dataclass
+class Hits:
+    """What a block has in a shard: hit words (booleans), distinct rows (document, item), and by document the longest
+    match as rows (document, words, item, its word there, word of the document)."""
+
+    covered: np.ndarray
+    pairs: np.ndarray
+    longest: np.ndarray
+
+
+def hits(shard: Shard, block: Block, window: int) -> Hits:
     covered = np.zeros(len(shard.ids) + 1, np.int32)
     place, size, item = block.windows(window)
+    nothing = Hits(covered[:-1] > 0, np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64))
     if not len(shard.order) or not len(place):
-        return covered[:-1] > 0, np.zeros((0, 2), np.int64)
+        return nothing
     query = np.append(block.ids, np.full(window + 1, -2, np.int32))
     low, high = search(shard.text, shard.order, query, place, size)
     found = np.flatnonzero(high > low)
+    if not len(found):
+        return nothing
     count = (high - low)[found]
     rank = np.repeat(low[found], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     at, which = shard.back[shard.order[rank]], np.repeat(found, count)
     np.add.at(covered, at, 1)
     np.add.at(covered, at + size[which], -1)
-    pairs = np.unique(np.stack((shard.owner[at], item[which]), 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-    return np.cumsum(covered)[:-1] > 0, pairs
+    pairs = np.unique(np.stack((shard.owner[at], item[which]), 1), axis=0)
+    # Windows that follow each other in an item and in a document are one match.
+    shift = at - place[which]
+    sort = np.lexsort((at, shift, item[which], shard.owner[at]))
+    at, which, shift = at[sort], which[sort], shift[sort]
+    owner = shard.owner[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (item[which[1:]] != item[which[:-1]]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
+    head = np.flatnonzero(new)
+    words_ = np.diff(np.append(head, len(at))) - 1 + size[which[head]]
+    best = head[np.lexsort((at[head], item[which[head]], -words_, owner[head]))]
+    words_ = dict(zip(head.tolist(), words_.tolist()))
+    best = best[np.unique(owner[best], return_index=True)[1]]
+    i = which[best]
+    longest = np.stack((owner[best], np.array([words_[h] for h in best.tolist()]), item[i], place[i] - block.start[:-1][item[i]], at[best]), 1)
+    return Hits(np.cumsum(covered)[:-1] > 0, pairs, longest)
+
+
+def spelled_alike(own: list[bytes], ids: np.ndarray, hit: np.ndarray, block: Block) -> bool:
+    """Whether the hit words of a document are the benchmark's words that they have the ids of."""
+    return all(own[k] == block.spelled[ids[k] - 1] for k in np.flatnonzero(hit).tolist())
 
 
 def exact_hits(text: bytes, block: Block, items: list[int], window: int) -> tuple[np.ndarray, list[int]]:
-    """The same for one document by comparing words: confirms what hashes found, for the items found."""
+    """Hit words and items of one document by comparing words: for documents where different words share a hash."""
     own = words(text)
     hit, seen = np.zeros(len(own), bool), []
     for i in items:
@@ -214,7 +248,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, items (their ids, sorted, comma-joined).
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, items (their ids, sorted, comma-joined),
+    longest (words of its longest verbatim match), longest_item, longest_item_word and longest_word (where that begins
+    in the item and in the document). Of equally long matches the one of the item that comes first in the benchmark's
+    rows counts, then the first in the document; without a window they are 0 and null.
 
     A document is contaminated if n_hit > 0 and ``share`` * n_hit >= n_words. One row comes out for each row that
     goes in, also for repeated rows and null ids. Null and empty texts have no words; null or empty items have no
@@ -228,26 +265,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         hashes, first = alnum_hasher().texts(texts)
         hit = np.zeros(len(hashes), bool)
         items: list[set[str]] = [set() for _ in texts]
+        longest: list[tuple] = [(0, None, None, None)] * len(texts)
         for shared in blocks:
             block = shared.value
-            _, pairs = hits(Shard(hashes, first, block, window, block.shortest(window)), block, window)
-            for d in np.unique(pairs[:, 0]) if len(pairs) else ():
-                own, seen = exact_hits(texts[d], block, pairs[pairs[:, 0] == d, 1].tolist(), window)
-                hit[first[d] : first[d + 1]] |= own
+            shard = Shard(hashes, first, block, window, block.shortest(window))
+            got = hits(shard, block, window)
+            ends = np.searchsorted(got.pairs[:, 0], np.arange(len(texts) + 1))
+            for d, words_, item, there, at in got.longest.tolist():
+                own = words(texts[d])
+                a, b = first[d], first[d + 1]
+                seen = got.pairs[ends[d] : ends[d + 1], 1].tolist()
+                mine = got.covered[a:b]
+                if not spelled_alike(own, shard.ids[a:b], mine, block):
+                    mine, seen = exact_hits(texts[d], block, seen, window)
+                    words_ = 0
+                hit[a:b] |= mine
                 items[d].update(block.names[i] for i in seen)
-            if len(blocks) > 1 and hasattr(shared, "_path") and shared._path:
-                vars(shared).pop("_value", None)  # one block in memory at a time; the next use reads its file again
+                if words_ > longest[d][0]:
+                    longest[d] = (words_, block.names[item], there, at - int(a))
         n = np.diff(first)
         counts = np.diff(np.concatenate(([0], np.cumsum(hit)))[first])
         joined = [",".join(sorted(s)) for s in items]
         columns = [n, counts, [len(s) for s in items]]
         return pa.RecordBatch.from_arrays(
-            [*part.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in columns), pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined]), pa.array((counts > 0) & (share * counts >= n)), pa.array(joined, pa.string())],
-            names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+            [*part.columns[: len(keep)], *(pa.array(c, pa.int64()) for c in columns), pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined]), pa.array((counts > 0) & (share * counts >= n)), pa.array(joined, pa.string()), *(pa.array([x[k] for x in longest], pa.string() if k == 1 else pa.int64()) for k in range(4))],
+            names=[*keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *LONGEST],
         )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return map_texts(docs, work, f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items string", keep, text_col)
+    return map_texts(docs, work, f"{kinds}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items string, longest long, longest_item string, longest_item_word long, longest_word long", keep, text_col)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

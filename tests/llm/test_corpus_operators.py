@@ -107,6 +107,57 @@ def test_contamination(spark, block_words):
     assert decontaminate.contamination(docs(spark, texts), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def longest_match(text, items, window):
+    """(words, item, its word, word of the document) of the longest match that holds a window."""
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    own, best = split(text), (0,)
+    for name, item in items:
+        words = split(item)
+        for i in range(len(own)):
+            for j in range(len(words)):
+                if i and j and own[i - 1] == words[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(own) and j + n < len(words) and own[i + n] == words[j + n]:
+                    n += 1
+                if n >= min(window, len(words)) and n > best[0]:
+                    best = (n, str(name), j, i)
+    return best
+
+
+def test_longest_match_of_a_document(spark):
+    """Repeated and nested passages, whole items in a document, repeated rows, null ids, texts of several slices."""
+    rng = random.Random(33)
+    items = [(i, prose(rng, rng.randrange(3, 30))) for i in range(10)]
+    texts = [None, "", *(prose(rng, rng.randrange(50)) for _ in range(20))]
+    texts += [prose(rng, 3) + " " + " ".join(items[i][1].split()[2:]) + " zz " + items[i][1] + " " + prose(rng, 5) for i in range(10)]
+    texts += [" ".join(w for _, t in items for w in t.split()), "filler words " * 60_000 + items[4][1]]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(25, texts[25], "en", "s"), (None, texts[24], "en", "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    got = decontaminate.contamination(make(spark, rows), bench, window=5).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = texts[24 if r.doc_id is None else r.doc_id]
+        want = longest_match(text[-5000:] if r.doc_id == len(texts) - 1 else text, items, 5)
+        if want == (0,):
+            assert (r.longest, r.longest_item, r.longest_word) == (0, None, None)
+        else:
+            assert r.longest == want[0]
+            item = dict((str(i), t) for i, t in items)[r.longest_item].split()
+            assert [w.lower() for w in item[r.longest_item_word :][: r.longest]] == re.findall(r"\w+", text.lower())[r.longest_word :][: r.longest]
+        n, hit, seen = hit_words(text[-5000:] if r.doc_id == len(texts) - 1 else text, items, 5)
+        assert (r.n_hit, r["items"]) == (hit, ",".join(seen))
+
+
+def test_words_that_share_a_hash(monkeypatch):
+    """Hash collisions between document and benchmark words don't count."""
+    block = decontaminate.Block.of([("i", b"one two three four")])
+    text = b"one two three five"
+    ids = np.array([int(block.ids[k]) for k in range(4)], np.int32)
+    assert not decontaminate.spelled_alike(text.split(), ids, np.ones(4, bool), block)
+    assert decontaminate.exact_hits(text, block, [0], 3) == (pytest.approx(np.array([True, True, True, False])), [0])
+
+
 def test_longest_matches(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     got = decontaminate.longest(docs(spark, ["x b c d y", "c d e f"]), bench, at_least=3).collect()
