@@ -1,8 +1,9 @@
 """WARC archives as chunked record tables.
 
-Writing is JVM-side: a record is one row of a text table whose line separator is the blank line that ends a WARC
-record, so any file system that Spark writes to holds the archives, under its commit protocol. A payload above
-``chunk_bytes`` is written in HTTP chunks, which also bounds the lines that a reader meets.
+Writing is JVM-side: a record is some consecutive rows of a text table with CRLF after each, so any file system that
+Spark writes to holds the archives, under its commit protocol. The first row is the headers; a payload above
+``chunk_bytes`` follows in HTTP chunks, a row each, so no record is ever put together as a whole. The payload itself is
+one value of the input, which Spark holds as it reads it.
 
 Reading streams: the archives are gzip files, so one task reads one file in order, line by line, and a parser emits
 rows of a record's identifier, chunk number, bytes and the SHA-1 of all bytes so far. Neither it nor the rows ever
@@ -29,43 +30,50 @@ BATCH_BYTES = 1 << 20
 def revisits(pages: DataFrame, id_col: str, payload: Column, at_least: int) -> DataFrame:
     """``pages`` with _payload, _bytes, _digest and _first: of equal payloads of ``at_least`` bytes the largest id.
 
-    Equality is that of SHA-256 and length. Only digests that occur twice are joined back; they are summed up before
-    any shuffle, and the join's hot keys can be split by Spark.
+    Equality is that of SHA-256 and length. It is settled on ids and hashes alone; then each payload is joined once, by
+    its id and hash, so a payload that very many pages have isn't a hot key.
     """
-    rows = pages.withColumn("_payload", payload).withColumns({"_bytes": F.octet_length("_payload").cast("long"), "_digest": F.sha1("_payload"), "_key": F.sha2("_payload", 256)})
-    keys = pages.select(F.col(id_col).alias("_id"), payload.alias("_payload")).where(F.octet_length("_payload") >= at_least)
-    several = keys.groupBy(F.sha2("_payload", 256).alias("_key")).agg(F.max("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
-    return rows.join(several, "_key", "left")
+    key = F.sha2("_payload", 256)
+    keys = pages.select(F.col(id_col).alias("_id"), payload.alias("_payload")).where(F.octet_length("_payload") >= at_least).select("_id", key.alias("_key"))
+    largest = keys.groupBy("_key").agg(F.max("_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
+    again = keys.join(largest.hint("merge"), "_key").where("_first > _id").select("_id", "_key", "_first").distinct()
+    rows = pages.withColumn("_payload", payload).withColumns({"_bytes": F.octet_length("_payload").cast("long"), "_digest": F.sha1("_payload"), "_key": key})
+    return rows.join(again.hint("merge"), (F.col(id_col) == F.col("_id")) & (rows["_key"] == again["_key"]), "left").drop("_id").drop(again["_key"])
 
 
 def record_lines(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", at_least: int = REVISIT_BYTES, chunk_bytes: int = CHUNK_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """One string a record, without the blank line that ends it."""
+    """Rows of archives, in order, each to be ended by CRLF."""
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit("").cast("binary"))
     rows = revisits(pages.select(F.col(id_col), F.col(url_col), F.col(html_col)), id_col, payload, at_least)
-    again = F.coalesce(F.col("_first") > F.col(id_col), F.lit(False))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    # A target that would break the header is percent-encoded.
+    again = F.col("_first").isNotNull()
+    # A string id may hold anything: it is percent-encoded. A target that would break the header is, too.
+    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(c.cast("string")), F.lit("")), F.lit(">"))
     url = F.coalesce(F.regexp_replace(F.col(url_col), "[\\x00-\\x20\\x7F]", "%20"), F.lit(""))
     target = F.when(F.length(url) > 0, F.concat(F.lit("WARC-Target-URI: "), url, F.lit("\r\n"))).otherwise("")
-    large = F.col("_bytes") > chunk_bytes
-    count = F.ceil(F.col("_bytes") / chunk_bytes)
-    piece = lambda i: F.substring(F.col("_payload"), (i * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
-    chunked = F.concat(F.concat_ws("", F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.concat(F.hex(F.octet_length(piece(i)).cast("long")), F.lit("\r\n"), piece(i).cast("string"), F.lit("\r\n")))), F.lit("0\r\n\r\n"))
-    body = F.when(again, F.lit("")).when(large, chunked).otherwise(F.col("_payload").cast("string"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), F.when(large & ~again, F.lit("Transfer-Encoding: chunked\r\n")).otherwise(F.concat(F.lit("Content-Length: "), F.col("_bytes").cast("string"), F.lit("\r\n"))), F.lit("\r\n"))
-    made = rows.withColumn("_block", F.concat(http, body))
+    size = F.col("_bytes")
+    chunked = (size > chunk_bytes) & ~again
+    count, rest = F.ceil(size / chunk_bytes), size % chunk_bytes
+    one = lambda n: F.length(F.hex(n)) + 4 + n
+    body = F.when(again, 0).when(chunked, F.floor(size / chunk_bytes) * one(F.lit(chunk_bytes)) + F.when(rest > 0, one(rest)).otherwise(0) + 5).otherwise(size)
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), F.when(chunked, F.lit("Transfer-Encoding: chunked\r\n")).otherwise(F.concat(F.lit("Content-Length: "), size.cast("string"), F.lit("\r\n"))))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(again, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: "), name(F.col(id_col)), F.lit(f"\r\nWARC-Date: {date}\r\n"), target,
         F.lit("WARC-Payload-Digest: sha1:"), F.col("_digest"), F.lit("\r\n"),
         F.when(again, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("_first")), F.lit("\r\n"))).otherwise(""),
-        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length("_block").cast("string"), F.lit(END),
+        F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), (F.length(http) + 2 + body).cast("string"), F.lit(END), http,
     )
-    return made.select(F.concat(head, F.col("_block")).alias("value"))
+    # Row 0 is the headers; then come the chunks, and what ends chunks and record; or a whole short payload.
+    last = F.when(chunked, count + 1).otherwise(F.lit(1).cast("long"))
+    steps = rows.withColumn("_last", last).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    i = F.col("_i")
+    piece = F.substring(F.col("_payload"), ((i - 1) * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
+    line = F.when(i == 0, head).when(again, F.lit("\r\n")).when(~chunked, F.concat(F.col("_payload").cast("string"), F.lit("\r\n"))).when(i == F.col("_last"), F.lit("0\r\n\r\n\r\n")).otherwise(F.concat(F.hex(F.octet_length(piece).cast("long")), F.lit("\r\n"), piece.cast("string")))
+    return steps.select(line.alias("value"))
 
 
 def write(pages: DataFrame, path: str, **options) -> None:
     """Write gzip archives (``part-*.txt.gz``) to ``path``; see record_lines for the options."""
-    record_lines(pages, **options).write.option("lineSep", END).option("compression", "gzip").text(path)
+    record_lines(pages, **options).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 class Parser:
@@ -185,7 +193,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def page_of(record: Column, kind: str) -> Column:
     """The page id in a record id."""
-    return F.nullif(F.regexp_extract(record, "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
+    return F.nullif(F.url_decode(F.regexp_extract(record, "^<urn:page:(.*)>$", 1)), F.lit("")).cast(kind)
 
 
 def archive_roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -193,7 +201,8 @@ def archive_roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     One row comes back for each row written. Of equal payloads of at least REVISIT_BYTES bytes the record with the
     largest id is a response, and so is each other row with that id or without an id; the rest are revisits. A null
-    html is an empty payload, a null url leaves out the target; other columns are ignored.
+    html is an empty payload, a null url leaves out the target; other columns are ignored. An empty string id comes back
+    as null; an empty table gives an empty one.
     """
     path = path or scratch_path(pages.sparkSession, "warc")
     write(pages, path, id_col=id_col, url_col=url_col, html_col=html_col, chunk_bytes=chunk_bytes)

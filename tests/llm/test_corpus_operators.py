@@ -214,6 +214,18 @@ def test_archives(spark, tmp_path):
     assert warc.archive_roundtrip(pages.limit(0)).count() == 0
 
 
+def test_large_payloads_and_odd_ids(spark):
+    """Payloads of several MB, of exactly one or two chunks, and string ids that would break a header."""
+    sizes = {"a b": 3_000_001, "x\r\ny>": 65_536, "é": 131_072, "c": 65_537, "d": 999, "e": 3_000_001}
+    rows = [(k, "u", ("é\n" if k in "a b e" else "q\r") * (n // 2) + "x" * (n % 2)) for k, n in sizes.items()]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(2)
+    got = {r.page_id: r for r in warc.archive_roundtrip(pages).collect()}
+    assert got.keys() == sizes.keys()
+    for k, _, h in rows:
+        assert (got[k].payload_bytes, got[k].payload_digest) == (len(h.encode()), hashlib.sha1(h.encode()).hexdigest())
+        assert (got[k].record_type, got[k].refers_to) == (("revisit", "e") if k == "a b" else ("response", None))
+
+
 def test_archives_are_warc(spark, tmp_path):
     import gzip
     import pathlib
