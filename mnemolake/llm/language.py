@@ -10,7 +10,6 @@ id) of whole texts; every whole text is classified.
 
 from __future__ import annotations
 
-import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +22,7 @@ from pyspark.sql import types as T
 
 from mnemolake.llm.tokens import map_texts
 
-PROFILE, MAX_DOCUMENTS, MAX_LANGUAGES = 400, 3000, 500
+PROFILE, MAX_DOCUMENTS = 400, 3000
 UNKNOWN = "und"
 #: How far a document may be from its profile: this quantile of the distances of labelled documents and a margin. Groups
 #: of fewer documents than FEWEST have no quantile of their own.
@@ -110,7 +109,7 @@ class Profiles:
     def of(cls, lists: dict[str, list[int]], size: int) -> Profiles:
         names = sorted(lists)
         codes = np.unique(np.array([c for x in lists.values() for c in x], np.int64))
-        ranks = np.full((len(names), len(codes) + 1), size, np.int64)
+        ranks = np.full((len(names), len(codes) + 1), size, np.int32)
         for i, name in enumerate(names):
             ranks[i, np.searchsorted(codes, np.array(lists[name], np.int64))] = np.arange(len(lists[name]))
         return cls(names, codes, ranks, size)
@@ -140,23 +139,19 @@ class Profiles:
 
 
 def sample(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_documents: int = MAX_DOCUMENTS) -> DataFrame | None:
-    """Rows (lang, text): about ``max_documents`` of each language (at most MAX_LANGUAGES) of the rows with ``train``."""
-    own = docs.where(train & F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in own.groupBy(F.col(lang_col).cast("string")).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
+    """Rows (lang, text): about ``max_documents`` of each language of the rows with ``train``; None without any."""
+    lang = F.col(lang_col).cast("string")
+    own = docs.where(train & F.col(lang_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))).alias("_hash"))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("_n"))
+    if sizes.isEmpty():
         return None
-    share = F.lit(0)
-    for name, n in sizes.items():
-        share = F.when(F.col(lang_col).cast("string") == name, math.ceil((1 << 30) * min(1.0, max_documents / n))).otherwise(share)
     # Rows without an id have no hash of their own: the text's stands in.
-    chosen = own.where(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 30)) < share)
-    return chosen.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    share = F.ceil(F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(max_documents) / F.col("_n")))
+    return own.join(sizes, "lang").where(F.pmod(F.col("_hash"), F.lit(1 << 30)) < share).select("lang", "text")
 
 
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, max_documents: int = MAX_DOCUMENTS) -> Profiles:
-    """Profiles of the languages that rows with ``train`` and a non-null language have (at most MAX_LANGUAGES)."""
+    """Profiles of the languages that rows with ``train`` and a non-null language have."""
     rows = sample(docs, train, id_col, text_col, lang_col, max_documents)
     return Profiles.of({}, size) if rows is None else _profiles(rows, size)
 

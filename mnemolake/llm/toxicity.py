@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import WordHasher, byte_class, mix
+from mnemolake.llm.common import WordHasher, byte_class, mix, written
 from mnemolake.llm.tokens import map_texts
 
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
@@ -121,32 +121,57 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(words, theta[:k], float(theta[k]))
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, count: int, most: int) -> list[np.ndarray]:
-    """Distinct word hashes of about ``most`` documents at most, by a hash of the id."""
+def _sampled(docs: DataFrame, id_col: str, text_col: str, count: int, most: int, words: np.ndarray | None = None) -> DataFrame:
+    """Rows (id, words): distinct word hashes (of ``words`` alone, if given) of ``most`` documents, by a hash of the id."""
     hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30))
     some = docs.where(hashed < int((1 << 30) * min(1.0, 0.9 * most / max(1, count)))) if count > most else docs
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         hashes, first = features().texts(texts)
-        each = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first, first[1:])]
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(each, pa.binary())], names=[id_col, "words"])
+        each = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
+        if words is not None:
+            each = [x[np.isin(x, words, assume_unique=True)] for x in each]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in each]))).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.uint64), *each]).view(np.int64)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[id_col, "words"])
 
-    got = map_texts(some, work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, words binary", [id_col], text_col)
-    rows = sorted((str(r[0]), bytes(r[1])) for r in got.limit(most).collect())
+    got = map_texts(some, work, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, words array<long>", [id_col], text_col)
+    # The share is below the bound: that it is passed is a matter of chance, and then the largest hashes go.
+    return got.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col, F.xxhash64("words")).limit(most) if count > most else got
+
+
+def _sample(*of, words: np.ndarray) -> list[np.ndarray]:
+    rows = sorted((str(r[0]), np.array(r[1], np.int64).tobytes()) for r in _sampled(*of, words=words).collect())
     return [np.frombuffer(w, np.uint64) for _, w in rows]
 
 
+def _common(positive: DataFrame, min_share: float) -> np.ndarray:
+    """Hashes of the words that enough positives have, counted by Spark. Their number has a bound, as each takes up a
+    share of all positives' words."""
+    positive = written(positive, "positives")
+    n = positive.count()
+    often = positive.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(min(3, n), min_share * n))
+    return np.sort(np.array([r[0] for r in often.select("w").collect()], np.int64).view(np.uint64))
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fit on the documents for which ``train`` (of the id column) is true. A document is positive if any label says so."""
+    """Fit on the documents for which ``train`` (of the id column) is true. A document is positive if any label says so.
+
+    Only features that MIN_SHARE of the sampled positives have reach the driver. Repeated rows count as often as they
+    occur, labels of null ids and null labels not at all. Without positives, labels or documents the model is the prior
+    alone, with which nothing is predicted.
+    """
     said = labels.where(F.col(id_col).isNotNull() & train).groupBy(F.col(id_col)).agg(F.max(F.col(toxic_col).cast("int")).alias("_toxic"))
     known, toxic = said.where("_toxic is not null").agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     own = docs.where(train).select(id_col, text_col)
     total = own.count()
     prior = prior if prior is not None else min(0.9, max(1e-4, toxic / known)) if known else 0.0
     marked = said.where("_toxic = 1").select(id_col)
-    positive = _sample(own.join(marked, id_col, "left_semi"), id_col, text_col, toxic, max_positive) if toxic else []
+    chosen = (own.join(marked, id_col, "left_semi"), id_col, text_col, toxic, max_positive)
+    words = _common(_sampled(*chosen), MIN_SHARE) if toxic else np.zeros(0, np.uint64)
+    positive = _sample(*chosen, words=words) if toxic else []
     # Positives are part of the unlabelled text too, at their own rate.
-    unlabelled = _sample(own, id_col, text_col, total, max_unlabelled)
+    unlabelled = _sample(own, id_col, text_col, total, max_unlabelled, words=words) if toxic else []
     return fit(positive, unlabelled, prior)
 
 

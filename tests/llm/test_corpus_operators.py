@@ -826,6 +826,40 @@ def test_toxicity(spark):
     assert toxicity.score(d, nothing).where("predicted = 1").count() == 0
 
 
+def test_risk_and_gradient():
+    """The fit brings down the non-negative risk, written out with dense matrices, and separates what marks separate."""
+    rng = np.random.default_rng(5)
+    marks = [np.uint64(k + 1) for k in range(4)]
+    doc = lambda bad: np.unique(np.array([*rng.choice(np.arange(100, 140), 8), *(rng.choice(marks, 2) if bad else [])], np.uint64))
+    positive, unlabelled = [doc(True) for _ in range(200)], [doc(i % 5 == 0) for i in range(600)]
+    model = toxicity.fit(positive, unlabelled, 0.2)
+    assert set(model.words.tolist()) == {1, 2, 3, 4}
+    dense = lambda docs_: np.array([[w in d for w in model.words] for d in docs_], float)
+    xp, xu = dense(positive), dense(unlabelled)
+
+    def risk(w, b):
+        zp, zu = xp @ w + b, xu @ w + b
+        return 0.2 * np.logaddexp(0, -zp).mean() + max(0.0, np.logaddexp(0, zu).mean() - 0.2 * np.logaddexp(0, zp).mean())
+
+    at = risk(model.weights, model.bias)
+    assert at < 0.5 * risk(np.zeros(4), np.log(0.2 / 0.8))
+    # Marks only ever stand in toxic text: without any of their weights the risk is worse, and all of them are for it.
+    assert all(model.weights > 0) and risk(np.zeros(4), model.bias) > at
+    scores = model.scores(np.concatenate([*positive, *unlabelled]), np.cumsum([0, *map(len, positive), *map(len, unlabelled)]))
+    assert scores[:200].min() > 0.7 and max(s for i, s in enumerate(scores[200:]) if i % 5) < 0.3
+
+
+def test_toxicity_of_odd_tables(spark):
+    """Empty tables, repeated rows, clashing columns, a very long text."""
+    d = make(spark, [(i, "idiot " + "word " * 3 if i % 5 == 0 else "fine word", "en", "s") for i in range(200)] * 2 + [(999, "word " * 300_000 + "idiot", "en", "s")])
+    marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(d, marks, F.lit(True))
+    got = {(r.doc_id, r.predicted) for r in toxicity.score(d, model).collect()}
+    assert got == {(i, int(i % 5 == 0)) for i in range(200)} | {(999, 1)}
+    nothing = toxicity.learn(d.limit(0), marks, F.lit(True))
+    assert toxicity.score(d.limit(0), nothing).count() == 0 and toxicity.score(d, nothing).where("predicted = 1").count() == 0
+
+
 def test_word_hashes_of_long_texts(monkeypatch):
     rng = random.Random(19)
     text = prose(rng, 4000).encode()
