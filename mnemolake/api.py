@@ -11,12 +11,12 @@ from mnemolake import schemas as S
 from mnemolake.functions import predicates as P
 from mnemolake.functions.text import content_hash, domain_name
 from mnemolake.operators import consolidate as C
-from mnemolake.operators import facts as K
 from mnemolake.operators import graph as G
 from mnemolake.operators import log as L
 from mnemolake.operators import search as R
-from mnemolake.providers import EmbeddingProvider, Heuristic, query_vector
-from mnemolake.store import Store
+from mnemolake.providers import EmbeddingProvider, Heuristic, embed_missing, query_vector
+from mnemolake.scratch import written
+from mnemolake.store import Conflict, Store
 
 
 class Memory:
@@ -76,23 +76,44 @@ class Memory:
         return self.store.table("session_events").where(own & (F.col("sequence") > after)).orderBy("sequence").limit(limit)
 
     def capture_fact(self, fact_id: str, session: str, content: str, now: datetime, domain_hint: str | None = None) -> None:
-        """Stage one explicit fact; the same text in a session is taken once."""
+        """Stage one explicit fact; the same text in a session is taken once. Nothing that is staged is read or rewritten."""
         row = self.store.spark.createDataFrame([(fact_id, session, content, domain_hint)], "id string, session_id string, content string, domain_hint string")
-        held = self.store.table("session_facts")
+        held = S.schema("session_facts")
         new = row.withColumns({"content_hash": content_hash(F.col("content")), "source_origin": F.lit("explicit"), "created_at": self._now(now), "domain_hint": F.when(F.col("domain_hint").isNotNull(), domain_name(F.col("domain_hint")))})
-        full = new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(held.schema[c].dataType).alias(c) for c in held.columns])
-        self.store.commit({"session_facts": K.insert_ignore(held, full, ["session_id", "content_hash"], [F.col("created_at"), F.col("id")])})
+        full = new.select(*[(F.col(c) if c in new.columns else F.lit(None)).cast(held[c].dataType).alias(c) for c in held.names])
+        self.store.append("session_facts", full)
 
     def consolidate(self, run_id: str, now: datetime) -> DataFrame:
-        """Integrate what is staged; returns the run's counts. All tables change in one commit."""
-        staged = self.store.table("session_facts")
-        open_ = staged.where("consolidation_id is null").join(self.store.table("sessions").select(F.col("id").alias("session_id"), "project"), "session_id", "left")
-        out = C.consolidate(open_, self.store.table("facts").join(self.store.table("sessions").select(F.col("id").alias("session_id"), "project"), "session_id", "left"), self._now(now), self.provider.vocabulary, run_id)
-        facts = self.store.table("facts")
-        claimed = staged.withColumn("consolidation_id", F.coalesce("consolidation_id", F.lit(run_id)))
-        counts = self.store.spark.createDataFrame(out["counts"].collect(), out["counts"].schema)
-        self.store.commit({"facts": out["facts"].select(*facts.columns), "session_facts": claimed.select(*staged.columns)})
-        return counts
+        """Integrate what is staged; returns the run's counts. All tables change in one commit, under the lease.
+
+        Facts, claims on staged facts, decisions, the run's record, its uses and the vectors of new facts are written.
+        """
+        store, began = self.store, now.timestamp()
+        if not store.take(run_id, began):
+            raise Conflict("another run holds the lease")
+        try:
+            staged, facts = store.table("session_facts"), store.table("facts")
+            projects = store.table("sessions").select(F.col("id").alias("session_id"), "project")
+            open_ = staged.where("consolidation_id is null").join(projects, "session_id", "left")
+            out = C.consolidate(open_, facts.join(projects, "session_id", "left"), self._now(now), self.provider.vocabulary, run_id)
+            counts = store.spark.createDataFrame(out["counts"].collect(), out["counts"].schema)
+            integrated = written(out["facts"].select(*facts.columns), "integrated")
+            tables = {"facts": integrated, "session_facts": staged.withColumn("consolidation_id", F.coalesce("consolidation_id", F.lit(run_id))).select(*staged.columns)}
+            relations = out["relations"].withColumnRenamed("verdict", "context_verdict").withColumns({"id": F.concat_ws(":", "consolidation_id", "kind", "fact_id", "related_fact_id"), "created_at": self._now(now), "session_fact_id": F.when(F.col("kind") == "corroborated_by", F.col("related_fact_id"))})
+            record = counts.withColumns({"id": F.lit(run_id), "created_at": self._now(now)})
+            run = store.spark.createDataFrame([(run_id,)], "consolidation_id string").withColumns({"id": F.concat(F.lit("run:"), "consolidation_id"), "kind": F.lit("consolidate"), "created_at": self._now(now)})
+            added = {"fact_relations": relations, "consolidations": record, "intelligence_runs": run}
+            if self.embedder is not None:
+                held = store.table("fact_embeddings").where(F.col("model") == self.embedder.model).select(F.col("fact_id").alias("id"))
+                added["fact_embeddings"] = embed_missing(integrated.join(held, "id", "left_anti"), self.embedder).withColumn("created_at", self._now(now))
+            for name, rows in added.items():
+                held = store.table(name)
+                full = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.schema(name)])
+                tables[name] = held.select(*full.columns).unionByName(full)
+            store.commit(tables, holder=run_id)
+            return counts
+        finally:
+            store.release(run_id)
 
     def prune(self, spare: int = 20, apply: bool = False) -> int:
         """How many events nothing reaches; with ``apply`` they go."""

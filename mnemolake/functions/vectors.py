@@ -30,7 +30,9 @@ def cosine(a: Column, b: Column) -> Column:
 def truncated(a: Column, dims: int) -> Column:
     """The first ``dims`` numbers, to unit length."""
     head = F.slice(a, 1, dims)
-    return F.transform(head, lambda x: F.when(norm(head) > 0, x.cast("double") / norm(head)).otherwise(x.cast("double")))
+    scaled = lambda n: F.transform(head, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    # The norm is bound once, not computed for each number.
+    return F.get(F.transform(F.array(norm(head)), scaled), F.lit(0))
 
 
 def pack(vector: list[float]) -> bytes:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemolake import schemas as S
 from mnemolake.functions.text import fold
+from mnemolake.scratch import written
 
 
 def potentiated(n: Column, strength: Column | None = None) -> Column:
@@ -44,20 +45,17 @@ def same_as_closure(seeds: DataFrame, edges: DataFrame, cap: int = S.FAMILY_CAP)
     Breadth first, at most ``cap`` rounds, and no family grows past one round beyond the cap.
     """
     both = edges.select(F.col("from_entity").alias("x"), F.col("to_entity").alias("y")).union(edges.select("to_entity", "from_entity")).distinct()
-    found = seeds.select("seed", F.col("seed").alias("member")).distinct()
+    both = written(both, "identity-edges")
+    found = written(seeds.select("seed", F.col("seed").alias("member")).distinct(), "family")
     front = found
-    size = found.count()
     for _ in range(cap):
         small = found.groupBy("seed").count().where(F.col("count") <= cap).select("seed")
         new = front.join(small, "seed").join(both, F.col("member") == F.col("x")).select("seed", F.col("y").alias("member")).distinct().join(found, ["seed", "member"], "left_anti")
-        # Rounds are few and each family is bounded; lineage is cut by a checkpoint where one is set.
-        found = found.union(new)
-        if found.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            found, new = found.checkpoint(), new.checkpoint()
-        grown = found.count()
-        if grown == size:
+        # Each round is a table of its own, so lineage is a few scans.
+        front = written(new, "family")
+        if front.isEmpty():
             break
-        size, front = grown, new
+        found = found.union(front)
     counts = found.groupBy("seed").agg(F.count("*").alias("_n"))
     return found.join(counts, "seed").where((F.col("_n") <= cap) | (F.col("member") == F.col("seed"))).select("seed", "member")
 

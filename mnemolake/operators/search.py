@@ -12,6 +12,11 @@ from mnemolake import schemas as S
 from mnemolake.functions import predicates as P
 from mnemolake.functions.text import clip, search_tokens
 from mnemolake.functions.vectors import cosine
+from mnemolake.scratch import written
+
+
+#: Query vectors that are sent out together.
+QUERY_BLOCK = 1024
 
 
 def indexed(corpus: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -41,14 +46,19 @@ def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     """Scores (query_id, id, score) of rows that hold every phrase of a query.
 
     Statistics are over the whole index. Single-token phrases go through postings (token, id, count), made for the
-    tokens that are asked only; longer ones are counted on the rows that their rarest check, the first token, finds.
+    tokens that are asked only; longer ones are counted on the rows that their first token finds.
     """
     phrases = query_phrases(queries)
-    size = index.select("id", F.size(F.filter("tokens", lambda t: t != "")).alias("length"), "tokens")
-    stats = size.agg(F.count("*").cast("double").alias("rows"), F.avg("length").alias("mean"))
-    asked = phrases.select("phrase", F.get("phrase", F.lit(0)).alias("token")).distinct()
-    # Postings are filtered by the tokens asked before they are made pairs: one row for a document and asked token.
-    postings = size.select("id", "length", "tokens", F.explode(F.array_distinct("tokens")).alias("token")).join(asked, "token").select("id", "length", "phrase", _occurrences(F.col("tokens"), F.col("phrase")).alias("f")).where("f > 0")
+    asked = phrases.select(F.get("phrase", F.lit(0)).alias("token"), "phrase").distinct()
+    # One row with the phrases of the query set. A document keeps its counts of those whose first token it has. Texts
+    # are read and cut into tokens once: the counts are written, as statistics, rarity and scores all need them.
+    whole = asked.agg(F.collect_set("token").alias("tokens_asked"), F.collect_set(F.struct("token", "phrase")).alias("asked"))
+    own = index.crossJoin(F.broadcast(whole)).withColumn("have", F.array_intersect("tokens", "tokens_asked"))
+    counted = F.transform(F.filter("asked", lambda a: F.array_contains("have", a["token"])), lambda a: F.struct(a["phrase"].alias("phrase"), _occurrences(F.col("tokens"), a["phrase"]).alias("f")))
+    made = own.select("id", F.size(F.filter("tokens", lambda t: t != "")).alias("length"), F.filter(counted, lambda x: x["f"] > 0).alias("found"))
+    made = written(made, "postings")
+    stats = made.agg(F.count("*").cast("double").alias("rows"), F.avg("length").alias("mean"))
+    postings = made.select("id", "length", F.explode("found").alias("x")).select("id", "length", "x.phrase", "x.f")
     df = postings.groupBy("phrase").agg(F.count("*").alias("n"))
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     # One row of statistics: the only cross join, of 1 row.
@@ -85,14 +95,58 @@ def vector_list(vectors: DataFrame, queries: DataFrame, live: DataFrame, cap: in
     ``queries`` has (query_id, query_vector, model, dimensions); a best of 0 or less finds nothing. Query vectors
     are a stated set: every vector meets each once.
     """
-    both = vectors.join(F.broadcast(queries), ["model", "dimensions"]) if queries.count() <= 1024 else vectors.join(queries, ["model", "dimensions"])
-    scored = both.select("query_id", F.col("fact_id").alias("id"), cosine(F.col("vector"), F.col("query_vector")).alias("similarity")).where(F.col("similarity") >= floor)
+    scored = similarities(vectors, queries, floor)
     best = scored.groupBy("query_id").agg(F.max("similarity").alias("best")).where("best > 0")
     near = scored.join(best, "query_id").where(F.col("similarity") >= F.col("best") * min(max(ratio, 0.0), 1.0))
     top = ranked(near.drop("best"), [F.desc("similarity"), F.col("id")], cap)
     return top.join(live.select("id"), "id", "left_semi").select("query_id", "id", "rank0", "similarity")
 
 
+def similarities(vectors: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
+    """Cosine similarities (query_id, id, similarity) from ``floor`` on; 0 where a vector is zero.
+
+    The query vectors, a stated set, go out in blocks of bounded size. Each block is a matrix by which a batch of
+    vectors is multiplied, so every vector meets every query of its model and length once.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark, kind = vectors.sparkSession, vectors.schema["fact_id"].dataType.simpleString()
+    rows = vectors.select("fact_id", "model", "dimensions", "vector")
+
+    def unit(m: np.ndarray) -> np.ndarray:
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def block(asked: list) -> DataFrame:
+        groups: dict[tuple, list] = {}
+        for r in asked:
+            groups.setdefault((r["model"], r["dimensions"]), []).append(r)
+        sent = spark.sparkContext.broadcast({k: ([r["query_id"] for r in g], unit(np.array([r["query_vector"] for r in g], np.float64))) for k, g in groups.items()})
+
+        def run(batches):
+            for batch in batches:
+                keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+                for key in set(keys) & set(sent.value):
+                    own = np.array([i for i, k in enumerate(keys) if k == key])
+                    names, matrix = sent.value[key]
+                    part = batch.column(3).take(pa.array(own))
+                    if set(part.value_lengths().to_pylist()) - {matrix.shape[1]}:
+                        raise ValueError("vectors differ in length")
+                    got = unit(part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)) @ matrix.T
+                    v, q = np.nonzero(got >= floor)
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q.tolist()], pa.string()), batch.column(0).take(pa.array(own[v])), pa.array(got[v, q])], names=["query_id", "id", "similarity"])
+
+        return rows.mapInArrow(run, f"query_id string, id {kind}, similarity double")
+
+    out, held = None, []
+    for r in queries.select("query_id", "model", "dimensions", "query_vector").where("query_vector is not null").toLocalIterator():
+        held.append(r)
+        if len(held) == QUERY_BLOCK:
+            out, held = block(held) if out is None else out.union(block(held)), []
+    return out if out is not None and not held else block(held) if out is None else out.union(block(held))
+
+
 def rrf(lists: list[DataFrame]) -> DataFrame:
     """Reciprocal rank fusion of (query_id, id, rank0): the first place gives 1/60."""
     union = lists[0].select("query_id", "id", "rank0")

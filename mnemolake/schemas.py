@@ -32,6 +32,10 @@ TABLES: dict[str, str] = {
 }
 
 
+#: Unique keys of tables that are appended to, and which row counts.
+UNIQUE: dict[str, tuple[list[str], list[str]]] = {"session_facts": (["session_id", "content_hash"], ["created_at", "id"])}
+
+
 def schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[table])
 

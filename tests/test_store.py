@@ -113,13 +113,48 @@ def test_memory(spark, tmp_path):
     memory.consolidate("r2", later)
     facts = {r.id: (r.domain, r.status, r.superseded_by) for r in memory.store.table("facts").collect()}
     assert facts == {"f0": ("drinks", "superseded", "f3"), "f2": ("general", "active", None), "f3": ("drinks", "active", None)}
-    memory.store.commit({"fact_embeddings": embed_missing(memory.store.table("facts"), memory.embedder).withColumn("created_at", F.lit(later).cast("timestamp"))})
+    # Vectors, relations and run records came with the commits.
+    assert sorted(r.fact_id for r in memory.store.table("fact_embeddings").collect()) == ["f0", "f2", "f3"]
+    assert [(r.consolidation_id, r.fact_id, r.related_fact_id, r.kind) for r in memory.store.table("fact_relations").collect()] == [("r2", "f3", "f0", "superseded")]
+    assert sorted((r.id, r.facts_in, r.facts_integrated) for r in memory.store.table("consolidations").collect()) == [("r1", 2, 2), ("r2", 1, 1)]
+    assert memory.store.lease() is None and memory.store.table("intelligence_runs").count() == 2
     now = later + dt.timedelta(days=1)
     assert [r.id for r in memory.search_knowledge("coffee", now).collect()] == ["f3"]
     assert [r.id for r in memory.search_knowledge("coffee dark", now, as_of_system_time="2024-02-01T12:00:00").collect()][:1] == ["f0"]
     assert memory.prune() == 0
 
 
+def test_writers_don_t_lose_each_other_s_commits(spark, tmp_path, monkeypatch):
+    store, other = (M.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    domain = lambda n: spark.createDataFrame([(n, [], NOW)], M.S.schema("domains"))
+    store.commit({"domains": domain("a")})
+    assert store.take("me", 0.0) and not other.take("you", 60.0) and store.take("me", 90.0) and not other.take("you", 200.0)
+    # The holder's heart stops: the lease changes hands, and the late commit of the first holder is refused.
+    assert other.take("you", 300.0)
+    with pytest.raises(M.Conflict):
+        store.commit({"domains": domain("b")}, holder="me")
+    store.release("me")
+    assert other.lease().holder == "you"
+    other.release("you")
+    # A commit in between is seen even without a lease.
+    real = store.pointer
+    calls = []
+
+    def pointer():
+        if len(calls) == 1:
+            other.commit({"entities": spark.createDataFrame([], M.S.schema("entities"))})
+        calls.append(1)
+        return real()
+
+    monkeypatch.setattr(store, "pointer", pointer)
+    with pytest.raises(M.Conflict):
+        store.commit({"domains": domain("c")})
+    assert [r.name for r in other.table("domains").collect()] == ["a"]
+    # Appends add files alone.
+    other.append("domains", domain("z"))
+    assert sorted(r.name for r in other.table("domains").collect()) == ["a", "z"] and len(other.pointer()["domains"]) == 2
+
+
 def test_a_failing_embedder_degrades():
     class Broken:
         model, dimensions = "x", 2
