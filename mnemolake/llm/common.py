@@ -181,16 +181,17 @@ HUB, HUBS = 1000, 20_000
 def attached(df: DataFrame, key: str, values: list[Column], count: int) -> DataFrame:
     """``df`` (of ``count`` rows) with aggregates ``values`` of all rows of the same ``key``.
 
-    Keys with very many rows are so few that they are broadcast (no more than rows divided by their least number);
-    the rest meets in a join whose largest key has HUB rows or a small share of all.
+    Keys with very many rows are so few that they are broadcast (no more than rows divided by their least number), and
+    their rows go anywhere; the rest meets in a join whose largest key has HUB rows or a small share of all.
     """
     low = df.groupBy(key).agg(*values, F.count("*").alias("_n"))
     names = [c for c in low.columns if c not in (key, "_n")]
     hub = F.col("_n") > max(HUB, count // HUBS)
     hubs = F.broadcast(low.where(hub).select(key, F.struct(*names).alias("_hub")))
-    seen = df.join(hubs, key, "left")
-    rest = seen.where("_hub is null").drop("_hub").join(low.where(~hub).drop("_n").hint("merge"), key)
-    return rest.union(seen.where("_hub is not null").select(*[F.col(f"_hub.{c}").alias(c) if c in names else F.col(c) for c in rest.columns]))
+    rest = low.where(~hub).select(F.col(key).alias("_key"), F.struct(*names).alias("_low"))
+    seen = df.join(hubs, key, "left").withColumn("_at", F.when(F.col("_hub").isNull(), F.col(key)).otherwise(F.xxhash64(*df.columns)))
+    both = seen.join(rest.hint("merge"), F.col("_at") == F.col("_key"), "left").withColumn("_got", F.coalesce("_hub", "_low"))
+    return both.select(*df.columns, *[F.col(f"_got.{c}").alias(c) for c in names])
 
 
 def with_least(edges: DataFrame, key: str, value: str, count: int) -> DataFrame:

@@ -10,6 +10,7 @@ id) of whole texts; every whole text is classified.
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -141,13 +142,15 @@ class Profiles:
 def sample(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_documents: int = MAX_DOCUMENTS) -> DataFrame | None:
     """Rows (lang, text): about ``max_documents`` of each language of the rows with ``train``; None without any."""
     lang = F.col(lang_col).cast("string")
-    own = docs.where(train & F.col(lang_col).isNotNull()).select(lang.alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))).alias("_hash"))
-    sizes = own.groupBy("lang").agg(F.count("*").alias("_n"))
-    if sizes.isEmpty():
+    own = docs.where(train & F.col(lang_col).isNotNull())
+    # A number for each language, of which the model holds a whole profile; texts aren't joined with anything.
+    sizes = {r[0]: r[1] for r in own.groupBy(lang.alias("lang")).count().toLocalIterator()}
+    if not sizes:
         return None
+    shares = F.create_map(*[F.lit(x) for name, n in sorted(sizes.items()) for x in (name, math.ceil((1 << 30) * min(1.0, max_documents / n)))])
     # Rows without an id have no hash of their own: the text's stands in.
-    share = F.ceil(F.lit(1 << 30) * F.least(F.lit(1.0), F.lit(max_documents) / F.col("_n")))
-    return own.join(sizes, "lang").where(F.pmod(F.col("_hash"), F.lit(1 << 30)) < share).select("lang", "text")
+    hashed = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(1 << 30))
+    return own.where(hashed < F.element_at(shares, lang)).select(lang.alias("lang"), F.col(text_col).alias("text"))
 
 
 def learn(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = PROFILE, max_documents: int = MAX_DOCUMENTS) -> Profiles:
