@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time; one longer text is taken in segments.
 SLICE_BYTES = 1 << 19
+#: Rows that are sent to a Python task at a time.
+RECORDS = 1024
 
 _POWER_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -31,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send at most RECORDS rows at a time to Python: with whole texts in them, batches are what fills memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > RECORDS:
+        spark.conf.set(name, str(RECORDS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -48,6 +58,7 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at files every executor sees."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import WordHasher, attached, connected, mix, slices, spaced_hasher, with_least, written
+from mnemolake.llm.common import WordHasher, attached, connected, mix, slices, spaced_hasher, trim, with_least, written
 from mnemolake.llm.tokens import map_texts
 
 WORDS, PERCENT = 5, 80
@@ -211,6 +211,8 @@ def _verify(words: int, percent: int):
             yield _edges(done)
         if group:
             yield _edges(edges(group))
+        group = []
+        trim()
 
     return run
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import mix, slices, trim
+from mnemolake.llm.common import mix, slices, small_batches, trim
 
 CHUNK_CHARS, OVERLAP_CHARS = 65_536, 512
 #: A vocabulary is broadcast; a file above this is refused.
@@ -226,6 +226,11 @@ def worker_encoder(shared, chunk_chars: int, overlap_chars: int) -> Encoder:
     return _own[key]
 
 
+def forget_encoder() -> None:
+    """Give up what an earlier task of this worker remembers of a vocabulary."""
+    _own.clear()
+
+
 def share_vocabulary(spark, path: str):
     """Broadcast a vocabulary file of the driver, of at most VOCABULARY_BYTES."""
     with open(path, "rb") as f:
@@ -235,7 +240,7 @@ def share_vocabulary(spark, path: str):
     return spark.sparkContext.broadcast(data)
 
 
-def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, keep: list[str], text_col: str) -> DataFrame:
+def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.RecordBatch], schema: str, keep: list[str], text_col: str, encodes: bool = False) -> DataFrame:
     """``work`` on slices of rows: the columns ``keep`` and the UTF-8 text (null: empty), in bounded portions.
 
     The text is sent once, also where it is among ``keep``.
@@ -243,6 +248,8 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.Re
     at = keep.index(text_col) if text_col in keep and df.schema[text_col].dataType.simpleString() == "string" else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            forget_encoder()
         for batch in batches:
             text = batch.column(at).cast(pa.binary())
             sizes = [x.as_py() or 0 for x in pc.binary_length(text)]
@@ -251,6 +258,7 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[bytes]], pa.Re
         trim()
 
     own = [F.col(c) for c in keep]
+    small_batches(df.sparkSession)
     return df.select(*(own if at < len(keep) else [*own, F.col(text_col).cast("binary").alias("_text")])).mapInArrow(run, schema)
 
 
@@ -277,4 +285,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         return pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array(tokens > limit)], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_texts(docs, work, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean", [id_col], text_col)
+    return map_texts(docs, work, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean", [id_col], text_col, encodes=True)
