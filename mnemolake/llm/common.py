@@ -240,3 +240,26 @@ def connected(edges: DataFrame, name: str = "components", rounds: int = 60) -> D
         if count:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
     return spark.read.schema("u long, v long").parquet(path).select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+#: Words of letters alone: lower-case ones and every character beyond ASCII.
+LETTER_WORDS = byte_class(lambda i: i >= 0x80 or chr(i).islower())
+
+
+class Splitter:
+    """Cuts UTF-8 bytes into words, A-Z lower-cased. ``is_word`` as in :class:`WordHasher`; words are bytes, so different words stay so."""
+
+    def __init__(self, is_word: np.ndarray):
+        lower = [i + 32 if 65 <= i <= 90 else i for i in range(256)]
+        self.table = bytes(x if is_word[x] else 0x20 for x in lower)
+
+    def pieces(self, data: bytes) -> Iterator[list[bytes]]:
+        """The words in lists of a slice at most (or one word)."""
+        at = 0
+        while at < len(data):
+            end = at + SLICE_BYTES
+            if end < len(data):
+                while end < len(data) and self.table[data[end]] != 0x20:
+                    end += 1
+            yield data[at:end].translate(self.table).split()
+            at = end

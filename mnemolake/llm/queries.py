@@ -90,6 +90,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between sources of each language, and each source's own terms."""
+    from mnemolake.llm.divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
@@ -101,7 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_substrings": op8_repeated_substrings,
     "op9_fingerprints": op9_fingerprints,
     "op10_toxicity": op10_toxicity,
+    "op11_source_divergence": op11_source_divergence,
 }
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whole tables, the contract's rules; the operators' tests hold smaller cases against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": """
@@ -113,4 +122,21 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND first > page_id THEN first END AS refers_to
         FROM f
     """,
+    "op11_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        k AS (SELECT lang, term, count(*) AS total FROM d GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+        g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        c AS (SELECT lang, source, term, count(*) AS n FROM d GROUP BY ALL),
+        x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS size, sum(total) OVER (PARTITION BY lang, source) AS lang_size, count(*) OVER (PARTITION BY lang, source) AS v FROM x),
+        p AS (SELECT lang, source, term, n, (1 + 1000000000::HUGEINT * (n + 2) // (size + 2 * v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (total + 2) // (lang_size + 2 * v))::BIGINT AS q FROM s),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+                  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+        FROM every QUALIFY part = 'pair' OR rank <= 10
+    """,
 }
