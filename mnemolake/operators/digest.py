@@ -1,16 +1,14 @@
-"""Small deterministic pieces around models: tolerant parsing, topic state, digests, budgets and configuration."""
+"""Small deterministic pieces around models: tolerant parsing, digests, budgets and configuration."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-REFERENTS = 8
-
 
 def usage_tokens(usage: Column) -> tuple[Column, Column]:
     """Input and output tokens of a usage JSON; cached tokens are input, what isn't reported stays null."""
@@ -36,36 +34,6 @@ def shape_extract(text: str) -> list[dict]:
     return [r for r in rows if isinstance(r, dict) and str(r.get("content") or "").strip()] if isinstance(rows, list) else []
 
 
-def evolve(situation: dict, now: str | None, referents: Sequence[str], shifted: bool, sequence: int) -> dict:
-    """A conversation's topic state after a batch: a shift closes the topic as a segment, else it goes on."""
-    segments = list(situation.get("segments", []))
-    start = situation.get("start", sequence)
-    if shifted and situation.get("now"):
-        segments.append({"topic": situation["now"], "from": start, "to": sequence - 1})
-        start = sequence
-    named = list(dict.fromkeys(r.strip() for r in referents if r and r.strip()))[:REFERENTS]
-    return {"now": now or situation.get("now"), "start": start, "referents": named or ([] if shifted else situation.get("referents", [])), "segments": segments}
-
-
-def with_split(batch: list, run: Callable[[list], list | None]) -> list:
-    """``run`` on a batch; what overflows (null) is halved and tried again, a single item that overflows gives nothing."""
-    got = run(batch)
-    if got is not None:
-        return got
-    if len(batch) < 2:
-        return []
-    half = len(batch) // 2
-    return with_split(batch[:half], run) + with_split(batch[half:], run)
-
-
-def with_reread(batch: list, run: Callable[[list, list], tuple[list, float]], earlier: list, least: float = 0.5, window: int = 20) -> list:
-    """``run`` on a batch; unsure answers are asked for once more, reminded of the ``window`` events before."""
-    facts, confidence = run(batch, [])
-    if confidence < least and earlier:
-        facts, _ = run(batch, earlier[-window:])
-    return facts
-
-
 def briefing(key_facts: Sequence[str], summary: str | None, threads: Sequence[str], recent: Sequence[str]) -> str:
     """A Markdown digest of at most 15 key facts, the last summary, 5 threads and 20 recent facts; empty sections are left out."""
     parts = [("Key facts", [f"- {x}" for x in key_facts[:15]]), ("Last session", [summary] if summary else []), ("Open threads", [f"- {x}" for x in threads[:5]]), ("Recent", [f"- {x}" for x in recent[:20]])]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,22 +134,31 @@ def tail(events: DataFrame, last: int) -> DataFrame:
     return newest_rank(events).where(F.col("rn") <= last).drop("rn")
 
 
-def packed(events: DataFrame, characters: int, most: int, overhead: int = 64) -> DataFrame:
-    """Events with a chunk number: chunks of a conversation hold at most ``characters`` (each event cut at ``most``).
+def packed(events: DataFrame, characters: int, most: int, overhead: int = 64, keys: tuple[str, ...] = ("conversation",)) -> DataFrame:
+    """Events with a chunk number and their place: chunks of a conversation hold at most ``characters`` (each event cut at ``most``).
 
-    A running sum that starts anew can't be a window, so it is a fold over the conversation's sizes, in the JVM.
+    A running sum that starts anew can't be a window: conversations stream by in order, and a task keeps the sum alone.
     """
-    cost = (F.least(F.length(F.coalesce("content", F.lit(""))), F.lit(most)) + overhead).alias("cost")
-    rows = events.groupBy("conversation").agg(F.array_sort(F.collect_list(F.struct("sequence", "id", cost))).alias("rows"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + x["cost"] > characters)
-        chunk = F.when(full, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(full, x["cost"]).otherwise(acc["used"] + x["cost"]).alias("used"), F.concat(acc["out"], F.array(chunk)).alias("out"))
-
-    folded = rows.withColumn("chunks", F.aggregate("rows", start, step, lambda acc: acc["out"]))
-    return folded.select("conversation", F.explode(F.arrays_zip("rows", "chunks")).alias("x")).select("conversation", F.col("x.rows.id").alias("id"), F.col("x.rows.sequence").alias("sequence"), F.col("x.chunks").cast("long").alias("chunk"))
+    cost = (F.least(F.length(F.coalesce("content", F.lit(""))), F.lit(most)) + overhead).cast("long").alias("cost")
+    rows = events.select(*keys, "sequence", F.col("id").cast("string").alias("id"), cost)
+    names = [*keys, "sequence", "id", "cost"]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, chunk, place = None, 0, 0, 0
+        for b in batches:
+            chunks, places = [], []
+            for *key, spent in zip(*(b.column(c).to_pylist() for c in (*keys, "cost"))):
+                if key != now:
+                    now, used, chunk, place = key, 0, 0, 0
+                if used and used + spent > characters:
+                    used, chunk = 0, chunk + 1
+                used, place = used + spent, place + 1
+                chunks.append(chunk)
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[:-1]), pa.array(chunks, pa.int64()), pa.array(places, pa.int64())], [*names[:-1], "chunk", "place"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names[:-1])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "sequence", "id").mapInArrow(number, f"{schema}, chunk long, place long")
 
 
 def names_in_text(names: DataFrame, events: DataFrame, keep: int = 12, batch: int = 4096) -> DataFrame:
@@ -163,8 +175,6 @@ def names_in_text(names: DataFrame, events: DataFrame, keep: int = 12, batch: in
         shared = events.sparkSession.sparkContext.broadcast([(r[0], r[1].lower()) for r in block.select("id", "name").where("name <> ''").toLocalIterator()])
 
         def scan(batches, shared=shared):
-            import pyarrow as pa
-
             tree: dict[str, list] = {}
             for key, name in shared.value:
                 tree.setdefault(name, []).append(key)

@@ -336,11 +336,6 @@ def _(spark, sf):
     return L.tail(events(spark, sf), 5).select("conversation", "id", F.lit("contextual").alias("extraction_type"))
 
 
-@query("wn_pack")
-def _(spark, sf):
-    return L.packed(events(spark, sf), characters=1500, most=600)
-
-
 @query("wn_primary_ent", "SELECT relationship, entity_id FROM (SELECT relationship, entity_id, row_number() OVER (PARTITION BY relationship ORDER BY count(*) DESC, entity_id) AS n FROM fact_entities GROUP BY relationship, entity_id) WHERE n = 1", "fact_entities")
 def _(spark, sf):
     counts = A.fact_entities(spark, sf).groupBy("relationship", "entity_id").agg(F.count("*").alias("n"))

@@ -34,11 +34,6 @@ def marks(stream: DataFrame) -> DataFrame:
     return stream.select("conversation", "sequence").groupBy("conversation").applyInPandasWithState(_advance, "conversation string, mark long, seen long", "mark long, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def honest_prefix(examined: list[int], rest: list[int]) -> bool:
-    """Whether a batch may be committed: all it examined lies before all that remains."""
-    return not examined or not rest or max(examined) < min(rest)
-
-
 def due(moment: str, pending: int, since_last: float, running: bool, threshold: int = 10, throttle: float = 120.0) -> bool:
     """Trigger policy: never while running; at a close always; else by backlog, at most once in ``throttle`` seconds."""
     if running:

@@ -51,14 +51,8 @@ def test_usage(spark):
     assert {r.run: r.line for r in D.last_result(lines).collect()} == {"r": '{"type": "result", "x": 1}', "s": '{"a": 1}'}
 
 
-def test_replies_and_state():
+def test_replies():
     assert D.shape_extract('```json\n{"facts": [{"content": "a"}, {"content": " "}]}\n```') == [{"content": "a"}] and D.shape_extract("no") == []
-    one = D.evolve({}, "tea", ["a", "a", ""], False, 1)
-    two = D.evolve(one, "work", ["b"], True, 5)
-    assert one == {"now": "tea", "start": 1, "referents": ["a"], "segments": []}
-    assert two == {"now": "work", "start": 5, "referents": ["b"], "segments": [{"topic": "tea", "from": 1, "to": 4}]}
-    assert D.with_split([1, 2, 3, 4], lambda b: b if len(b) < 2 and b != [3] else None) == [1, 2, 4]
-    assert D.with_reread([1], lambda b, e: (e, 0.1), [7, 8]) == [7, 8]
 
 
 def test_texts_and_settings():

@@ -96,7 +96,6 @@ def test_stream_marks_and_windows(spark, tmp_path):
 
 
 def test_policies():
-    assert state.honest_prefix([1, 2], [3]) and not state.honest_prefix([1, 4], [3])
     assert state.due("close", 0, 0, False) and not state.due("close", 0, 0, True) and not state.due("idle", 10, 60, False) and state.due("idle", 10, 120, False)
     assert M.may_take(None, "a", 0) and M.may_take(M.Lease("b", 0), "a", 121) and not M.may_take(M.Lease("b", 0), "a", 100)
     assert (M.room(5, None, 0), M.room(10, 10, 1), M.room(10, 10, 0)) == ("ok", "prune", "refuse")
