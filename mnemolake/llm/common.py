@@ -19,8 +19,6 @@ SLICE_BYTES = 1 << 19
 #: Rows that are sent to a Python task at a time.
 RECORDS = 1024
 
-_POWER_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where the setting is absent a temporary one in local mode, an error on a cluster."""
@@ -85,8 +83,52 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit integers (in place where possible)."""
+    x = x ^ (x >> np.uint64(31))
+    x *= np.uint64(0x7FB5D329728EA185)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+#: What is left of eight bytes of which so many count.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, twice: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the byte ranges of ``data``; with ``twice`` two for each.
+
+    A range is cut into blocks of eight bytes. Each is scrambled with the key of its place before they are added up (a second time
+    with odd factors), so that no hash is linear in the bytes: polynomials modulo 2^64 agree on certain different texts
+    whatever their base.
+    """
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    with np.errstate(over="ignore"):
+        key = lambda place: mix(place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed))
+        sums = [mix((eight[starts] & _MASK[np.minimum(size, 8)]) ^ key(np.zeros(1)))]
+        if twice:
+            sums.append(sums[0].copy())
+        # What is longer than a block: its other blocks, in a row.
+        if len(long := np.flatnonzero(size > 8)):
+            blocks = (size[long] - 1) >> 3
+            first = np.cumsum(blocks) - blocks
+            place = np.arange(int(blocks.sum())) - np.repeat(first, blocks) + 1
+            at = np.repeat(starts[long], blocks) + 8 * place
+            more = mix((eight[at] & _MASK[np.minimum(np.repeat(ends[long], blocks) - at, 8)]) ^ key(np.arange(int(blocks.max()) + 1))[place])
+            sums[0][long] += np.add.reduceat(more, first)
+            if twice:
+                more *= key(np.arange(int(blocks.max()) + 1) + (1 << 40))[place] | np.uint64(1)
+                sums[1][long] += np.add.reduceat(more, first)
+        length = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return tuple(mix(x + length + np.uint64(i)) for i, x in enumerate(sums))
+
+
 class WordHasher:
-    """64-bit hashes of the words in UTF-8 bytes, A-Z lower-cased, by one pass of vectorised prefix sums.
+    """64-bit hashes of the words in UTF-8 bytes, A-Z lower-cased, in vectorised passes.
 
     ``is_word`` has 256 booleans. Bytes of a multi-byte character must be all word bytes or none, so that bytes
     may be classed one by one. Equal words have equal hashes.
@@ -95,29 +137,16 @@ class WordHasher:
     def __init__(self, is_word: np.ndarray, seed: int = 11):
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
-        self.lower, self.is_word = lower, is_word[lower]
-        self.weight = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)[lower] | np.uint64(1)
-        self._grow(1 << 16)
-
-    def _grow(self, n: int) -> None:
-        inverse = np.uint64(pow(int(_POWER_BASE), -1, 2**64))
-        with np.errstate(over="ignore"):
-            self.power, self.back = (np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, x, np.uint64)))) for x in (_POWER_BASE, inverse))
+        self.lower, self.is_word, self.seed = lower, is_word[lower], seed
 
     def segment(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends and hashes of the words of ``data``."""
         raw = np.frombuffer(data, np.uint8)
-        if len(raw) >= len(self.power):
-            self._grow(1 << len(raw).bit_length())
         word = np.zeros(len(raw) + 2, np.int8)
         word[1:-1] = self.is_word[raw]
         edge = np.flatnonzero(word[1:] != word[:-1])
         starts, ends = edge[::2], edge[1::2]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        values = self.weight[raw]
-        values *= self.power[: len(raw)]
-        np.cumsum(values, out=sums[1:])
-        return starts, ends, mix((sums[ends] - sums[starts]) * self.back[starts])
+        return starts, ends, range_hashes(self.lower[raw], starts, ends, self.seed)[0]
 
     def _long(self, data: bytes) -> Iterator[np.ndarray]:
         """Hashes of a text longer than a slice, in segments that end between words."""
@@ -153,16 +182,6 @@ class WordHasher:
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), first
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers (in place where possible)."""
-    x = x ^ (x >> np.uint64(31))
-    x *= np.uint64(0x7FB5D329728EA185)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x81DADEF4BC2DD44D)
-    x ^= x >> np.uint64(33)
-    return x
-
-
 def byte_class(test) -> np.ndarray:
     """256 booleans: ``test`` of each byte value."""
     return np.fromiter((test(i) for i in range(256)), bool, 256)
@@ -175,9 +194,8 @@ SPACED_WORDS = byte_class(lambda i: i != 0x20 and not 0x09 <= i <= 0x0D)
 
 
 @cache
-def alnum_hasher() -> WordHasher:
-    """One for each process: its tables of powers are kept."""
-    return WordHasher(ALNUM_WORDS)
+def alnum_hasher(seed: int = 11) -> WordHasher:
+    return WordHasher(ALNUM_WORDS, seed)
 
 
 @cache

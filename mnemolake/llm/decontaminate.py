@@ -3,9 +3,11 @@
 The benchmark (a query set) is cut into blocks of bounded size, each broadcast. A shard is a bounded run of documents
 in a task. Its words become ids of the block's vocabulary (0: not in it), its suffix array is built over the
 positions whose words are in the vocabulary, and every benchmark suffix that begins with a window is binary-searched in
-it. The range of suffixes that agree on the window's words are all its verbatim places: they give the words that are
-hit, the items, and, where a suffix and the one after it are found at places one after the other, the longest match of
-each document with its place. The words of all places are compared with the benchmark's, as ids stand for 64-bit hashes.
+it, suffixes with equal windows together. The range of suffixes that agree on the window's words are all its verbatim
+places: they give the words that are hit and the items. A document's longest match is found in a suffix array of the hit
+stretches and the items that hit: it is what a stretch's suffix has in common with the nearest suffix of an item. The
+words of all places are compared with the benchmark's, as ids stand for 64-bit hashes. All of it is in proportion to the
+words, however often they repeat.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import alnum_hasher
+from mnemolake.llm.common import alnum_hasher, mix
 from mnemolake.llm.tokens import map_texts
 
 WINDOW = 13
@@ -38,36 +40,99 @@ def words(text: bytes) -> list[bytes]:
 
 @dataclass
 class Block:
-    """Benchmark items as ids of a vocabulary sorted by hash; ``start`` has each item's first word."""
+    """Benchmark items as ids of a vocabulary sorted by hash; ``start`` has each item's first word.
+
+    ``seed`` is one under which all words of the block have different hashes; ``distinct`` are its windows, once known.
+    """
 
     names: list[str]
     start: np.ndarray
     ids: np.ndarray
     vocabulary: np.ndarray
     spelled: list[bytes]
+    seed: int
+    distinct: Windows | None = None
 
     @classmethod
-    def of(cls, items: list[tuple[str, bytes]]) -> Block:
-        hashes, start = alnum_hasher().texts([t for _, t in items])
-        vocabulary, one, ids = np.unique(hashes, return_index=True, return_inverse=True)
-        flat = [w for _, t in items for w in words(t)]
-        spelled = [flat[i] for i in one]
-        if any(spelled[i] != w for i, w in zip(ids, flat)):
-            raise ValueError("two benchmark words share a 64-bit hash")
-        return cls([n for n, _ in items], start, ids.astype(np.int32) + 1, vocabulary, spelled)
+    def of(cls, items: list[tuple[str, bytes]], seed: int = 11) -> Block:
+        texts = [t for _, t in items]
+        flat = [w for t in texts for w in words(t)]
+        while True:
+            hashes, start = alnum_hasher(seed).texts(texts)
+            vocabulary, one, ids = np.unique(hashes, return_index=True, return_inverse=True)
+            spelled = [flat[i] for i in one]
+            if all(spelled[i] == w for i, w in zip(ids, flat)):
+                return cls([n for n, _ in items], start, ids.astype(np.int32) + 1, vocabulary, spelled, seed)
+            seed += 1
 
     def shortest(self, window: int) -> int:
         """Words of the shortest window."""
         n = np.diff(self.start)
         return int(min(window, n[n > 0].min(initial=window)))
 
-    def windows(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, length and item of each window: ``window`` words, or all words of a shorter item."""
+    def windows(self, window: int) -> Windows:
         n = np.diff(self.start)
         many = np.where(n >= window, n - window + 1, (n > 0).astype(np.int64))
         item = np.repeat(np.arange(len(n)), many)
         place = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + self.start[:-1][item]
-        return place, np.minimum(n, window)[item], item
+        size = np.minimum(n, window)[item]
+        name = named(self.ids, place, size)
+        _, first, back = np.unique(name, return_index=True, return_inverse=True)
+        both = np.unique(np.stack((back, item), 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        at = np.searchsorted(both[:, 0], np.arange(len(first) + 1))
+        # Windows of the same items are one group: what they hit names each of these items once.
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(mix(both[:, 1].astype(np.uint64)), at[:-1]) if len(first) else np.zeros(0, np.uint64)
+        _, one, group = np.unique(np.stack((sums, np.diff(at).astype(np.uint64)), 1), axis=0, return_index=True, return_inverse=True)
+        return Windows(place[first], size[first], group.ravel(), [both[at[i] : at[i + 1], 1] for i in one.tolist()])
+
+
+@dataclass
+class Windows:
+    """The distinct windows: place in the block, words, and the group of items that have it."""
+
+    place: np.ndarray
+    size: np.ndarray
+    group: np.ndarray
+    items: list[np.ndarray]
+
+
+def ranks(ids: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Names of the stretches of 1, 2, 4 ... words (at most ``depth``) at every place; equal names are equal stretches, in their order.
+
+    A stretch that runs over the end is like one that goes on with something smaller than all ids.
+    """
+    out, step = [np.unique(ids, return_inverse=True)[1].astype(np.int64)], 1
+    while 2 * step <= depth:
+        pair = out[-1] * (len(ids) + 1)
+        pair[:-step] += out[-1][step:] + 1
+        out.append(np.unique(pair, return_inverse=True)[1])
+        step *= 2
+    return out
+
+
+def named(ids: np.ndarray, place: np.ndarray, size: np.ndarray, levels: list[np.ndarray] | None = None) -> np.ndarray:
+    """A name for each stretch of ``size`` words from ``place``: equal names are equal stretches."""
+    levels = ranks(ids, int(size.max(initial=1))) if levels is None else levels
+    out, used = np.zeros(len(place), np.int64), 0
+    for n in np.unique(size).tolist():
+        own, k = size == n, n.bit_length() - 1
+        pair = levels[k][place[own]] * (len(ids) + 1) + levels[k][place[own] + n - (1 << k)]
+        distinct, back = np.unique(pair, return_inverse=True)
+        out[own] = back + used
+        used += len(distinct)
+    return out
+
+
+def common_words(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at ``a`` and ``b`` have in common, by names of ever shorter stretches."""
+    out, n = np.zeros(len(a), np.int64), len(levels[0])
+    for k in range(len(levels) - 1, -1, -1):
+        x, y = a + out, b + out
+        same = np.flatnonzero((x < n) & (y < n))
+        same = same[levels[k][x[same]] == levels[k][y[same]]]
+        out[same] += 1 << k
+    return out
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -175,36 +240,99 @@ class Hits:
 
 def hits(shard: Shard, block: Block, window: int) -> Hits:
     covered = np.zeros(len(shard.ids) + 1, np.int32)
-    place, size, item = block.windows(window)
+    own = block.distinct or block.windows(window)
     nothing = Hits(covered[:-1] > 0, np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64))
-    if not len(shard.order) or not len(place):
+    if not len(shard.order) or not len(own.place):
         return nothing
     query = np.append(block.ids, np.full(window + 1, -2, np.int32))
-    low, high = search(shard.text, shard.order, query, place, size)
+    low, high = search(shard.text, shard.order, query, own.place, own.size)
     found = np.flatnonzero(high > low)
     if not len(found):
         return nothing
+    # A place has one distinct window of each size at most.
     count = (high - low)[found]
     rank = np.repeat(low[found], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     at, which = shard.back[shard.order[rank]], np.repeat(found, count)
     np.add.at(covered, at, 1)
-    np.add.at(covered, at + size[which], -1)
-    pairs = np.unique(np.stack((shard.owner[at], item[which]), 1), axis=0)
-    # Windows that follow each other in an item and in a document are one match.
-    shift = at - place[which]
-    sort = np.lexsort((at, shift, item[which], shard.owner[at]))
-    at, which, shift = at[sort], which[sort], shift[sort]
+    np.add.at(covered, at + own.size[which], -1)
     owner = shard.owner[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (item[which[1:]] != item[which[:-1]]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
-    head = np.flatnonzero(new)
-    words_ = np.diff(np.append(head, len(at))) - 1 + size[which[head]]
-    best = head[np.lexsort((at[head], item[which[head]], -words_, owner[head]))]
-    words_ = dict(zip(head.tolist(), words_.tolist()))
-    best = best[np.unique(owner[best], return_index=True)[1]]
-    i = which[best]
-    longest = np.stack((owner[best], np.array([words_[h] for h in best.tolist()]), item[i], place[i] - block.start[:-1][item[i]], at[best]), 1)
-    return Hits(np.cumsum(covered)[:-1] > 0, pairs, longest)
+    least = np.array([x.min() for x in own.items])
+    groups = np.unique(owner * len(own.items) + own.group[which])
+    lists = [own.items[g] for g in (groups % len(own.items)).tolist()]
+    pairs = np.unique(np.stack((np.repeat(groups // len(own.items), [len(x) for x in lists]), np.concatenate(lists)), 1), axis=0)
+    long = own.size[which] == window
+    best = _longest(shard, block, window, at[long], pairs)
+    # Documents that only shorter items hit: their longest match is a whole item.
+    short = np.flatnonzero(~long & ~np.isin(owner, best[:, 0]))
+    if len(short):
+        sort = short[np.lexsort((at[short], least[own.group[which[short]]], -own.size[which[short]], owner[short]))]
+        sort = sort[np.unique(owner[sort], return_index=True)[1]]
+        item = least[own.group[which[sort]]]
+        best = np.concatenate((best, np.stack((owner[sort], own.size[which[sort]], item, np.zeros(len(sort), np.int64), at[sort]), 1)))
+    return Hits(np.cumsum(covered)[:-1] > 0, pairs, best[np.argsort(best[:, 0])])
+
+
+def _longest(shard: Shard, block: Block, window: int, at: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Rows of ``Hits.longest`` of the documents that windows of full length hit, at places ``at``."""
+    if not len(at):
+        return np.zeros((0, 5), np.int64)
+    mark = np.zeros(len(shard.ids) + 1, np.int32)
+    at = np.unique(at)
+    mark[at] += 1
+    np.add.at(mark, at + window, -1)
+    # Stretches of these windows, of one document each, after the items that hit; each ends in a word of its own.
+    inside = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
+    owner = shard.owner[inside]
+    new = np.ones(len(inside), bool)
+    new[1:] = (np.diff(inside) > 1) | (owner[1:] != owner[:-1])
+    n = np.diff(block.start)
+    items = np.unique(pairs[:, 1])
+    items = items[n[items] >= window]
+    words_ = np.concatenate([np.arange(block.start[i], block.start[i + 1]) for i in items.tolist()])
+    item = np.repeat(items, n[items])
+    run = np.cumsum(new) - 1
+    spot_q = np.arange(len(words_)) + np.repeat(np.arange(len(items)), n[items])
+    base = len(words_) + len(items)
+    spot_t = base + np.arange(len(inside)) + run
+    size = base + len(inside) + int(run[-1]) + 1
+    text = -1 - np.arange(size)
+    text[spot_q], text[spot_t] = block.ids[words_], shard.ids[inside]
+    longest_run = int(np.diff(np.append(np.flatnonzero(new), len(inside))).max())
+    depth = min(int(n[items].max()), longest_run)
+    levels = ranks(text, 2 * depth)  # stretches longer than any match, so that the order is that of the suffixes
+    order = np.argsort(levels[-1], kind="stable")
+    rank = np.empty(size, np.int64)
+    rank[order] = np.arange(size)
+    # The nearest suffix of an item on either side of each place.
+    of_item = np.full(size, -1, np.int64)
+    of_item[spot_q] = spot_q
+    sorted_ = of_item[order]
+    seen = np.where(sorted_ >= 0, np.arange(size), -1)
+    before = np.maximum.accumulate(seen)
+    after = np.minimum.accumulate(np.where(sorted_ >= 0, np.arange(size), size)[::-1])[::-1]
+    here = np.searchsorted(inside, at)
+    place = spot_t[here]
+    best = np.zeros(len(place), np.int64)
+    for near, ok in ((before[rank[place]], before[rank[place]] >= 0), (after[rank[place]], after[rank[place]] < size)):
+        two = common_words(levels, place[ok], order[near[ok]])
+        best[ok] = np.maximum(best[ok], two)
+    doc = shard.owner[at]
+    most = np.zeros(int(doc.max()) + 1, np.int64)
+    np.maximum.at(most, doc, best)
+    top = np.flatnonzero(best == most[doc])
+    out = []
+    # Of the items that have a stretch of this length, the first, and its first place there.
+    left = block.start[item + 1] - words_
+    for m in np.unique(best[top]).tolist():
+        mine, theirs = top[best[top] == m], np.flatnonzero(left >= m)
+        name = named(text, np.concatenate((spot_q[theirs], place[mine])), np.full(len(theirs) + len(mine), m), levels)
+        first = np.full(int(name.max()) + 1, len(theirs), np.int64)
+        np.minimum.at(first, name[: len(theirs)], np.arange(len(theirs)))
+        q = theirs[first[name[len(theirs) :]]]
+        out.append(np.stack((doc[mine], np.full(len(mine), m), item[q], words_[q] - block.start[item[q]], at[mine]), 1))
+    rows = np.concatenate(out)
+    rows = rows[np.lexsort((rows[:, 4], rows[:, 2], rows[:, 0]))]
+    return rows[np.unique(rows[:, 0], return_index=True)[1]]
 
 
 def spelled_alike(own: list[bytes], ids: np.ndarray, hit: np.ndarray, block: Block) -> bool:
@@ -227,12 +355,14 @@ def exact_hits(text: bytes, block: Block, items: list[int], window: int) -> tupl
     return hit, seen
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int | None = None) -> list:
     """Broadcast blocks; the driver holds one block's items at a time. One item is never split."""
     spark, out, items, total = benchmark.sparkSession, [], [], 0
 
     def flush() -> None:
-        out.append(spark.sparkContext.broadcast(Block.of(items)))
+        block = Block.of(items)
+        block.distinct = block.windows(window) if window else None
+        out.append(spark.sparkContext.broadcast(block))
 
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("binary")).toLocalIterator():
         text = bytes(row[1] or b"")
@@ -247,6 +377,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
     return out
 
 
+def _each(blocks: list) -> Iterator[Block]:
+    """Blocks one after the other. Of several, a worker holds one: each is read again from the executor's disk."""
+    for shared in blocks:
+        yield shared.value
+        if len(blocks) > 1:
+            vars(shared).pop("_value", None)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated, items (their ids, sorted, comma-joined),
     longest (words of its longest verbatim match), longest_item, longest_item_word and longest_word (where that begins
@@ -258,7 +396,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     windows; an empty benchmark hits nothing. Repeated items count once for each distinct id. Other columns are
     ignored, but those in ``carry`` are returned too.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words, window)
     keep = [id_col, *(carry or [])]
 
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
@@ -266,9 +404,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         hit = np.zeros(len(hashes), bool)
         items: list[set[str]] = [set() for _ in texts]
         longest: list[tuple] = [(0, None, None, None)] * len(texts)
-        for shared in blocks:
-            block = shared.value
-            shard = Shard(hashes, first, block, window, block.shortest(window))
+        for block in _each(blocks):
+            own_hashes = hashes if block.seed == alnum_hasher().seed else alnum_hasher(block.seed).texts(texts)[0]
+            shard = Shard(own_hashes, first, block, window, block.shortest(window))
             got = hits(shard, block, window)
             ends = np.searchsorted(got.pairs[:, 0], np.arange(len(texts) + 1))
             for d, words_, item, there, at in got.longest.tolist():
@@ -319,10 +457,10 @@ def longest(docs: DataFrame, benchmark: DataFrame, at_least: int = WINDOW, id_co
     def work(part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
         hashes, first = alnum_hasher().texts(texts)
         rows: Iterator | list = []
-        for shared in blocks:
-            block = shared.value
+        for block in _each(blocks):
+            own_hashes = hashes if block.seed == alnum_hasher().seed else alnum_hasher(block.seed).texts(texts)[0]
             depth = int(np.diff(block.start).max(initial=1))
-            shard = Shard(hashes, first, block, depth, at_least)
+            shard = Shard(own_hashes, first, block, depth, at_least)
             if not len(shard.order):
                 continue
             best, where = longest_matches(shard.text, shard.order, np.append(block.ids, np.full(depth + 1, -2, np.int32)), block.start)

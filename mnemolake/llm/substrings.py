@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import _POWER_BASE, mix, slices, trim, written
+from mnemolake.llm.common import mix, range_hashes, slices, trim, written
 
 LENGTH, GRAM = 100, 32
 #: Bytes of the Bloom filter of repeated q-grams, whatever the input (what it can't tell passes and is settled by the
@@ -40,6 +40,8 @@ HOLD, HOT = 1 << 20, 6000
 #: Bytes of text that tasks take at a time, that are refined at a time, and of pieces that they hand on together.
 SEGMENT, REFINED, HANDED = 1 << 20, 1 << 19, 8 << 20
 _BLOOM_HASHES = 3
+#: Fixed, odd: of the polynomial of a q-gram. A q-gram only says which runs meet; runs have hashes that aren't linear.
+_POWER_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 #: A run: q-gram hash, hash of all its bytes, document (id, hash of its text), first window, number of windows.
 RUN = np.dtype([("gram", "<u8"), ("run", "<u8"), ("id", "<i8"), ("text", "<i8"), ("start", "<i8"), ("count", "<i4")])
@@ -109,7 +111,7 @@ class Anchors:
         end = begin + count + self.length - 1
         out = np.empty(len(begin), RUN)
         out["gram"] = grams[anchor[begin]]
-        out["run"] = mix(((sums[end] - sums[begin]) * self.back[begin]) ^ (count.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (anchor[begin] - begin).astype(np.uint64)))
+        out["run"] = mix(range_hashes(raw, begin, end, 7)[0] ^ (count.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (anchor[begin] - begin).astype(np.uint64)))
         out["id"], out["text"] = ids[doc[begin]], hashes[doc[begin]]
         out["start"], out["count"] = begin - first[doc[begin]] + shift, count
         return out

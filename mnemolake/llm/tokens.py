@@ -23,13 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import mix, slices, small_batches, trim
+from mnemolake.llm.common import range_hashes, slices, small_batches, trim
 
 CHUNK_CHARS, OVERLAP_CHARS = 65_536, 512
 #: A vocabulary is broadcast; a file above this is refused.
 VOCABULARY_BYTES = 64 << 20
 #: A worker remembers pre-tokens in a table of 2 ** SLOT_BITS places, and about POOL ids of theirs.
 SLOT_BITS, POOL = 20, 1 << 22
+SEED = 32
 #: The pattern that byte-level pre-tokenization stands for, and its contractions.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -92,7 +93,6 @@ class Encoder:
         self.margin = 16 + max(map(len, self.special), default=0)
         self.chunk, self.overlap = max(chunk_chars, 4 * self.margin), max(overlap_chars, 4 * self.margin)
         self.classes = character_classes() if self.plain else None
-        self.base, self.power = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)), None
         self._forget()
 
     def _forget(self) -> None:
@@ -169,35 +169,35 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         starts = piece_starts(points, kinds, first.astype(np.int64))
         ends = np.append(starts[1:], len(points))
-        key, check = (self._hash(points, starts, ends, b) for b in self.base)
+        # As few bytes for a code point as the slice needs; what is remembered of one width isn't found for another.
+        kind = np.min_scalar_type(int(points.max()))
+        wide = kind.itemsize
+        key, check = range_hashes(points.astype(kind).view(np.uint8), wide * starts, wide * ends, SEED + wide, twice=True)
         at, size = self._find(joined, starts, ends, key, check)
         total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         flat = self.pool[np.repeat(at - total[:-1], size) + np.arange(total[-1])] if ids else np.zeros(0, np.uint32)
         bounds = total[np.searchsorted(starts, np.concatenate(([0], stops)))]
         return flat, np.diff(bounds)
 
-    def _hash(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: np.uint64) -> np.ndarray:
-        """Polynomial hashes of the ranges."""
-        if self.power is None or len(self.power[0]) < len(points):
-            n = 1 << max(16, len(points).bit_length())
-            self.power = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, x, np.uint64)))) for b in self.base for x in (b, np.uint64(pow(int(b), -1, 2**64)))]
-        k = 2 * self.base.index(base)
-        sums = np.zeros(len(points) + 1, np.uint64)
-        np.cumsum((points + np.uint64(1)) * self.power[k][: len(points)], out=sums[1:])
-        return mix(((sums[ends] - sums[starts]) * self.power[k + 1][starts]) ^ (ends - starts).astype(np.uint64))
-
     def _find(self, joined: str, starts: np.ndarray, ends: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool and number of ids of each pre-token; those not remembered are encoded by the library."""
         if self.used > POOL:
             self._forget()
+        return self._look(joined, starts, ends, key, check)
+
+    def _look(self, joined: str, starts: np.ndarray, ends: np.ndarray, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         at, size = self.at[slot], self.size[slot]
         miss = np.flatnonzero((self.key[slot] != key) | (self.check[slot] != check))
         if len(miss):
             _, one, back = np.unique(key[miss], return_index=True, return_inverse=True)
             new = miss[one]
-            if (check[new][back] != check[miss]).any():
-                raise ValueError("two pre-tokens share a 64-bit hash")
+            if (other := check[new][back] != check[miss]).any():
+                # Different pre-tokens with one key: those that aren't the first of it are looked up on their own.
+                rest, miss = miss[other], miss[~other]
+                for some in (miss, rest):
+                    at[some], size[some] = self._look(joined, starts[some], ends[some], key[some], check[some])
+                return at, size
             got = [e.ids for e in self.library.encode_batch_fast([joined[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())], add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), np.int32, len(got))
             flat = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))

@@ -158,6 +158,75 @@ def test_words_that_share_a_hash(monkeypatch):
     assert decontaminate.exact_hits(text, block, [0], 3) == (pytest.approx(np.array([True, True, True, False])), [0])
 
 
+def test_repeated_words_take_time_in_proportion():
+    """One word over and over: every window of the item is at every place."""
+    import time
+    import tracemalloc
+
+    n = (1 << 19) // 3
+    block = decontaminate.Block.of([("a", b"ab " * 1000), ("b", b"x y " * 9 + b"ab " * 30), ("c", b"ab ab")])
+    block.distinct = block.windows(13)
+    for text, longest in ((b"ab " * n, (1000, 0)), (b"x y ab ab " * (n // 4), (2, 2)), (b"x y " * 9 + b"ab " * n, (1000, 0)), (b"x y " * 9 + b"ab " * 30 + b"z", (48, 1))):
+        tracemalloc.start()
+        began = time.perf_counter()
+        hashes, first = common.alnum_hasher(block.seed).texts([text])
+        got = decontaminate.hits(decontaminate.Shard(hashes, first, block, 13, 2), block, 13)
+        took, (_, most) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert tuple(got.longest[0, 1:3]) == longest
+        assert took < 6 and most < 200 << 20, (took, most)
+
+
+def thue_morse(n):
+    """Two different words of letters a and b that every polynomial hash modulo 2^64 takes for one (from 1,024 letters on)."""
+    x, y = "a", "b"
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_made_to_collide(spark, library, n):
+    x, y = thue_morse(n)
+    texts = [x, y, x + " " + y, x + "漢", y + "\U0001f600", y + x]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs(spark, texts), PATH).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    near = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, [x, y, x]), 3, 85).collect()}
+    assert near == {0: 0, 1: 1, 2: 0}
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(docs(spark, texts), PATH).where("piece = 0 and start = 0").collect()}
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        if len(ids) <= 2048:
+            assert packed[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    bench = spark.createDataFrame([(1, " ".join([x, y] * 7))], "item_id long, text string")
+    hit = {r.doc_id: r.n_hit for r in decontaminate.contamination(docs(spark, [" ".join([x, y] * 7), " ".join([y, x] * 7), " ".join([x] * 14)]), bench).collect()}
+    assert hit == {0: 14, 1: 14, 2: 0}
+
+
+def test_pre_tokens_that_share_a_key(library):
+    """Keys alone don't tell pre-tokens apart: those of another check are looked up on their own."""
+    with open(PATH, "rb") as f:
+        encoder = tokens.Encoder(f.read())
+    joined, words = "alpha beta gamma delta", [(0, 5), (5, 10), (10, 16), (16, 22), (0, 5)]
+    starts, ends = (np.array(x) for x in zip(*words))
+    at, size = encoder._find(joined, starts, ends, np.full(5, 77, np.uint64), np.array([1, 2, 3, 4, 1], np.uint64))
+    got = [list(encoder.pool[a : a + n]) for a, n in zip(at, size)]
+    assert got == [library.encode(joined[a:b], add_special_tokens=False).ids for a, b in words]
+
+
+def test_range_hashes_tell_ranges_apart():
+    rng = random.Random(8)
+    data = bytes(rng.choices(b"ab\0", k=4000))
+    ranges = sorted({(a, a + rng.randrange(40)) for a in rng.choices(range(3900), k=3000)})
+    one, two = common.range_hashes(np.frombuffer(data, np.uint8), *(np.array(x) for x in zip(*ranges)), 5, twice=True)
+    for hashes in (one, two):
+        of = {}
+        for (a, b), h in zip(ranges, hashes.tolist()):
+            assert of.setdefault(data[a:b], h) == h
+        assert len(set(of.values())) == len(of)
+
+
 def test_longest_matches(spark):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     got = decontaminate.longest(docs(spark, ["x b c d y", "c d e f"]), bench, at_least=3).collect()
