@@ -1,10 +1,9 @@
 """Document fingerprints: threshold-scaled sketches, in DataFrame functions alone.
 
-Of the hashes of all 5-word shingles those below a fixed fraction of the range are kept, and the smallest LEAST in any
-case, so every text with words has a sketch. The sketch of a union is what this rule keeps of the union of sketches
-(mergeable), and the part of a small document that a large one contains shows in the share of the small sketch that the
-large one has. Sketches that reach differently far are compared as far as both do. A sketch of fewer than LEAST hashes is
-the whole set of a short text; it is compared with all hashes of the other text.
+Of the hashes of all 5-word shingles those below a fixed fraction of the range are kept, whatever the text. So the sketch
+of a union is the union of sketches (mergeable), and the part of a small document that a large one contains shows in
+the share of the small sketch that the large one has: the likeness of two documents is a function of their sketches. The
+fewer shingles a text has the rougher is its sketch, and a few short texts have an empty one.
 """
 
 from __future__ import annotations
@@ -19,8 +18,6 @@ from mnemolake.llm.common import written
 WORDS = 5
 #: One hash in so many is kept.
 SCALE = 4
-#: So many of the smallest hashes are kept in any case.
-LEAST = 16
 #: Rows in a range of ids in which next documents are looked up; there are as many ranges as the table needs.
 RANGE_ROWS = 500_000
 _LOWEST = -(1 << 63)
@@ -38,15 +35,13 @@ def hashes(words: Column, shingle: int = WORDS) -> Column:
     return F.when(F.size(words) >= shingle, many).when(F.size(words) > 0, F.array(F.xxhash64(F.concat_ws(" ", words)))).otherwise(F.array().cast("array<long>"))
 
 
-def keep(every: Column, scale: int = SCALE, least: int = LEAST) -> Column:
-    """Of hashes, sorted and distinct: those below the fraction, or the ``least`` smallest if these are more."""
-    set_ = lambda x: F.sort_array(F.array_distinct(x))
-    low = lambda e: set_(F.filter(e, lambda h: h < _LOWEST + (1 << 64) // scale))
-    return _let(every, lambda e: _let(low(e), lambda l: F.when(F.size(l) >= least, l).otherwise(F.slice(set_(e), 1, least))))
+def keep(every: Column, scale: int = SCALE) -> Column:
+    """Of hashes, sorted and distinct, those below the fraction."""
+    return F.sort_array(F.array_distinct(F.filter(every, lambda h: h < _LOWEST + (1 << 64) // scale)))
 
 
 def sketch(words: Column, shingle: int = WORDS, scale: int = SCALE) -> Column:
-    """The sorted kept hashes of an array of words; never empty where there are words."""
+    """The sorted kept hashes of an array of words."""
     return _let(words, lambda w: keep(hashes(w, shingle), scale))
 
 
@@ -55,26 +50,13 @@ def text_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "\\s+"), lambda w: w != "")
 
 
-def _share(a: Column, b: Column) -> Column:
-    """The share of the smaller set that the other has; 1 if both are empty, 0 if one is."""
+def containment(a: Column, b: Column) -> Column:
+    """The share of the smaller sketch that the other has; 1 if both are empty, 0 if one is."""
     least = lambda x, y: F.least(F.size(x), F.size(y))
     share = lambda x, y: F.when(least(x, y) > 0, F.size(F.array_intersect(x, y)) / least(x, y)).otherwise(F.when(F.size(x) == F.size(y), 1.0).otherwise(0.0)).cast("double")
     return _let(a, lambda x: _let(b, lambda y: share(x, y)))
 
 
-def containment(a: Column, b: Column, text_a: Column, text_b: Column, scale: int = SCALE, least: int = LEAST) -> Column:
-    """The share of the smaller sketch that the other has, as far as both reach; 1 if neither text has words, 0 if one has.
-
-    Where a sketch is the whole set of its text, its share of all hashes of the other text is exact.
-    """
-    whole = lambda kept, text: F.when(F.size(kept) < least, kept).otherwise(_let(text_words(text), lambda w: F.array_distinct(hashes(w))))
-    # A sketch reaches to the fraction, or to its last hash if that is beyond.
-    reach = lambda kept: F.greatest(F.element_at(kept, -1), F.lit(_LOWEST + (1 << 64) // scale - 1))
-    upto = lambda kept, most: F.filter(kept, lambda h: h <= most)
-    exact = (F.size(a) < least) | (F.size(b) < least)
-    return F.when(exact, _share(whole(a, text_a), whole(b, text_b))).otherwise(_let(F.least(reach(a), reach(b)), lambda most: _share(upto(a, most), upto(b, most))))
-
-
 def spelled(kept: Column) -> Column:
     """A sketch as text: 16 hexadecimal digits a hash, in order."""
     return F.concat_ws("", F.transform(kept, lambda h: F.lpad(F.hex(h), 16, "0")))
@@ -86,15 +68,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return words.select(F.col(id_col), F.size("words").cast("long").alias("n_words"), sketch(F.col("words")).alias("sketch"))
 
 
-def small_sketch(words: Column, least: int = LEAST) -> Column:
-    """The sketch of words if it has fewer than ``least`` hashes, else null; found without hashing most texts.
-
-    Each distinct word but the first few begins or ends a shingle of its own, so many of them make many hashes.
-    """
-    few = lambda w: F.when(F.size(F.array_distinct(w)) < least + WORDS - 1, _let(sketch(w), lambda k: F.when(F.size(k) < least, k)))
-    return _let(words, few)
-
-
 def neighbours(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """For distinct (_key, _tie, ...) of ``docs``: all columns with _next (its key and tie) and _prior (all of it).
 
@@ -129,17 +102,14 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST))
     own = docs.select(key.alias("_key"), F.xxhash64(text).alias("_tie"), text.alias("text"))
-    ids = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.xxhash64(text).alias("_tie"), F.length(text).alias("_n"), small_sketch(text_words(text)).alias("_small"))
+    ids = docs.select(F.col(id_col).alias("_id"), key.alias("_key"), F.xxhash64(text).alias("_tie"), F.length(text).alias("_n"))
     links = written(neighbours(ids, range_rows), "links")
     merge = lambda a, b: a.join(b.hint("merge"), ["_key", "_tie"])
-    prior = links.select("_key", "_tie", F.col("_prior._key").alias("_pk"), F.col("_prior._tie").alias("_pt"), F.floor(F.col("_prior._n") / 4).cast("int").alias("_cut"), F.col("_prior._small").alias("_ps"))
-    every = _let(text_words(F.col("text")), lambda w: F.array_distinct(hashes(w)))
-    near = F.when(F.col("_ps").isNotNull(), _share(F.col("_ps"), every))
-    told = merge(own, prior).select(F.col("_pk").alias("_key"), F.col("_pt").alias("_tie"), F.struct(F.substring(F.col("text"), F.lit(1), F.col("_cut")).alias("head"), sketch(text_words(F.col("text"))).alias("kept"), near.alias("near")).alias("next"))
+    prior = links.select("_key", "_tie", F.col("_prior._key").alias("_pk"), F.col("_prior._tie").alias("_pt"), F.floor(F.col("_prior._n") / 4).cast("int").alias("_cut"))
+    told = merge(own, prior).select(F.col("_pk").alias("_key"), F.col("_pt").alias("_tie"), F.struct(F.substring(F.col("text"), F.lit(1), F.col("_cut")).alias("head"), sketch(text_words(F.col("text"))).alias("kept")).alias("next"))
     told = told.groupBy("_key", "_tie").agg(F.first("next").alias("next"))
     n = F.length("text")
     whole = merge(own, links.select("_key", "_tie", "_id")).withColumn("kept", sketch(text_words(F.col("text"))))
     paired = merge(whole, told).select(F.col("_id").alias(id_col), n.cast("long").alias("n_chars"), "text", "kept", "next", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), F.col("next.head")).alias("edited"))
     worded = paired.withColumn("edited_kept", sketch(text_words(F.col("edited"))))
-    near_next = F.coalesce(F.col("next.near"), containment(F.col("kept"), F.col("next.kept"), F.col("text"), F.lit("")))
-    return worded.select(id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("kept")).alias("fingerprint"), spelled(F.col("edited_kept")).alias("edited_fingerprint"), containment(F.col("kept"), F.col("edited_kept"), F.col("text"), F.col("edited")).alias("near_edited"), near_next.alias("near_next"))
+    return worded.select(id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelled(F.col("kept")).alias("fingerprint"), spelled(F.col("edited_kept")).alias("edited_fingerprint"), containment(F.col("kept"), F.col("edited_kept")).alias("near_edited"), containment(F.col("kept"), F.col("next.kept")).alias("near_next"))

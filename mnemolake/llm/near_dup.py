@@ -263,9 +263,14 @@ def components(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     nodes = written(nodes.withColumn("node", F.xxhash64("high", "low")), "nodes")
     marks = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = marks.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("largest")).where("least < largest").select("bucket", "least")
+    # Written, so that both sides of the join are plain shuffles: a bucket of very many sets can be split.
+    shared = written(shared, "shared-buckets")
     # The larger joins are sort-merge joins at every size: neither side has a bound, and hot keys can be split.
     met = written(marks.join(shared.hint("merge"), "bucket"), "met")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_hash(id_col, text_col).alias("hash"), F.col(text_col).cast("binary").alias("text"))
+    # One text for each id and hash: repeated rows must not fill a block. Sorting texts for it costs, so only if there are any.
+    if rows.groupBy("doc_id", "hash").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        texts = texts.dropDuplicates(["id", "hash"])
     places = nodes.select("node", "first.id", "first.hash")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = lambda key: F.greatest(F.ceil(F.count("*") / block_documents), F.ceil(F.sum("n") / block_shingles), F.lit(1)).cast("int").alias(key)
