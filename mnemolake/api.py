@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -88,38 +89,45 @@ class Memory:
 
         Facts, claims on staged facts, decisions, the run's record, its uses and the vectors of new facts are written.
         """
-        store, began = self.store, now.timestamp()
-        if not store.take(run_id, began):
+        store = self.store
+        if not store.take(run_id, time.time()):
             raise Conflict("another run holds the lease")
         try:
-            staged, facts = store.table("session_facts"), store.table("facts")
-            projects = store.table("sessions").select(F.col("id").alias("session_id"), "project")
-            open_ = staged.where("consolidation_id is null").join(projects, "session_id", "left")
-            out = C.consolidate(open_, facts.join(projects, "session_id", "left"), self._now(now), self.provider.vocabulary, run_id)
-            counts = store.spark.createDataFrame(out["counts"].collect(), out["counts"].schema)
-            integrated = written(out["facts"].select(*facts.columns), "integrated")
-            tables = {"facts": integrated, "session_facts": staged.withColumn("consolidation_id", F.coalesce("consolidation_id", F.lit(run_id))).select(*staged.columns)}
-            relations = out["relations"].withColumnRenamed("verdict", "context_verdict").withColumns({"id": F.concat_ws(":", "consolidation_id", "kind", "fact_id", "related_fact_id"), "created_at": self._now(now), "session_fact_id": F.when(F.col("kind") == "corroborated_by", F.col("related_fact_id"))})
-            record = counts.withColumns({"id": F.lit(run_id), "created_at": self._now(now)})
-            run = store.spark.createDataFrame([(run_id,)], "consolidation_id string").withColumns({"id": F.concat(F.lit("run:"), "consolidation_id"), "kind": F.lit("consolidate"), "created_at": self._now(now)})
-            added = {"fact_relations": relations, "consolidations": record, "intelligence_runs": run}
-            if self.embedder is not None:
-                held = store.table("fact_embeddings").where(F.col("model") == self.embedder.model).select(F.col("fact_id").alias("id"))
-                added["fact_embeddings"] = embed_missing(integrated.join(held, "id", "left_anti"), self.embedder).withColumn("created_at", self._now(now))
-            for name, rows in added.items():
-                held = store.table(name)
-                full = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.schema(name)])
-                tables[name] = held.select(*full.columns).unionByName(full)
-            store.commit(tables, holder=run_id)
-            return counts
+            with store.beating(run_id):
+                return self._consolidate(run_id, now)
         finally:
             store.release(run_id)
 
+    def _consolidate(self, run_id: str, now: datetime) -> DataFrame:
+        # The version before the first read: what is captured after it stays staged.
+        store, base = self.store, self.store.head()
+        staged, facts = store.table("session_facts", base), store.table("facts", base)
+        projects = store.table("sessions", base).select(F.col("id").alias("session_id"), "project")
+        open_ = staged.where("consolidation_id is null").join(projects, "session_id", "left")
+        out = C.consolidate(open_, facts.join(projects, "session_id", "left"), self._now(now), self.provider.vocabulary, run_id)
+        counts = store.spark.createDataFrame(out["counts"].collect(), out["counts"].schema)
+        integrated = written(out["facts"].select(*facts.columns), "integrated")
+        tables = {"facts": integrated, "session_facts": staged.withColumn("consolidation_id", F.coalesce("consolidation_id", F.lit(run_id))).select(*staged.columns)}
+        relations = out["relations"].withColumnRenamed("verdict", "context_verdict").withColumns({"id": F.concat_ws(":", "consolidation_id", "kind", "fact_id", "related_fact_id"), "created_at": self._now(now), "session_fact_id": F.when(F.col("kind") == "corroborated_by", F.col("related_fact_id"))})
+        record = counts.withColumns({"id": F.lit(run_id), "created_at": self._now(now)})
+        run = store.spark.createDataFrame([(run_id,)], "consolidation_id string").withColumns({"id": F.concat(F.lit("run:"), "consolidation_id"), "kind": F.lit("consolidate"), "created_at": self._now(now)})
+        added = {"fact_relations": relations, "consolidations": record, "intelligence_runs": run}
+        if self.embedder is not None:
+            held = store.table("fact_embeddings", base).where(F.col("model") == self.embedder.model).select(F.col("fact_id").alias("id"))
+            added["fact_embeddings"] = embed_missing(integrated.join(held, "id", "left_anti"), self.embedder).withColumn("created_at", self._now(now))
+        for name, rows in added.items():
+            held = store.table(name, base)
+            full = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.schema(name)])
+            tables[name] = held.select(*full.columns).unionByName(full)
+        store.commit(tables, holder=run_id, base=base)
+        return counts
+
     def prune(self, spare: int = 20, apply: bool = False) -> int:
         """How many events nothing reaches; with ``apply`` they go."""
-        events = L.keyed(self.store.table("session_events"))
-        marks, sources = self.store.table("extract_watermarks"), self.store.table("session_fact_sources")
+        base = self.store.head()
+        events = L.keyed(self.store.table("session_events", base))
+        marks, sources = self.store.table("extract_watermarks", base), self.store.table("session_fact_sources", base)
         n = L.prunable(events, marks, sources, spare).count()
         if apply and n:
-            self.store.commit({"session_events": L.pruned(events, marks, sources, spare).select(*self.store.table("session_events").columns)})
+            self.store.commit({"session_events": L.pruned(events, marks, sources, spare).select(*self.store.table("session_events", base).columns)}, base=base)
         return n

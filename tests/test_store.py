@@ -135,23 +135,80 @@ def test_writers_don_t_lose_each_other_s_commits(spark, tmp_path, monkeypatch):
     store.release("me")
     assert other.lease().holder == "you"
     other.release("you")
-    # A commit in between is seen even without a lease.
-    real = store.pointer
-    calls = []
-
-    def pointer():
-        if len(calls) == 1:
-            other.commit({"entities": spark.createDataFrame([], M.S.schema("entities"))})
-        calls.append(1)
-        return real()
-
-    monkeypatch.setattr(store, "pointer", pointer)
+    # A rewrite between the read and the commit is seen even without a lease; one of another table doesn't matter.
+    base = store.head()
+    other.commit({"entities": spark.createDataFrame([], M.S.schema("entities"))})
+    store.commit({"domains": domain("b")}, base=base)
+    base = store.head()
+    other.commit({"domains": domain("c")})
     with pytest.raises(M.Conflict):
-        store.commit({"domains": domain("c")})
-    assert [r.name for r in other.table("domains").collect()] == ["a"]
-    # Appends add files alone.
+        store.commit({"domains": domain("d")}, base=base)
+    assert [r.name for r in other.table("domains").collect()] == ["c"]
+    # Appends add files alone, and a rewrite keeps what was appended after its read.
+    base = store.head()
     other.append("domains", domain("z"))
-    assert sorted(r.name for r in other.table("domains").collect()) == ["a", "z"] and len(other.pointer()["domains"]) == 2
+    assert sorted(r.name for r in other.table("domains").collect()) == ["c", "z"] and len(other.head().tables["domains"]) == 2
+    store.commit({"domains": domain("e")}, base=base)
+    assert sorted(r.name for r in other.table("domains").collect()) == ["e", "z"]
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    """Appends by eight threads, each with a store of its own, and old versions that go."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def add(i):
+        M.Store(spark, f"file://{tmp_path}/s").append("domains", spark.createDataFrame([(f"d{i}", [], NOW)], M.S.schema("domains")))
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(add, range(24)))
+    store = M.Store(spark, f"file://{tmp_path}/s")
+    assert sorted(r.name for r in store.table("domains").collect()) == sorted(f"d{i}" for i in range(24))
+    assert store.head().number == 24
+
+
+def test_a_dead_writer_s_version_is_void(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(M.Store, "PATIENCE", 0.1)
+    store = M.Store(spark, f"file://{tmp_path}/s")
+    domain = lambda n: spark.createDataFrame([(n, [], NOW)], M.S.schema("domains"))
+    store.append("domains", domain("a"))
+    (tmp_path / "s" / "_VERSIONS" / f"{2:012d}").touch()
+    assert [r.name for r in store.table("domains").collect()] == ["a"]
+    store.append("domains", domain("b"))
+    assert store.head().number == 3 and sorted(r.name for r in store.table("domains").collect()) == ["a", "b"]
+
+
+def test_a_capture_during_a_run_stays_staged(spark, tmp_path, monkeypatch):
+    """Between the run's first read and its commit, and between the read of staged facts and the pointer's."""
+    from mnemolake.operators import consolidate as C
+
+    memory = Memory(M.Store(spark, f"file://{tmp_path}/store"), Heuristic())
+    memory.capture_fact("f1", "s", "likes tea", NOW)
+    real, late = C.consolidate, []
+
+    def slow(*args):
+        if not late:
+            late.append(1)
+            memory.capture_fact("f2", "s", "likes coffee", NOW)
+        return real(*args)
+
+    monkeypatch.setattr(C, "consolidate", slow)
+    memory.consolidate("r1", NOW)
+    staged = {r.id: r.consolidation_id for r in memory.store.table("session_facts").collect()}
+    assert staged == {"f1": "r1", "f2": None} and [r.id for r in memory.store.table("facts").collect()] == ["f1"]
+    memory.consolidate("r2", NOW)
+    assert {r.id: r.consolidation_id for r in memory.store.table("session_facts").collect()} == {"f1": "r1", "f2": "r2"}
+    assert sorted(r.id for r in memory.store.table("facts").collect()) == ["f1", "f2"]
+
+
+def test_a_heartbeat_keeps_the_lease(spark, tmp_path, monkeypatch):
+    import time
+
+    monkeypatch.setattr(M, "BEAT_SECONDS", 0.05)
+    store = M.Store(spark, f"file://{tmp_path}/s")
+    assert store.take("me", 0.0)
+    with store.beating("me"):
+        time.sleep(1)
+    assert store.lease().heartbeat > 1 and not store.take("you", time.time())
 
 
 def test_a_failing_embedder_degrades():
