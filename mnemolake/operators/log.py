@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 
 from mnemolake import schemas as S
 from mnemolake.functions.text import conversation_key, conversation_kind, is_assent
+from mnemolake.scratch import written
 
 
-def numbered(rows: DataFrame, key: str, after: int = 0, ranges: int = 64, name: str = "sequence") -> DataFrame:
-    """``rows`` with consecutive numbers by ``key`` (a long) from ``after`` + 1 on, without sorting all rows in one task.
+def numbered(rows: DataFrame, order: str | list[str], after: int = 0, name: str = "sequence") -> DataFrame:
+    """``rows`` with consecutive numbers by ``order`` from ``after`` + 1 on, without sorting all rows in one task.
 
-    Rows go to ranges between quantiles of the key; a row's number is its place in its range after the counts of the
-    ranges before, which are few rows. Equal keys are in one range, in no particular order among themselves.
+    Rows go to ranges of the order, as many as Spark makes shuffle partitions; a row's number is its place in its range after the
+    counts of the ranges before, which are few rows. Rows that agree in the order are in one range, in no particular order.
     """
-    bounds = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    array = F.array(*map(F.lit, sorted(set(bounds)))).cast("array<long>")
-    dealt = rows.withColumn("_range", F.size(F.filter(array, lambda b: b <= F.col(key))))
+    order = [order] if isinstance(order, str) else order
+    dealt = written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "numbered-ranges")
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, (F.lit(after) + F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
 
 

@@ -32,8 +32,13 @@ TABLES: dict[str, str] = {
 }
 
 
-#: Unique keys of tables that are appended to, and which row counts.
-UNIQUE: dict[str, tuple[list[str], list[str]]] = {"session_facts": (["session_id", "content_hash"], ["created_at", "id"])}
+#: Unique keys of tables that are appended to, and which row counts: the first by these columns (``-``: descending).
+UNIQUE: dict[str, tuple[list[str], list[str]]] = {
+    "session_facts": (["session_id", "content_hash"], ["created_at", "id"]),
+    "sessions": (["id"], ["started_at"]),
+    "source_watermarks": (["path"], ["-updated_at", "-byte_offset"]),
+    "extract_watermarks": (["kind", "conversation_id"], ["-last_event_sequence"]),
+}
 
 
 def schema(table: str) -> T.StructType:

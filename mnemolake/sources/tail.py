@@ -1,4 +1,8 @@
-"""A streaming source that tails growing JSONL files, with offsets in the stream's checkpoint."""
+"""A streaming source that tails growing JSONL files. The driver lists files and looks at their ends; byte ranges are read on executors.
+
+An offset has, for each path, how far its complete lines reach and a fingerprint of what is before. A file whose beginning is no
+longer what it was is read from its start again. All executors must see the files at the same paths.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,13 @@ import glob
 import hashlib
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-WINDOW = 256
+#: Bytes of a fingerprint's ends, of a range, of a look back for the last line end, and of lines that are handed on together.
+WINDOW, RANGE, BACK, HANDED = 256, 16 << 20, 1 << 16, 1 << 20
 
 
 def fingerprint(path: str, size: int | None = None) -> str:
@@ -28,59 +35,102 @@ def should_resume(path: str, mark: str) -> bool:
     return os.path.getsize(path) >= size and fingerprint(path, size) == mark
 
 
-def complete_lines(path: str, start: int, most: int = 16 << 20) -> tuple[list[str], int]:
-    """Whole lines from ``start`` (about ``most`` bytes), and where the last one ends. A partial last line waits."""
+def complete_end(path: str) -> int:
+    """Where the last complete line ends, found from the end; what follows is a line that is being written."""
     with open(path, "rb") as f:
-        f.seek(start)
-        data = f.read(most)
-        end = data.rfind(b"\n")
-        while end < 0 and len(data) and len(more := f.read(most)):
-            data += more
-            end = data.rfind(b"\n")
-    return [x.decode("utf-8", "replace") for x in data[: end + 1].split(b"\n")[:-1]], start + end + 1
-
-
-class TailReader(SimpleDataSourceStreamReader):
-    """Offsets: for each path its byte offset, line number and fingerprint up to there."""
-
-    def __init__(self, pattern: str):
-        self.pattern = pattern
+        at = f.seek(0, os.SEEK_END)
+        while at > 0:
+            start = max(0, at - BACK)
+            f.seek(start)
+            if (hit := f.read(at - start).rfind(b"\n")) >= 0:
+                return start + hit + 1
+            at = start
+    return 0
+
+
+@dataclass
+class Range(InputPartition):
+    """Lines of ``path`` that begin from ``low`` on and before ``high``; ``first`` is where the batch begins, ``mark`` what it ends in."""
+
+    path: str
+    first: int
+    low: int
+    high: int
+    end: int
+    mark: str
+
+    def lines(self) -> Iterator[tuple[int, bytes]]:
+        """Where each begins, and the line with its end."""
+        with open(self.path, "rb") as f:
+            at = self.low
+            if at > self.first:
+                # The line that reaches over the range's beginning is the range's before.
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            f.seek(at)
+            while at < self.high:
+                line = f.readline()
+                if not line.endswith(b"\n") or at + len(line) > self.end:
+                    return
+                yield at, line
+                at += len(line)
+
+
+class TailReader(DataSourceStreamReader):
+    def __init__(self, pattern: str, size: int = RANGE):
+        self.pattern, self.size = pattern, size
 
     def initialOffset(self) -> dict:
         return {"files": {}}
 
-    def _read(self, start: dict, stop: dict | None) -> tuple[list[tuple], dict]:
-        rows, files = [], dict(start["files"])
+    def latestOffset(self) -> dict:
+        files = {}
         for path in sorted(glob.glob(self.pattern, recursive=True)):
-            at, line, mark = files.get(path, (0, 0, ""))
-            if mark and not should_resume(path, mark):
-                at, line = 0, 0
-            if stop is not None and path not in stop["files"]:
+            end = complete_end(path)
+            files[path] = [end, fingerprint(path, end)]
+        return {"files": files}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        out = []
+        for path, (stop, mark) in sorted(end["files"].items()):
+            at, before = start["files"].get(path, (0, ""))
+            if before == mark:
                 continue
-            lines, end = complete_lines(path, at)
-            if stop is not None:
-                lines = lines[: stop["files"][path][1] - line]
-            rows += [(path, line + i + 1, x) for i, x in enumerate(lines)]
-            files[path] = [end, line + len(lines), fingerprint(path, end)] if end else [0, 0, ""]  # as JSON gives them back
-        return rows, {"files": files}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._read(start, None)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self._read(start, end)[0])
+            at = at if before and os.path.exists(path) and should_resume(path, before) else 0
+            out += [Range(path, at, low, min(low + self.size, stop), stop, mark) for low in range(at, stop, self.size)]
+        return out
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, bytes]] = []
+        held = 0
+        for at, line in partition.lines():
+            rows.append((at, line))
+            held += len(line)
+            if held >= HANDED:
+                yield self._batch(partition, rows)
+                rows, held = [], 0
+        if rows:
+            yield self._batch(partition, rows)
+
+    @staticmethod
+    def _batch(part: Range, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        last = [part.mark if at + len(line) == part.end else None for at, line in rows]
+        columns = [[part.path] * len(rows), [at for at, _ in rows], [len(line) for _, line in rows], [line[:-1].decode("utf-8", "replace") for _, line in rows], last]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["path", "line", "size", "value", "mark"])
 
 
 class JsonlTail(DataSource):
-    """``spark.dataSource.register(JsonlTail)``; then ``readStream.format("jsonl_tail").load(pattern)``."""
+    """``spark.dataSource.register(JsonlTail)``; then ``readStream.format("jsonl_tail").load(pattern)``.
+
+    Rows: path, line (the byte at which it begins), size (its bytes), value, and mark (the file's fingerprint, on its last line).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "jsonl_tail"
 
     def schema(self) -> str:
-        return "path string, line long, value string"
+        return "path string, line long, size long, value string, mark string"
 
-    def simpleStreamReader(self, schema) -> TailReader:
-        return TailReader(self.options.get("path", ""))
+    def streamReader(self, schema) -> TailReader:
+        return TailReader(self.options.get("path", ""), int(self.options.get("rangebytes", RANGE)))

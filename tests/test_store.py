@@ -56,31 +56,99 @@ def test_read_lines(spark, tmp_path):
     assert [(r.line, r.value) for r in transcripts.read_lines(spark, [str(tmp_path)]).orderBy("line").collect()] == [(1, '{"a": 1}'), (3, '{"b": 2}')]
 
 
+def tailed(reader, start, end):
+    return [(r["line"], r["value"]) for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
+
+
 def test_tail_resumes_and_restarts(tmp_path):
     f = tmp_path / "x.jsonl"
     f.write_text("one\ntwo\npart")
-    reader = tail.TailReader(str(tmp_path / "*.jsonl"))
-    rows, at = reader.read(reader.initialOffset())
-    assert [r[1:] for r in rows] == [(1, "one"), (2, "two")]
+    reader = tail.TailReader(str(tmp_path / "*.jsonl"), 5)
+    none, first = reader.initialOffset(), reader.latestOffset()
+    assert tailed(reader, none, first) == [(0, "one"), (4, "two")]
     with f.open("a") as out:
-        out.write("ial\n")
-    rows, after = reader.read(at)
-    assert [r[1:] for r in rows] == [(3, "partial")]
-    assert [r[1:] for r in reader.readBetweenOffsets(at, after)] == [(3, "partial")]
+        out.write("ial\nmore\n")
+    # A file that has grown since the offset was taken: the batch is what it was, the next one has the rest.
+    assert tailed(reader, none, first) == [(0, "one"), (4, "two")]
+    second = reader.latestOffset()
+    assert tailed(reader, first, second) == [(8, "partial"), (16, "more")]
+    assert tailed(reader, second, reader.latestOffset()) == []
     f.write_text("new\n")
-    assert [r[1:] for r in reader.read(after)[0]] == [(1, "new")]
+    assert tailed(reader, second, reader.latestOffset()) == [(0, "new")]
+
+
+def test_ranges_cut_lines_exactly_once(tmp_path):
+    import random
+
+    rng = random.Random(3)
+    lines = ["x" * rng.choice([0, 1, 5, 40]) + "é" for _ in range(200)]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines) + "\npartial")
+    for size in (1, 2, 7, 64, 1000, 10**6):
+        reader = tail.TailReader(str(tmp_path / "x.jsonl"), size)
+        end = reader.latestOffset()
+        assert [v for _, v in tailed(reader, reader.initialOffset(), end)] == lines
+        marks = [r["mark"] for p in reader.partitions(reader.initialOffset(), end) for b in reader.read(p) for r in b.to_pylist() if r["mark"]]
+        assert marks == [end["files"][str(tmp_path / "x.jsonl")][1]]
+    (tmp_path / "y.jsonl").write_text("no end")
+    assert tail.complete_end(str(tmp_path / "y.jsonl")) == 0
+
+
+def said(role, text, session="c1"):
+    import json
+
+    return json.dumps({"type": role, "sessionId": session, "message": {"role": role, "content": text}}) + "\n"
 
 
-def test_tail_as_a_stream(spark, tmp_path):
-    (tmp_path / "x.jsonl").write_text("one\ntwo\n")
+def test_a_copy_is_exactly_once(spark, tmp_path):
+    """Two runs of a stream over a growing file, a batch that is replayed, and two streams into one store."""
+    from mnemolake.streaming.sink import copier
+
+    (tmp_path / "projects" / "p").mkdir(parents=True)
+    f = tmp_path / "projects" / "p" / "x.jsonl"
+    f.write_text(said("user", "one") + said("assistant", "two") + '{"type": "summary"}\n')
     spark.dataSource.register(tail.JsonlTail)
-    q = spark.readStream.format("jsonl_tail").load(str(tmp_path / "*.jsonl")).writeStream.format("memory").queryName("tailed").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    with (tmp_path / "x.jsonl").open("a") as out:
-        out.write("three\n")
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(r.value for r in spark.table("tailed").collect()) == ["one", "three", "two"]
+    store = M.Store(spark, f"file://{tmp_path}/store")
+    seen = []
+
+    def write(batch, number):
+        copier(store, "copy")(batch, number)
+        seen.append(number)
+        copier(store, "copy")(batch, number)  # as after a crash between the commit and the checkpoint
+
+    def run(name="cp", sink=write):
+        q = spark.readStream.format("jsonl_tail").option("rangeBytes", "64").load(str(tmp_path / "projects/*/*.jsonl")).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    with f.open("a") as out:
+        out.write(said("user", "three") + said("assistant", "fo")[:-5])
+    run()
+    rows = store.table("session_events").orderBy("sequence").collect()
+    assert [(r.sequence, r.role, r.content, r.client_session_id) for r in rows] == [(1, "user", "one", "c1"), (2, "assistant", "two", "c1"), (3, "user", "three", "c1")]
+    mark = store.table("source_watermarks").collect()
+    assert [(m.byte_offset, m.line_number) for m in mark] == [(tail.complete_end(str(f)), 4)] and mark[0].fingerprint == tail.fingerprint(str(f), mark[0].byte_offset)
+    assert [(s.id, s.project) for s in store.table("sessions").collect()] == [("c1", "p")] and len(seen) >= 2
+    run("cp2", copier(store, "other"))
+    assert sorted(r.sequence for r in store.table("session_events").collect()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_extraction_as_a_sink(spark, tmp_path):
+    """Marks stop before what fails; the next batch goes on from there, and a replay adds nothing."""
+    from mnemolake.operators.extraction import sentences
+    from mnemolake.streaming.sink import extractor, shaped
+
+    store = M.Store(spark, f"file://{tmp_path}/store")
+    rows = [(f"e{s}", c, s, "message", "user", t) for c, s, t in (("a", 1, "the first of a."), ("b", 2, "the first of b."), ("a", 3, "x" * 60), ("b", 4, "the second of b."), ("a", 5, "the last of a."))]
+    store.append("session_events", shaped(spark.createDataFrame(rows, "id string, client_session_id string, sequence long, event_type string, role string, content string"), "session_events"))
+    found = lambda: (sorted(r.content for r in store.table("session_facts").collect()), {r.conversation_id: r.last_event_sequence for r in store.table("extract_watermarks").collect()})
+    strict, lax = (extractor(store, "extract", sentences(n), size=1, characters=100) for n in (40, 1000))
+    strict(None, 0)
+    assert found() == (["the first of a", "the first of b", "the second of b"], {"a": 1, "b": 4})
+    lax(None, 0)
+    assert found()[1] == {"a": 1, "b": 4}
+    lax(None, 1)
+    assert found() == (sorted(["the first of a", "the first of b", "the second of b", "x" * 60, "the last of a"]), {"a": 5, "b": 4})
 
 
 def test_stream_marks_and_windows(spark, tmp_path):
