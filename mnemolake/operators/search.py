@@ -5,6 +5,8 @@ Everything carries ``query_id``, so one plan serves many queries.
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from mnemolake.functions.text import clip, search_tokens
 from mnemolake.functions.vectors import cosine
 from mnemolake.scratch import written
 
+if TYPE_CHECKING:
+    from mnemolake.operators.textindex import TextIndex
+
 
 #: Query vectors that are sent out together.
 QUERY_BLOCK = 1024
@@ -58,7 +63,11 @@ def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     made = own.select("id", F.size(F.filter("tokens", lambda t: t != "")).alias("length"), F.filter(counted, lambda x: x["f"] > 0).alias("found"))
     made = written(made, "postings")
     stats = made.agg(F.count("*").cast("double").alias("rows"), F.avg("length").alias("mean"))
-    postings = made.select("id", "length", F.explode("found").alias("x")).select("id", "length", "x.phrase", "x.f")
+    return weighted(made.select("id", "length", F.explode("found").alias("x")).select("id", "length", "x.phrase", "x.f"), stats, phrases)
+
+
+def weighted(postings: DataFrame, stats: DataFrame, phrases: DataFrame) -> DataFrame:
+    """BM25 of ``postings`` (id, length, phrase, f) with one row of ``stats`` (rows, mean), for ``phrases`` (query_id, phrase)."""
     df = postings.groupBy("phrase").agg(F.count("*").alias("n"))
     idf = F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     # One row of statistics: the only cross join, of 1 row.
@@ -76,9 +85,13 @@ def ranked(scored: DataFrame, order: list[Column], cap: int) -> DataFrame:
     return scored.withColumn("rank0", (F.row_number().over(w) - 1).cast("long")).where(F.col("rank0") < cap)
 
 
-def keyword_list(facts: DataFrame, queries: DataFrame, now: Column, cap: int, at: Column | None = None, columns: tuple[str, ...] = ("content", "domain", "subdomain")) -> DataFrame:
-    """Recall by BM25: matched and scored over all facts, then those in force, then the best ``cap``."""
-    hits = bm25(indexed(facts, "id", list(columns)), queries)
+def keyword_list(facts: DataFrame, queries: DataFrame, now: Column, cap: int, at: Column | None = None, columns: tuple[str, ...] = ("content", "domain", "subdomain"), index: TextIndex | None = None) -> DataFrame:
+    """Recall by BM25: matched and scored over all facts, then those in force, then the best ``cap``. With an ``index`` of the facts only
+    the asked tokens' postings are read."""
+    if index is None:
+        hits = bm25(indexed(facts, "id", list(columns)), queries)
+    else:
+        hits = index.search(queries).withColumn("id", F.col("id").cast(facts.schema["id"].dataType))
     live = facts.where(P.in_force(now, at)).select("id")
     return ranked(hits.join(live, "id", "left_semi"), [F.desc("score"), F.col("id")], cap).select("query_id", "id", "rank0", "score")
 
@@ -166,10 +179,10 @@ def pool(limit: int) -> int:
     return max(5 * limit, S.LEAST_POOL)
 
 
-def hybrid(facts: DataFrame, queries: DataFrame, now: Column, limit: int = S.DEFAULT_LIMIT, at: Column | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, entity_hits: DataFrame | None = None, prior: Column | None = None, floor: float = 0.0) -> DataFrame:
+def hybrid(facts: DataFrame, queries: DataFrame, now: Column, limit: int = S.DEFAULT_LIMIT, at: Column | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, entity_hits: DataFrame | None = None, prior: Column | None = None, floor: float = 0.0, index: TextIndex | None = None) -> DataFrame:
     """Keyword, domain, entity and vector recall, fused. A domain ranks, it never gates."""
     cap = pool(limit)
-    lists = [keyword_list(facts, queries, now, cap, at)]
+    lists = [keyword_list(facts, queries, now, cap, at, index=index)]
     if "domain" in queries.columns:
         lists.append(domain_list(facts, queries, now, cap, at))
     if entity_hits is not None:

@@ -28,6 +28,10 @@ TABLES: dict[str, str] = {
     "inferences": "id string, hypothesis string, status string, reason string, fact_id string, metadata string, created_at timestamp, validated_at timestamp",
     "inference_evidence": "inference_id string, fact_id string",
     "intelligence_runs": "id string, kind string, consolidation_id string, created_at timestamp, usage string, trigger string, source_tool string, project string",
+    "fts_postings": "token string, id string, length int, places array<int>, added long, bucket int",
+    "fts_lengths": "id string, length int, added long",
+    "fts_removed": "id string, removed long",
+    "fts_stats": "documents long, words long",
     "fact_relations": "id string, consolidation_id string, fact_id string, related_fact_id string, session_fact_id string, kind string, context_verdict string, fact_project string, candidate_project string, basis string, reason string, decided_by string, created_at timestamp",
 }
 
@@ -40,6 +44,9 @@ UNIQUE: dict[str, tuple[list[str], list[str]]] = {
     "extract_watermarks": (["kind", "conversation_id"], ["-last_event_sequence"]),
 }
 
+#: Tables in folders by a column.
+FOLDERS: dict[str, str] = {"fts_postings": "bucket"}
+
 
 def schema(table: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[table])
