@@ -41,12 +41,10 @@ class Memory:
         return R.hybrid(facts, queries, self._now(now), limit, at, vectors, asked, self._entity_hits(query))
 
     def _entity_hits(self, query: str) -> DataFrame:
-        """Facts of entities that the query's first five terms of three characters or more name."""
-        terms = [t for t in query.split() if len(t) >= 3][:5]
-        asked = self.store.spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "name string, position int")
-        found = G.resolve_names(asked.select("name"), self.store.table("entities")).join(asked, "name")
-        links = self.store.table("fact_entities").select(F.col("entity_id").alias("_e"), "fact_id")
-        return found.join(links, F.col("id") == F.col("_e")).groupBy(F.lit("q").alias("query_id"), F.col("fact_id").alias("id")).agg(F.min("position").alias("position"))
+        """Facts of the families of the entities that the query names."""
+        asked = self.store.spark.createDataFrame([("q", query)], "query_id string, query string")
+        same = self.store.table("entity_edges").where(F.col("relationship") == S.SAME_AS)
+        return R.entity_list(asked, self.store.table("entities"), self.store.table("fact_entities"), same)
 
     def get_entity(self, name: str, now: datetime) -> DataFrame:
         """Facts of the entity's family, subjects first."""

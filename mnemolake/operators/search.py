@@ -160,6 +160,19 @@ def similarities(vectors: DataFrame, queries: DataFrame, floor: float) -> DataFr
     return out if out is not None and not held else block(held) if out is None else out.union(block(held))
 
 
+def entity_list(queries: DataFrame, entities: DataFrame, links: DataFrame, same: DataFrame, terms: int = 5, least: int = 3) -> DataFrame:
+    """Rows (query_id, id, position): facts of the families of the entities that a query's first ``terms`` terms of ``least`` characters or
+    more name; the first term that leads to a fact counts."""
+    from mnemolake.operators import graph as G
+
+    words = F.filter(F.split(F.replace("query", F.lit('"'), F.lit(" ")), "\\s+"), lambda t: F.length(t) >= least)
+    asked = queries.select("query_id", F.posexplode(F.slice(words, 1, terms)).alias("position", "name"))
+    found = written(G.resolve_names(asked.select("name").distinct(), entities).select("name", F.col("id").alias("seed")), "named")
+    family = G.same_as_closure(found.select("seed").distinct(), same)
+    members = asked.join(found, "name").join(family, "seed").groupBy("query_id", F.col("member").alias("entity_id")).agg(F.min("position").alias("position"))
+    return members.join(links.select("entity_id", "fact_id"), "entity_id").groupBy("query_id", F.col("fact_id").alias("id")).agg(F.min("position").alias("position"))
+
+
 def rrf(lists: list[DataFrame]) -> DataFrame:
     """Reciprocal rank fusion of (query_id, id, rank0): the first place gives 1/60."""
     union = lists[0].select("query_id", "id", "rank0")
@@ -186,7 +199,8 @@ def hybrid(facts: DataFrame, queries: DataFrame, now: Column, limit: int = S.DEF
     if "domain" in queries.columns:
         lists.append(domain_list(facts, queries, now, cap, at))
     if entity_hits is not None:
-        lists.append(ranked(entity_hits, [F.col("position"), F.col("id")], cap))
+        live = facts.where(P.in_force(now, at)).select("id")
+        lists.append(ranked(entity_hits.join(live, "id", "left_semi"), [F.col("position"), F.col("id")], cap))
     if vectors is not None and query_vectors is not None:
         lists.append(vector_list(vectors, query_vectors, facts.where(P.in_force(now, at)), cap, floor))
     return fused(facts, rrf(lists), now, limit, prior)

@@ -104,6 +104,41 @@ def fact_entities(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def source_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of documents as entities."""
+    name = F.col("source")
+    return table(spark, sf, "documents").select("source").distinct().select(F.concat(F.lit("source:"), name).alias("id"), F.lit("source").alias("type"), name.alias("name"), F.lower(F.trim(name)).alias("canonical_name"), F.xxhash64(name).alias("born"))
+
+
+def source_links(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("fact_id"), F.concat(F.lit("source:"), "source").alias("entity_id"), F.lit("subject_of").alias("relationship"))
+
+
+def source_same(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of two digits are the same as those of their last digit."""
+    name = F.col("source")
+    return table(spark, sf, "documents").select("source").distinct().where(name.rlike("^src1[0-9]$")).select(F.concat(F.lit("source:"), name).alias("from_entity"), F.concat(F.lit("source:src"), F.substring(name, 5, 1)).alias("to_entity"))
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark: SparkSession, sf: str):
+    """An index of the facts' texts, made for an input path once in an application."""
+    import uuid
+
+    from mnemolake.operators.textindex import TextIndex
+    from mnemolake.scratch import folder
+    from mnemolake.store import Store
+
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        root = f"{folder(spark)}/text-index-{uuid.uuid4().hex}"
+        TextIndex(Store(spark, root)).add(facts(spark, sf), "id", ["content", "domain", "subdomain"])
+        _INDEXES[key] = root
+    return TextIndex(Store(spark, _INDEXES[key]))
+
+
 def order_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as facts of a customer, each superseded by the customer's next."""
     from pyspark.sql import Window

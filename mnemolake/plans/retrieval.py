@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mnemolake.functions import predicates as P
@@ -12,7 +14,9 @@ from mnemolake.plans import adapters as A
 from mnemolake.plans.catalog import query
 from mnemolake.plans.scalar import _TEMPORAL, CURRENT
 
-ASKED = [("a", "than", "en"), ("b", "THER thre", "de"), ("c", "zqzq", None), ("d", "of-the", "fr")]
+ASKED = [("a", "than", "en"), ("b", "THER thre", "de"), ("c", "zqzq", None), ("d", "of-the", "fr"), ("e", "than SRC3", None)]
+#: Vectors that stand for the queries' own.
+VECTORS = {"a": 7, "b": 12, "d": 23, "e": 31}
 _ACCENTS = "translate(lower({0}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
 _TOKENS = "list_filter(string_split_regex(" + _ACCENTS + r", '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 
@@ -23,7 +27,7 @@ def queries(spark):
 
 #: BM25 of the asked phrases: a is one token, b two, d a phrase of two.
 _BM25 = f"""idx AS (SELECT @id@ AS id, {_TOKENS.format('content')} AS c, @rest@ AS r FROM @corpus@), len_ AS (SELECT id, c, r, len(c) + len(r) AS n, ' ' || array_to_string(c, ' ') || ' | ' || array_to_string(r, ' | ') || ' ' AS line FROM idx),
-    st AS (SELECT CAST(count(*) AS DOUBLE) AS rows_, avg(n) AS mean FROM len_), ph AS (SELECT * FROM (VALUES ('a', 'than'), ('b', 'ther'), ('b', 'thre'), ('c', 'zqzq'), ('d', 'of the')) v(query_id, phrase)),
+    st AS (SELECT CAST(count(*) AS DOUBLE) AS rows_, avg(n) AS mean FROM len_), ph AS (SELECT * FROM (VALUES ('a', 'than'), ('b', 'ther'), ('b', 'thre'), ('c', 'zqzq'), ('d', 'of the'), ('e', 'than'), ('e', 'src3')) v(query_id, phrase)),
     f AS (SELECT ph.query_id, ph.phrase, l.id, l.n, (length(replace(l.line, ' ', '  ')) - length(replace(replace(l.line, ' ', '  '), ' ' || replace(ph.phrase, ' ', '  ') || ' ', ''))) / (length(replace(ph.phrase, ' ', '  ')) + 2) AS f FROM ph, len_ l),
     hit AS (SELECT * FROM f WHERE f > 0), df AS (SELECT phrase, count(DISTINCT id) AS n FROM hit GROUP BY phrase), w AS (SELECT phrase, CASE WHEN ln((rows_ - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((rows_ - n + 0.5) / (n + 0.5)) END AS idf, mean FROM df, st),
     bm AS (SELECT h.query_id, h.id, sum(w.idf * h.f * 2.2 / (h.f + 1.2 * (0.25 + 0.75 * h.n / w.mean))) AS score FROM hit h JOIN w ON w.phrase = h.phrase GROUP BY h.query_id, h.id HAVING count(*) = (SELECT count(*) FROM ph WHERE ph.query_id = h.query_id))"""
@@ -37,19 +41,30 @@ _RRF = "u AS (SELECT query_id, id, rank0 FROM kw UNION ALL SELECT query_id, id,
 
 @query("se_bm25", f", {_FACTS_BM}, {_KW} SELECT query_id, id, round(score, 5) AS score FROM kw".lstrip(), "facts")
 def _(spark, sf):
-    got = R.keyword_list(A.facts(spark, sf), queries(spark), A.now(), 100)
+    got = R.keyword_list(A.facts(spark, sf), queries(spark), A.now(), 100, index=A.text_index(spark, sf))
     return got.select("query_id", "id", F.round("score", 5).alias("score"))
 
 
 @query("jn_fts", f", {_FACTS_BM} SELECT query_id, bm.id, facts.domain FROM bm JOIN facts ON facts.id = bm.id".lstrip(), "facts")
 def _(spark, sf):
-    f = A.facts(spark, sf)
-    return R.bm25(R.indexed(f, "id", ["content", "domain", "subdomain"]), queries(spark)).join(f.select("id", "domain"), "id").select("query_id", "id", "domain")
+    """An index that was filled in two steps, lost a third of the facts and got them again."""
+    from mnemolake.operators.textindex import TextIndex
+    from mnemolake.scratch import folder
+    from mnemolake.store import Store
+
+    f, columns, third = A.facts(spark, sf), ["content", "domain", "subdomain"], F.col("id") % 3 == 1
+    index = TextIndex(Store(spark, f"{folder(spark)}/jn-fts-{uuid.uuid4().hex}"))
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
+        index.add(f.where(part), "id", columns)
+    index.remove(f.where(third), "id")
+    index.add(f.where(third), "id", columns)
+    hits = index.search(queries(spark)).select("query_id", F.col("id").cast("long").alias("id"))
+    return hits.join(f.select("id", "domain"), "id").select("query_id", "id", "domain")
 
 
 @query("tk_hits", f", {_FACTS_BM} SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM bm) WHERE n <= 8".lstrip(), "facts")
 def _(spark, sf):
-    got = R.bm25(R.indexed(A.facts(spark, sf), "id", ["content", "domain", "subdomain"]), queries(spark))
+    got = A.text_index(spark, sf).search(queries(spark)).withColumn("id", F.col("id").cast("long"))
     return R.ranked(got, [F.desc("score"), F.col("id")], 8).select("query_id", "id")
 
 
@@ -84,27 +99,43 @@ def _(spark, sf):
 
 @query("wn_rrf_rank", f", {_FACTS_BM}, {_KW} SELECT query_id, id, rank0 FROM kw".lstrip(), "facts")
 def _(spark, sf):
-    return R.keyword_list(A.facts(spark, sf), queries(spark), A.now(), 100).select("query_id", "id", "rank0")
+    return R.keyword_list(A.facts(spark, sf), queries(spark), A.now(), 100, index=A.text_index(spark, sf)).select("query_id", "id", "rank0")
 
 
 @query("st_union_lists", f", {_FACTS_BM}, {_KW}, {_DOM} SELECT 'keyword' AS list, query_id, id FROM kw UNION ALL SELECT 'domain', query_id, id FROM dom".lstrip(), "facts")
 def _(spark, sf):
     f, q = A.facts(spark, sf), queries(spark)
-    kw = R.keyword_list(f, q, A.now(), 100).select(F.lit("keyword").alias("list"), "query_id", "id")
+    kw = R.keyword_list(f, q, A.now(), 100, index=A.text_index(spark, sf)).select(F.lit("keyword").alias("list"), "query_id", "id")
     return kw.unionByName(R.domain_list(f, q, A.now(), 100).select(F.lit("domain").alias("list"), "query_id", "id"))
 
 
 @query("se_rrf", f", {_FACTS_BM}, {_KW}, {_DOM}, {_RRF} SELECT query_id, id, round(rrf, 8) AS rrf, lists FROM rrf".lstrip(), "facts")
 def _(spark, sf):
     f, q = A.facts(spark, sf), queries(spark)
-    return R.rrf([R.keyword_list(f, q, A.now(), 100), R.domain_list(f, q, A.now(), 100)]).withColumn("rrf", F.round("rrf", 8))
+    return R.rrf([R.keyword_list(f, q, A.now(), 100, index=A.text_index(spark, sf)), R.domain_list(f, q, A.now(), 100)]).withColumn("rrf", F.round("rrf", 8))
 
 
-_HYBRID = f", {_FACTS_BM}, {_KW}, {_DOM}, {_RRF}, hy AS (SELECT query_id, facts.id, rrf * (1 + 0.3 * {_TEMPORAL}) AS score FROM rrf JOIN facts ON facts.id = rrf.id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank0 FROM hy QUALIFY rank0 < 20)"
+#: The other two lists: facts of the sources that a query names, with the sources that are the same; vectors near the query's.
+_ENT = f"""fam AS (SELECT DISTINCT source AS name, regexp_replace(source, '^src1([0-9])$', 'src\\1') AS head FROM documents),
+    tq(query_id, name, position) AS (VALUES ('a', 'than', 0), ('b', 'ther', 0), ('b', 'thre', 1), ('c', 'zqzq', 0), ('d', 'of-the', 0), ('e', 'than', 0), ('e', 'src3', 1)),
+    eh AS (SELECT tq.query_id, f.id, min(position) AS position FROM tq JOIN fam x ON x.name = tq.name JOIN fam y ON y.head = x.head JOIN facts f ON f.subdomain = y.name WHERE {CURRENT} GROUP BY ALL),
+    ent AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY position, id) - 1 AS rank0 FROM eh QUALIFY rank0 < 100)"""
+_VL = f"""vq AS (SELECT * FROM (VALUES {", ".join(f"('{q}', {v})" for q, v in VECTORS.items())}) v(query_id, vec)),
+    vs AS (SELECT vq.query_id, e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS similarity FROM vq JOIN embeddings q ON q.vec_id = vq.vec, embeddings e),
+    vb AS (SELECT query_id, max(similarity) AS best FROM vs GROUP BY query_id),
+    vr AS (SELECT vs.query_id, vs.id, row_number() OVER (PARTITION BY vs.query_id ORDER BY similarity DESC, vs.id) - 1 AS rank0 FROM vs JOIN vb ON vb.query_id = vs.query_id AND best > 0 AND similarity >= 0.1 AND similarity >= best * 0.85 QUALIFY rank0 < 100),
+    vec AS (SELECT * FROM vr WHERE id IN (SELECT id FROM facts WHERE {CURRENT}))"""
+_FOUR = "u AS (SELECT query_id, id, rank0 FROM kw UNION ALL SELECT query_id, id, rank0 FROM dom UNION ALL SELECT query_id, id, rank0 FROM ent UNION ALL SELECT query_id, id, rank0 FROM vec), rrf AS (SELECT query_id, id, sum(1 / (60.0 + rank0)) AS rrf, count(*) AS lists FROM u GROUP BY query_id, id)"
+_HYBRID = f", {_FACTS_BM}, {_KW}, {_DOM}, {_ENT}, {_VL}, {_FOUR}, hy AS (SELECT query_id, facts.id, rrf * (1 + 0.3 * {_TEMPORAL}) AS score FROM rrf JOIN facts ON facts.id = rrf.id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank0 FROM hy QUALIFY rank0 < 20)"
 
 
 def _hybrid(spark, sf):
-    return R.hybrid(A.facts(spark, sf), queries(spark), A.now())
+    """All four lists: keywords by the index, domain, entities, vectors."""
+    q, e = queries(spark), A.embeddings(spark, sf)
+    named = spark.createDataFrame(list(VECTORS.items()), "query_id string, fact_id long")
+    vectors = e.join(F.broadcast(named), "fact_id").select("query_id", F.col("vector").alias("query_vector"), "model", "dimensions")
+    hits = R.entity_list(q, A.source_entities(spark, sf), A.source_links(spark, sf), A.source_same(spark, sf))
+    return R.hybrid(A.facts(spark, sf), q, A.now(), vectors=e, query_vectors=vectors, entity_hits=hits, floor=0.1, index=A.text_index(spark, sf))
 
 
 @query("se_hybrid", f"{_HYBRID} SELECT query_id, id, rank0, round(score, 4) AS score FROM top".lstrip(), "facts")
