@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,3 +125,39 @@ def consolidate(staged: DataFrame, facts: DataFrame, now: Column, vocabulary: li
     relations = relations.union(decisions.where("outcome = 'corroborates'").select(F.lit(run_id), F.col("winner").cast("string"), F.col("id").cast("string"), F.lit("corroborated_by"), F.lit("different")))
     counts = decisions.agg(F.count("*").alias("facts_in"), F.count_if(F.col("outcome") == "add").alias("facts_integrated"), F.count_if(F.col("outcome") != "add").alias("facts_rejected"))
     return {"facts": closed.unionByName(new), "relations": relations, "decisions": decisions, "counts": counts}
+
+
+ENTITY = "struct<name:string,type:string,relationship:string>"
+
+
+def stated_entities(entities_json: Column) -> Column:
+    """Entities that an extraction has stated as JSON: an array of ENTITY, null where the text isn't an array with something in it.
+
+    The text is parsed as a variant, so a malformed one is null and a field of another type doesn't lose its neighbours; elements
+    that are no objects or have no name drop out.
+    """
+    # A parser stops where its value ends: inside brackets of either kind nothing may follow the text.
+    within = [F.try_parse_json(F.concat(F.lit(a), entities_json, F.lit(b))) for a, b in (("[", "]"), ('{"e":', "}"))]
+    elements = F.when(within[0].isNotNull(), F.try_variant_get(within[1], "$.e", "array<variant>"))
+    text = lambda e, field: F.nullif(F.trim(F.try_variant_get(e, f"$.{field}", "string")), F.lit(""))
+    shaped = F.transform(elements, lambda e: F.struct(*[text(e, f).alias(f) for f in ("name", "type", "relationship")]))
+    return F.when(F.size(elements) > 0, F.filter(shaped, lambda e: e["name"].isNotNull()))
+
+
+def entities_of(staged: DataFrame, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows (fact_id, name, type, relationship, stated) of ``staged`` (id, content, entities_json): what was stated, else what ``provider`` makes of
+    the facts without a usable statement (rows fact_id, name, type, relationship)."""
+    read = staged.withColumn("_stated", stated_entities(F.col("entities_json")))
+    own = read.where("_stated is not null").select(F.col("id").alias("fact_id"), F.explode("_stated").alias("e")).select("fact_id", "e.*", F.lit(True).alias("stated"))
+    rest = provider(read.where("_stated is null").drop("_stated"))
+    return own.unionByName(rest.select("fact_id", "name", "type", "relationship", F.lit(False).alias("stated")))
+
+
+def capitalised(most: int = 3) -> Callable[[DataFrame], DataFrame]:
+    """A provider of rules: the first ``most`` different capitalised words are mentioned."""
+
+    def run(facts: DataFrame) -> DataFrame:
+        names = F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit("\\b[A-Z][a-z]+"), F.lit(0))), 1, most)
+        return facts.select(F.col("id").alias("fact_id"), F.explode(names).alias("name")).select("fact_id", "name", F.lit("thing").alias("type"), F.lit("mentions").alias("relationship"))
+
+    return run

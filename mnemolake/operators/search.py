@@ -192,7 +192,7 @@ def pool(limit: int) -> int:
     return max(5 * limit, S.LEAST_POOL)
 
 
-def hybrid(facts: DataFrame, queries: DataFrame, now: Column, limit: int = S.DEFAULT_LIMIT, at: Column | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, entity_hits: DataFrame | None = None, prior: Column | None = None, floor: float = 0.0, index: TextIndex | None = None) -> DataFrame:
+def hybrid(facts: DataFrame, queries: DataFrame, now: Column, limit: int = S.DEFAULT_LIMIT, at: Column | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, entity_hits: DataFrame | None = None, prior: Column | None = None, floor: float = 0.0, index: TextIndex | None = None, ann: bool | None = None) -> DataFrame:
     """Keyword, domain, entity and vector recall, fused. A domain ranks, it never gates."""
     cap = pool(limit)
     lists = [keyword_list(facts, queries, now, cap, at, index=index)]
@@ -202,7 +202,7 @@ def hybrid(facts: DataFrame, queries: DataFrame, now: Column, limit: int = S.DEF
         live = facts.where(P.in_force(now, at)).select("id")
         lists.append(ranked(entity_hits.join(live, "id", "left_semi"), [F.col("position"), F.col("id")], cap))
     if vectors is not None and query_vectors is not None:
-        lists.append(vector_list(vectors, query_vectors, facts.where(P.in_force(now, at)), cap, floor))
+        lists.append(vector_recall(vectors, query_vectors, facts.where(P.in_force(now, at)), cap, floor, ann=ann))
     return fused(facts, rrf(lists), now, limit, prior)
 
 
@@ -245,16 +245,15 @@ def should_use_ann(setting: bool | None, engine: bool, rows: int, dimensions: in
     return bool(setting) or rows * dimensions * 4 > S.ANN_BYTES
 
 
-def approximate_vectors(vectors: DataFrame, queries: DataFrame, cap: int, tables: int = 8, width: float = 0.9, seed: int = 7) -> DataFrame:
-    """Approximate neighbours by random projections of unit vectors, re-ranked by exact similarity."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def vector_recall(vectors: DataFrame, queries: DataFrame, live: DataFrame, cap: int, floor: float = 0.0, ratio: float = S.SIMILARITY_RATIO, ann: bool | None = None) -> DataFrame:
+    """Vector recall, by a graph of neighbours where :func:`should_use_ann` says so, else exact. What the graph finds goes through the
+    same floor, share of the best and cap."""
+    from mnemolake.operators import neighbourgraph as N
 
-    from mnemolake.functions.vectors import truncated
-
-    unit = vectors.select(F.col("fact_id").alias("id"), "vector", array_to_vector(truncated(F.col("vector"), 1 << 16)).alias("features"))
-    asked = queries.select("query_id", "query_vector", array_to_vector(truncated(F.col("query_vector"), 1 << 16)).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(unit)
-    near = model.approxSimilarityJoin(unit, asked, 2.0)
-    scored = near.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.id").alias("id"), cosine(F.col("datasetA.vector"), F.col("datasetB.query_vector")).alias("similarity"))
-    return ranked(scored, [F.desc("similarity"), F.col("id")], cap)
+    rows, dimensions = vectors.agg(F.count("*"), F.coalesce(F.max("dimensions"), F.lit(0))).first()
+    if not should_use_ann(ann, True, rows, dimensions):
+        return vector_list(vectors, queries, live, cap, floor, ratio)
+    near = N.search(N.build(vectors), queries, cap).where(F.col("similarity") >= floor)
+    best = near.where("rank0 = 0 and similarity > 0").select("query_id", F.col("similarity").alias("best"))
+    kept = near.join(best, "query_id").where(F.col("similarity") >= F.col("best") * min(max(ratio, 0.0), 1.0))
+    return kept.join(live.select("id"), "id", "left_semi").select("query_id", "id", "rank0", "similarity")

@@ -149,3 +149,26 @@ def _(spark, sf):
     from mnemolake.operators.situation import as_json
 
     return as_json(folded(spark, sf))
+
+
+#: What stands for the statements of extractions: whole, malformed, missing, empty, no array, partial, with text after it, of other types.
+_STATED = """CASE id % 8 WHEN 0 THEN '[{"name": "N' || id || '", "type": "thing", "relationship": "subject_of"}]' WHEN 1 THEN '[{"name": ' WHEN 3 THEN '[]' WHEN 4 THEN '{"name": "x"}'
+    WHEN 5 THEN '[{"name": "A"}, {"type": "t"}, {"name": " ", "type": "t"}]' WHEN 6 THEN '[{"name": "B"}] and more' WHEN 7 THEN '[7, {"name": "C", "type": null, "relationship": "near"}]' END"""
+
+
+@query(
+    "co_entities",
+    f""", s AS (SELECT id, content, {_STATED} AS entities_json FROM session_facts),
+    p AS (SELECT *, CASE WHEN json_valid(entities_json) THEN json_type(entities_json) = 'ARRAY' AND json_array_length(entities_json) > 0 ELSE FALSE END AS stated FROM s),
+    e AS (SELECT id, unnest(CAST(entities_json AS JSON[])) AS x FROM p WHERE stated),
+    own AS (SELECT id, x ->> 'name' AS name, x ->> 'type' AS type, x ->> 'relationship' AS relationship FROM e WHERE trim(coalesce(x ->> 'name', '')) <> ''),
+    words AS (SELECT id, regexp_extract_all(content, '\\b[A-Z][a-z]+') AS w FROM p WHERE stated IS NOT TRUE),
+    rest AS (SELECT id, unnest(list_filter(w, lambda y, i: list_position(w, y) = i)[1:3]) AS name FROM words)
+    SELECT id AS fact_id, name, type, relationship, TRUE AS stated FROM own UNION ALL SELECT id, name, 'thing', 'mentions', FALSE FROM rest""".lstrip(),
+    "session_facts",
+)
+def _(spark, sf):
+    from mnemolake.operators.consolidate import capitalised, entities_of
+
+    facts = A.session_facts(spark, sf).withColumn("entities_json", F.expr(_STATED))
+    return entities_of(facts, capitalised())

@@ -164,7 +164,26 @@ def _(spark, sf):
 
 @query("se_hnsw")
 def _(spark, sf):
-    return R.approximate_vectors(A.embeddings(spark, sf), _vector_queries(spark, sf), 10).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
+    from mnemolake.operators import neighbourgraph as N
+
+    return N.search(N.build(A.embeddings(spark, sf)), _vector_queries(spark, sf), 10).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
+
+
+@query("se_hnsw_recall", "SELECT count(*) AS queries, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def _(spark, sf):
+    """Whether the graph finds at least nine tenths of the ten nearest vectors of all queries."""
+    from mnemolake.operators import neighbourgraph as N
+
+    vectors, asked = A.embeddings(spark, sf), _vector_queries(spark, sf)
+    exact = R.ranked(R.similarities(vectors, asked, -1.0), [F.desc("similarity"), F.col("id")], 10)
+    return N.recall(N.search(N.build(vectors), asked, 10), exact).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
+@query("se_ann_gate", f", {_VEC} SELECT query_id, count(*) AS n FROM n WHERE id IN (SELECT id FROM facts WHERE {CURRENT}) GROUP BY query_id".lstrip(), "facts")
+def _(spark, sf):
+    """The gate's choice for so many vectors of so many bytes: exact search below the limit, the graph above."""
+    live = A.facts(spark, sf).where(P.current(A.now()))
+    return R.vector_recall(A.embeddings(spark, sf), _vector_queries(spark, sf), live, 20, 0.1, 0.5).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 @query("se_find_entity", "SELECT id FROM entities WHERE canonical_name = 'nation_7' OR canonical_name = lower(trim(' CUSTOMER#000000007 ')) ORDER BY born", "entities")

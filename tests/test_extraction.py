@@ -197,3 +197,17 @@ def test_stream_equals_batch_across_a_restart(spark, tmp_path):
         assert shown(spark.read.parquet(str(tmp_path / "out")).collect()) == fold_one_by_one(rows)
     finally:
         spark.conf.set(name, before)
+
+
+def test_stated_entities_route_rows(spark):
+    from mnemolake.operators.consolidate import capitalised, entities_of
+
+    texts = {"whole": '[{"name": " Ann ", "type": "person", "relationship": "subject_of"}]', "malformed": '[{"name"', "null": None, "empty": "[]", "object": "{}", "after": '[{"name": "x"}] y', "partial": '[{"name": "Bo"}, {"type": "t"}, 3, null]', "nameless": '[{"type": "t"}]', "numbers": '[{"name": 5, "type": ["x"]}]', "text": ""}
+    df = spark.createDataFrame([(k, "Tea with Cy and Tea", v) for k, v in texts.items()], "id string, content string, entities_json string").withColumn("name", F.lit(1))
+    got = {}
+    for r in entities_of(df, capitalised()).collect():
+        got.setdefault(r.fact_id, []).append((r.name, r.type, r.relationship, r.stated))
+    words = [("Cy", "thing", "mentions", False), ("Tea", "thing", "mentions", False)]
+    assert got.pop("whole") == [("Ann", "person", "subject_of", True)] and got.pop("partial") == [("Bo", None, None, True)]
+    assert [x[0] for x in got.pop("numbers")] == ["5"] and "nameless" not in got
+    assert {k: sorted(v) for k, v in got.items()} == {k: words for k in ("malformed", "null", "empty", "object", "after", "text")}

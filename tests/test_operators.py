@@ -126,16 +126,24 @@ def test_ann_gate():
 
 
 def test_approximate_neighbours_find_the_same(spark):
+    """Two shards, two models, null and zero vectors; what is found goes through the same floor and liveness."""
     import random
 
+    from mnemolake.operators import neighbourgraph as N
+
     rng = random.Random(5)
-    rows = [(i, "m", 8, [rng.gauss(0, 1) + 4 * (i % 4 == k % 4) for k in range(8)]) for i in range(200)]
+    rows = [(i, "mn"[i % 7 == 0], 8, [rng.gauss(0, 1) + 4 * (i % 4 == k % 4) for k in range(8)]) for i in range(200)] + [(900, "m", 8, [0.0] * 8), (901, "m", 8, None)]
     v = spark.createDataFrame(rows, "fact_id int, model string, dimensions int, vector array<float>")
     q = v.where("fact_id < 10").select(F.col("fact_id").cast("string").alias("query_id"), F.col("vector").alias("query_vector"), "model", "dimensions")
-    live = v.select(F.col("fact_id").alias("id"))
-    exact = {(r.query_id, r.id) for r in R.vector_list(v, q, live, 5, -1.0, 0.0).collect()}
-    near = {(r.query_id, r.id) for r in R.approximate_vectors(v, q, 5).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
+    exact = R.ranked(R.similarities(v.where("vector is not null"), q, -1.0), [F.desc("similarity"), F.col("id")], 5)
+    graph = N.build(v, degree=8, shard_rows=100)
+    found = N.search(graph, q, 5)
+    assert N.recall(found, exact).first().recall >= 0.9 and {r.query_id: r.n for r in found.groupBy("query_id").agg(F.count("*").alias("n")).collect()} == {str(i): 5 for i in range(10)}
+    assert graph.links.groupBy("model", "shard", "id").count().agg(F.max("count")).first()[0] <= 2 * 8 + N.RANDOM
+    assert graph.nodes.select("shard").distinct().count() == 2
+    live = v.where("fact_id % 2 = 1").select(F.col("fact_id").alias("id"))
+    near = R.vector_recall(v.where("vector is not null"), q, live, 5, 0.0, 0.0, ann=True).collect()
+    assert near and all(r.id % 2 for r in near)
 
 
 def test_closure_stops_at_the_cap(spark):
