@@ -92,3 +92,32 @@ def relations_of(relations: DataFrame, facts: DataFrame) -> DataFrame:
     left = relations.join(ids.withColumnRenamed("id", "fact_id"), "fact_id", "left_semi").select(*relations.columns)
     right = relations.join(ids.withColumnRenamed("id", "related_fact_id"), "related_fact_id", "left_semi").select(*relations.columns)
     return left.union(right).distinct()
+
+
+def facts_by_entity(facts: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` facts of every entity (entity_id, id, is_subject, place): subjects first, then by importance and age."""
+    own = links.groupBy("entity_id", "fact_id").agg(F.bool_or(F.col("relationship") == S.SUBJECT_OF).alias("is_subject"))
+    both = own.join(facts.select(F.col("id").alias("fact_id"), "importance", "created_at"), "fact_id")
+    w = Window.partitionBy("entity_id").orderBy(F.desc("is_subject"), F.desc("importance"), F.desc("created_at"), "fact_id")
+    return both.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("entity_id", F.col("fact_id").alias("id"), "is_subject", "place")
+
+
+def backing_kinds(contents: DataFrame, staged: DataFrame, sources: DataFrame) -> DataFrame:
+    """For each of ``contents`` (content) the kinds of backing (extraction_type) that staged facts with this text have, joined on its hash and text."""
+    asked = contents.select("content").distinct().withColumn("_h", F.xxhash64("content"))
+    held = staged.select(F.col("id").alias("session_fact_id"), F.col("content").alias("_c"), F.xxhash64("content").alias("_h"))
+    own = asked.join(held, "_h").where("content = _c").select("content", "session_fact_id")
+    return own.join(sources.select("session_fact_id", "extraction_type"), "session_fact_id").groupBy("content").agg(F.array_sort(F.collect_set("extraction_type")).alias("kinds"))
+
+
+def provenance_chain(facts: DataFrame, sources: DataFrame, links: DataFrame, events: DataFrame) -> DataFrame:
+    """Events behind ``facts`` (id, source_id): by the source's record of the staged fact, its links, and the log. (fact_id, event_id, role)."""
+    own = facts.select(F.col("id").alias("fact_id"), "source_id").join(sources.select(F.col("id").alias("source_id"), "metadata"), "source_id")
+    staged = own.withColumn("session_fact_id", F.get_json_object("metadata", "$.session_fact_id").cast(links.schema["session_fact_id"].dataType))
+    return staged.join(links.select("session_fact_id", "event_id"), "session_fact_id").join(events.select(F.col("id").alias("event_id"), "role"), "event_id").select("fact_id", "event_id", "role")
+
+
+def decision_views(relations: DataFrame) -> DataFrame:
+    """For each fact its decisions as a list of (kind, related_fact_id, basis, decided_by, reason), by related fact."""
+    view = F.struct("related_fact_id", "kind", "basis", "decided_by", "reason")
+    return relations.groupBy("fact_id").agg(F.array_sort(F.collect_list(view)).alias("decisions"))

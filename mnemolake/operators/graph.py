@@ -122,3 +122,40 @@ def visible(nodes: DataFrame, edges: DataFrame, cap: int, query: str = "") -> Da
     asked = query.strip().lower()
     named = own.where((F.lower("name") == asked) | (F.col("canonical_name") == asked)).orderBy("id").limit(1)
     return top.union(named).distinct() if asked else top
+
+
+def named(names: DataFrame, entities: DataFrame, same: DataFrame) -> DataFrame:
+    """Rows (name, entity_id) of the identity families that ``names`` (name) lead to; a name that leads nowhere has one with a null entity."""
+    asked = written(names.select("name").where("name is not null").distinct(), "asked-names")
+    found = written(resolve_names(asked, entities).select("name", F.col("id").alias("seed")), "named-seeds")
+    family = same_as_closure(found.select("seed").distinct(), same)
+    return asked.join(found.join(family, "seed").select("name", F.col("member").alias("entity_id")).distinct(), "name", "left")
+
+
+def subject_facts(members: DataFrame, links: DataFrame, facts: DataFrame, most: int | None = None) -> DataFrame:
+    """Rows (name, fact_id, is_subject, place): each name's facts once, those it is the subject of first, then by importance and id; ``most`` of
+    each. A name without an entity has one row without a fact, for the caller to search."""
+    own = members.join(links.select("entity_id", "fact_id", "relationship"), "entity_id").groupBy("name", "fact_id").agg(F.bool_or(F.col("relationship") == S.SUBJECT_OF).alias("is_subject"))
+    live = own.join(facts.select(F.col("id").alias("fact_id"), "importance"), "fact_id")
+    w = Window.partitionBy("name").orderBy(F.desc("is_subject"), F.desc("importance"), "fact_id")
+    packed = live.withColumn("place", F.row_number().over(w).cast("long"))
+    packed = packed if most is None else packed.where(F.col("place") <= most)
+    lost = members.where("entity_id is null").select("name", F.lit(None).cast(facts.schema["id"].dataType).alias("fact_id"), F.lit(None).cast("boolean").alias("is_subject"), F.lit(None).cast("long").alias("place"))
+    return packed.select("name", "fact_id", "is_subject", "place").union(lost)
+
+
+def primary(members: DataFrame, links: DataFrame, entities: DataFrame) -> DataFrame:
+    """Of each name's family the entity with the most facts, then the oldest, then the least id: (name, entity_id)."""
+    counts = links.groupBy("entity_id").agg(F.count_distinct("fact_id").alias("_n"))
+    own = members.where("entity_id is not null").join(entities.select(F.col("id").alias("entity_id"), "born"), "entity_id").join(counts, "entity_id", "left")
+    w = Window.partitionBy("name").orderBy(F.desc(F.coalesce("_n", F.lit(0))), "born", "entity_id")
+    return own.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("name", "entity_id")
+
+
+def context(centers: DataFrame, edges: DataFrame, links: DataFrame, neighbours_: int = 10, facts: int = 5) -> DataFrame:
+    """Rows (center, neighbour, fact_id): the newest facts of the strongest neighbours of each center (id)."""
+    near = neighbours(edges, centers, neighbours_).select("center", "neighbour")
+    w = Window.partitionBy("entity_id").orderBy(F.desc("fact_id"))
+    asked = near.select(F.col("neighbour").alias("entity_id")).distinct()
+    newest = links.join(asked, "entity_id", "left_semi").select("entity_id", "fact_id").distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= facts)
+    return near.join(newest.select(F.col("entity_id").alias("neighbour"), "fact_id"), "neighbour").select("center", "neighbour", "fact_id")

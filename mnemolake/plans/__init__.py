@@ -3,7 +3,7 @@
 
 def load():
     """All queries and their SQL."""
-    from mnemolake.plans import extraction, more, relational, retrieval, scalar  # noqa: F401
+    from mnemolake.plans import extraction, more, named, relational, retrieval, scalar  # noqa: F401
     from mnemolake.plans.catalog import QUERIES, SQL
 
     return dict(QUERIES), dict(SQL)

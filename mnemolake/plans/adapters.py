@@ -120,6 +120,12 @@ def source_same(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("source").distinct().where(name.rlike("^src1[0-9]$")).select(F.concat(F.lit("source:"), name).alias("from_entity"), F.concat(F.lit("source:src"), F.substring(name, 5, 1)).alias("to_entity"))
 
 
+def supplier_same(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth supplier is the same as the one after it."""
+    name = lambda c: F.concat(F.lit("supplier:"), c.cast("string"))
+    return table(spark, sf, "supplier").where("s_suppkey % 5 = 1").select(name(F.col("s_suppkey")).alias("from_entity"), name(F.col("s_suppkey") + 1).alias("to_entity"))
+
+
 _INDEXES: dict[tuple[str, str], str] = {}
 
 

@@ -27,7 +27,6 @@ def same_as(name: str, other: str) -> None:
         SQL[name] = SQL[other]
 
 
-@query("se_named", ", fam AS (SELECT id FROM entities WHERE canonical_name = lower(trim((SELECT c_name FROM customer WHERE c_custkey = 7)))) SELECT f.id AS fact_id, bool_or(x.relationship = 'subject_of') AS is_subject FROM fam JOIN fact_entities x ON x.entity_id = fam.id JOIN order_facts f ON f.id = x.fact_id WHERE f.is_latest GROUP BY f.id".lstrip(), "entities", "fact_entities", "order_facts")
 def _(spark, sf):
     name = T(spark, sf, "customer").where("c_custkey = 7").select(F.col("c_name").alias("name"))
     family = G.resolve_names(name, A.entities(spark, sf)).select(F.col("id").alias("entity_id"))
@@ -35,11 +34,6 @@ def _(spark, sf):
     return links.join(A.order_facts(spark, sf).where("is_latest").select(F.col("id").alias("fact_id")), "fact_id", "left_semi").groupBy("fact_id").agg(F.bool_or(F.col("relationship") == "subject_of").alias("is_subject"))
 
 
-_CONTEXT = """, ends AS (SELECT to_entity AS neighbour, strength FROM entity_edges WHERE from_entity = 'part:7' UNION ALL SELECT from_entity, strength FROM entity_edges WHERE to_entity = 'part:7'), top AS (SELECT neighbour, max(strength) AS strength FROM ends GROUP BY neighbour ORDER BY 2 DESC, neighbour LIMIT 10),
-    f AS (SELECT t.neighbour, x.fact_id, row_number() OVER (PARTITION BY t.neighbour ORDER BY x.fact_id DESC) AS n FROM top t JOIN fact_entities x ON x.entity_id = t.neighbour) SELECT neighbour, fact_id FROM f WHERE n <= 5"""
-
-
-@query("se_context", _CONTEXT.lstrip(), "entity_edges", "fact_entities")
 def _(spark, sf):
     center = spark.createDataFrame([("part:7",)], "id string")
     near = G.neighbours(A.entity_edges(spark, sf), center).select(F.col("neighbour").alias("entity_id"))

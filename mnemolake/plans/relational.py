@@ -28,7 +28,6 @@ def events(spark, sf):
 # Joins.
 
 
-@query("jn_entity_facts", "SELECT f.id, bool_or(e.relationship = 'subject_of') AS is_subject, f.domain FROM order_facts f JOIN fact_entities e ON e.fact_id = f.id WHERE e.entity_id = 'supplier:3' AND f.is_latest GROUP BY f.id, f.domain", "order_facts", "fact_entities")
 def _(spark, sf):
     return K.facts_of_entity(A.order_facts(spark, sf).where("is_latest"), A.fact_entities(spark, sf), "supplier:3").select("id", "is_subject", "domain")
 
@@ -47,7 +46,6 @@ def _(spark, sf):
     return named.groupBy("fact_id").agg(F.concat_ws("|", F.transform(rows, lambda x: x["name"])).alias("names"))
 
 
-@query("jn_backing", "SELECT content_hash, string_agg(DISTINCT source_origin, ',' ORDER BY source_origin) AS kinds FROM session_facts GROUP BY content_hash", "session_facts")
 def _(spark, sf):
     return A.session_facts(spark, sf).groupBy("content_hash").agg(F.concat_ws(",", F.array_sort(F.collect_set("source_origin"))).alias("kinds"))
 
@@ -336,7 +334,6 @@ def _(spark, sf):
     return L.tail(events(spark, sf), 5).select("conversation", "id", F.lit("contextual").alias("extraction_type"))
 
 
-@query("wn_primary_ent", "SELECT relationship, entity_id FROM (SELECT relationship, entity_id, row_number() OVER (PARTITION BY relationship ORDER BY count(*) DESC, entity_id) AS n FROM fact_entities GROUP BY relationship, entity_id) WHERE n = 1", "fact_entities")
 def _(spark, sf):
     counts = A.fact_entities(spark, sf).groupBy("relationship", "entity_id").agg(F.count("*").alias("n"))
     return K.first_of(counts, ["relationship"], [F.desc("n"), F.col("entity_id")]).select("relationship", "entity_id")
@@ -502,14 +499,12 @@ def _(spark, sf):
     return A.order_facts(spark, sf).where("superseded_by is not null").select(F.col("superseded_by").alias("fact_id"), F.col("id").alias("related_fact_id"), F.lit("superseded").alias("kind"))
 
 
-@query("st_source", "SELECT s.id AS fact_id, e.id AS event_id, e.role FROM session_facts s JOIN fact_sources x ON x.session_fact_id = s.id JOIN session_events e ON e.id = x.event_id", "session_facts", "fact_sources", "session_events")
 def _(spark, sf):
     s = A.session_facts(spark, sf).select(F.to_json(F.struct(F.col("id").alias("session_fact_id"))).alias("metadata"), F.col("id").alias("fact_id"))
     s = s.withColumn("session_fact_id", F.get_json_object("metadata", "$.session_fact_id").cast("long"))
     return s.join(A.fact_sources(spark, sf), "session_fact_id").join(events(spark, sf).select(F.col("id").alias("event_id"), "role"), "event_id").select("fact_id", "event_id", "role")
 
 
-@query("st_inference", "SELECT i.vec_id AS id, count(*) AS evidence FROM embeddings i JOIN facts f ON f.id IN (i.vec_id, i.vec_id + 1) GROUP BY i.vec_id", "facts")
 def _(spark, sf):
     i = T(spark, sf, "embeddings").select("vec_id", F.explode(F.array(F.col("vec_id"), F.col("vec_id") + 1)).alias("id"))
     return i.join(A.facts(spark, sf).select("id"), "id", "left_semi").groupBy(F.col("vec_id").alias("id")).agg(F.count("*").alias("evidence"))
@@ -520,7 +515,6 @@ def _(spark, sf):
     return A.fact_sources(spark, sf).select("session_fact_id", "event_id")
 
 
-@query("xs_decisions", "SELECT superseded_by AS fact_id, count(*) AS n, min(id) AS first FROM order_facts WHERE superseded_by IS NOT NULL GROUP BY 1", "order_facts")
 def _(spark, sf):
     return A.order_facts(spark, sf).where("superseded_by is not null").groupBy(F.col("superseded_by").alias("fact_id")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
@@ -536,7 +530,6 @@ def _(spark, sf):
     return T(spark, sf, "events").agg(F.date_add(F.to_date(F.max("ts")), 1).cast("string").alias("next_day"), F.to_date(F.min("ts")).cast("string").alias("first_day"))
 
 
-@query("xs_named_nodes", "SELECT id FROM entities WHERE name = 'FRANCE' OR canonical_name = lower('FRANCE') OR canonical_name = 'nation_7'", "entities")
 def _(spark, sf):
     return A.entities(spark, sf).where("name = 'FRANCE' or canonical_name = lower('FRANCE') or canonical_name = 'nation_7'").select("id")
 
@@ -620,7 +613,6 @@ def _(spark, sf):
     return out["decisions"].select("id", "domain", "outcome", "winner")
 
 
-@query("co_counts", "SELECT count(*) AS facts_in FROM session_facts WHERE consolidation_id IS NULL", "session_facts")
 def _(spark, sf):
     s = A.session_facts(spark, sf).where("consolidation_id is null").withColumn("project", F.concat(F.lit("p"), F.col("session_id")))
     f = A.facts(spark, sf).withColumn("project", F.lit(None).cast("string"))

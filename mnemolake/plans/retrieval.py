@@ -186,7 +186,6 @@ def _(spark, sf):
     return R.vector_recall(A.embeddings(spark, sf), _vector_queries(spark, sf), live, 20, 0.1, 0.5).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-@query("se_find_entity", "SELECT id FROM entities WHERE canonical_name = 'nation_7' OR canonical_name = lower(trim(' CUSTOMER#000000007 ')) ORDER BY born", "entities")
 def _(spark, sf):
     return A.entities(spark, sf).where("canonical_name = 'nation_7' or canonical_name = lower(trim(' CUSTOMER#000000007 '))").orderBy("born").select("id")
 
@@ -212,7 +211,6 @@ def _(spark, sf):
     return G.same_as_closure(part.select(name(F.col("p_partkey")).alias("seed")), same)
 
 
-@query("se_entity", ", a AS (SELECT 'q' AS query_id, x.fact_id AS id, min(CASE e.canonical_name WHEN 'nation_7' THEN 0 ELSE 1 END) AS position FROM entities e JOIN fact_entities x ON x.entity_id = e.id WHERE e.canonical_name IN ('nation_7', (SELECT lower(trim(s_name)) FROM supplier WHERE s_suppkey = 3)) GROUP BY 2) SELECT query_id, id, position FROM a".lstrip(), "entities", "fact_entities")
 def _(spark, sf):
     three = A.table(spark, sf, "supplier").where("s_suppkey = 3").select(F.lit("q").alias("query_id"), F.col("s_name").alias("name"), F.lit(1).alias("position"))
     terms = three.union(spark.createDataFrame([("q", "NATION_7", 0)], three.schema))
@@ -221,7 +219,6 @@ def _(spark, sf):
     return found.join(links, F.col("id") == F.col("_e")).groupBy("query_id", F.col("fact_id").alias("id")).agg(F.min("position").alias("position"))
 
 
-@query("se_pack", "SELECT fact_id, bool_or(relationship = 'subject_of') AS is_subject FROM fact_entities WHERE entity_id IN ('part:7', 'customer:7') GROUP BY fact_id", "fact_entities")
 def _(spark, sf):
     return A.fact_entities(spark, sf).where(F.col("entity_id").isin("part:7", "customer:7")).groupBy("fact_id").agg(F.bool_or(F.col("relationship") == "subject_of").alias("is_subject"))
 
