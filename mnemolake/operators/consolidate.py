@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemolake import schemas as S
 from mnemolake.functions import predicates as P
 from mnemolake.functions.text import content_tokens, dedup_key, domain_name, has_negation, jaccard, project_relation
+from mnemolake.scratch import written
 
 
 @dataclass(frozen=True)
@@ -80,18 +80,40 @@ def reconciled(staged: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
     return own.withColumn("action", F.when(F.col("existing_id").isNotNull(), "noop").otherwise("add")).drop("_key")
 
 
+def overlapping(a: DataFrame, b: DataFrame, floor: float, keys: list[str]) -> DataFrame:
+    """Pairs (a_id, b_id, similarity) of equal ``keys`` whose token sets have a Jaccard similarity of ``floor`` or more.
+
+    ``a`` and ``b`` have (id, keys, tokens); tokens are distinct. A set's tokens are ordered from rare to frequent; sets so similar
+    must share one of the first n - ceil(floor n) + 1. So frequent tokens make no pairs, and sizes rule out most of the rest.
+    """
+    a, b = written(a.select(F.col("id").alias("a_id"), *keys, "tokens"), "overlap-a"), written(b.select(F.col("id").alias("b_id"), *keys, "tokens"), "overlap-b")
+    each = lambda df, i: df.select(i, *keys, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    often = each(a, "a_id").select(*keys, "t").union(each(b, "b_id").select(*keys, "t")).groupBy(*keys, "t").agg(F.count("*").alias("_df"))
+    often = written(often, "overlap-tokens")
+
+    def prefix(df: DataFrame, i: str) -> DataFrame:
+        w = Window.partitionBy(i, *keys).orderBy("_df", "t")
+        kept = F.col("n") - F.ceil(floor * F.col("n") - F.lit(1e-9)) + 1
+        return each(df, i).join(often, [*keys, "t"]).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= kept).select(i, *keys, "t", "n")
+
+    near = F.least("n", "m") >= floor * F.greatest("n", "m") - F.lit(1e-9)
+    met = prefix(a, "a_id").join(prefix(b, "b_id").withColumnRenamed("n", "m"), [*keys, "t"]).where(near).select("a_id", "b_id").distinct()
+    pairs = met.join(a.select("a_id", F.col("tokens").alias("x")), "a_id").join(b.select("b_id", F.col("tokens").alias("y")), "b_id")
+    return pairs.withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= floor).select("a_id", "b_id", "similarity")
+
+
 def supersessions(new: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
     """Pairs (new_id, old_id, similarity, verdict, accepted): what each new fact would replace, one claim for a target.
 
     ``new`` has (id, position, content, domain, project), ``facts`` (id, content, domain, project, created_at, ...).
-    Candidates share the domain and a content token: no token, no overlap.
+    Candidates share the domain and tokens: no token, no overlap.
     """
-    a = new.where(has_negation(F.col("content"))).select(F.col("id").alias("new_id"), "position", "domain", F.col("content").alias("new_content"), F.col("project").alias("new_project"), content_tokens(F.col("content")).alias("new_tokens"))
-    b = facts.where(P.current(now)).select(F.col("id").alias("old_id"), "domain", F.col("content").alias("old_content"), F.col("project").alias("old_project"), "created_at", content_tokens(F.col("content")).alias("old_tokens"))
-    # Pairs are met through tokens that both have; the pair's similarity is then exact.
-    met = a.select("new_id", "domain", F.explode("new_tokens").alias("t")).join(b.select("old_id", "domain", F.explode("old_tokens").alias("t")), ["domain", "t"]).select("new_id", "old_id").distinct()
-    pairs = met.join(a, "new_id").join(b.drop("domain"), "old_id").withColumn("similarity", jaccard(F.col("new_tokens"), F.col("old_tokens")))
-    pairs = pairs.where((F.col("similarity") >= S.SUPERSESSION_FLOOR) & (F.lower("new_content") != F.lower("old_content"))).withColumn("verdict", project_relation(F.col("new_project"), F.col("old_project")))
+    a = new.where(has_negation(F.col("content"))).select(F.col("id").alias("new_id"), "position", "domain", F.col("content").alias("new_content"), F.col("project").alias("new_project"))
+    b = facts.where(P.current(now)).select(F.col("id").alias("old_id"), "domain", F.col("content").alias("old_content"), F.col("project").alias("old_project"), "created_at")
+    tokens = lambda df, i, c: df.select(F.col(i).alias("id"), "domain", content_tokens(F.col(c)).alias("tokens"))
+    met = overlapping(tokens(a, "new_id", "new_content"), tokens(b, "old_id", "old_content"), S.SUPERSESSION_FLOOR, ["domain"]).withColumnsRenamed({"a_id": "new_id", "b_id": "old_id"})
+    pairs = met.join(a, "new_id").join(b.drop("domain"), "old_id")
+    pairs = pairs.where(F.lower("new_content") != F.lower("old_content")).withColumn("verdict", project_relation(F.col("new_project"), F.col("old_project")))
     rank = F.when(F.col("verdict") == "same", 0).when(F.col("verdict") == "not_comparable", 1).otherwise(2)
     best = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("new_id").orderBy(rank, F.desc("similarity"), F.desc("created_at"), "old_id"))).where("_n = 1")
     claim = F.row_number().over(Window.partitionBy("old_id").orderBy("position", "new_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as X
+from mnemolake.operators import consolidate as C
 from mnemolake.operators import entities as N
 from mnemolake.operators import facts as K
 from mnemolake.operators import graph as G
@@ -87,8 +88,9 @@ def _(spark, sf):
     b = T(spark, sf, "benchmark")
     a = b.select(F.col("item_id").alias("new_id"), F.concat(F.lit("not "), F.col("text")).alias("c")).withColumn("w", X.content_tokens(F.col("c")))
     o = b.select((F.col("item_id") + 1).alias("old_id"), F.concat(F.col("text"), F.lit(" indeed")).alias("oc")).withColumn("v", X.content_tokens(F.col("oc")))
-    met = a.select("new_id", F.explode("w").alias("t")).join(o.select("old_id", F.explode("v").alias("t")), "t").select("new_id", "old_id").distinct()
-    pairs = met.join(a, "new_id").join(o, "old_id").where("lower(c) <> lower(oc) and new_id % 3 <> old_id % 3").withColumn("similarity", X.jaccard(F.col("w"), F.col("v"))).where("similarity >= 0.3")
+    tokens = lambda df, i, t: df.select(F.col(i).alias("id"), F.col(t).alias("tokens"), F.lit(0).alias("one"))
+    met = C.overlapping(tokens(a, "new_id", "w"), tokens(o, "old_id", "v"), 0.3, ["one"]).withColumnsRenamed({"a_id": "new_id", "b_id": "old_id"})
+    pairs = met.join(a, "new_id").join(o, "old_id").where("lower(c) <> lower(oc) and new_id % 3 <> old_id % 3")
     return K.first_of(pairs, ["new_id"], [F.desc("similarity"), F.col("old_id")]).select("new_id", "old_id", F.round("similarity", 6).alias("similarity"))
 
 

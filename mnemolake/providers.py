@@ -17,6 +17,7 @@ class IntelligenceProvider(Protocol):
 
     def classify(self, content: Column, hint: Column) -> Column: ...
     def extract(self, events: DataFrame) -> DataFrame: ...
+    def entities(self, facts: DataFrame) -> DataFrame: ...
     def reconcile(self, staged: DataFrame, facts: DataFrame, now: Column) -> DataFrame: ...
     def supersede(self, new: DataFrame, facts: DataFrame, now: Column) -> DataFrame: ...
     def summarise(self, counts: Sequence[tuple[str, int]], previews: Sequence[str], prior: str) -> str: ...
@@ -30,7 +31,9 @@ class EmbeddingProvider(Protocol):
 
 
 class Heuristic:
-    """Rules only: nothing is extracted, the rest is column expressions."""
+    """Rules only: nothing is extracted, the rest is column expressions. ``usage`` is what a run has spent, here nothing."""
+
+    usage = {"input_tokens": 0, "output_tokens": 0}
 
     def __init__(self, vocabulary: Sequence[C.Domain] = ()):
         self.vocabulary = C.compiled(list(vocabulary))
@@ -41,6 +44,10 @@ class Heuristic:
     def extract(self, events: DataFrame) -> DataFrame:
         return events.sparkSession.createDataFrame([], "session_id string, content string, event_id string")
 
+    def entities(self, facts: DataFrame) -> DataFrame:
+        """No rule names entities; what extractions have stated is used."""
+        return facts.sparkSession.createDataFrame([], "fact_id string, name string, type string, relationship string")
+
     def reconcile(self, staged: DataFrame, facts: DataFrame, now: Column) -> DataFrame:
         return C.reconciled(staged, facts, now)
 

@@ -42,6 +42,10 @@ UNIQUE: dict[str, tuple[list[str], list[str]]] = {
     "sessions": (["id"], ["started_at"]),
     "source_watermarks": (["path"], ["-updated_at", "-byte_offset"]),
     "extract_watermarks": (["kind", "conversation_id"], ["-last_event_sequence"]),
+    "domains": (["name"], ["created_at"]),
+    "entities": (["id"], ["created_at"]),
+    "fact_entities": (["fact_id", "entity_id", "relationship"], ["fact_id"]),
+    "fact_embeddings": (["fact_id", "model", "dimensions"], ["-created_at"]),
 }
 
 #: Tables in folders by a column.

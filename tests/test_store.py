@@ -191,6 +191,44 @@ def test_memory(spark, tmp_path):
     assert memory.prune() == 0
 
 
+def test_a_run_writes_the_graph(spark, tmp_path):
+    """Entities, links, edges, sources and domains come with the facts, grow with the next run, and lead back to staged facts."""
+    memory = Memory(M.Store(spark, f"file://{tmp_path}/store"), Heuristic())
+    both = [{"name": "Ann", "type": "person", "relationship": "subject_of"}, {"name": "Oslo", "type": "place"}]
+    memory.capture_fact("f1", "s", "Ann lives in Oslo", NOW, entities=both)
+    memory.capture_fact("f2", "s", "tea is hot", NOW, domain_hint="Drinks")
+    memory.consolidate("r1", NOW)
+    table = lambda n: memory.store.table(n).collect()
+    names = {r.id: r.name for r in table("entities")}
+    assert sorted(names.values()) == ["Ann", "Oslo"]
+    assert sorted((r.fact_id, names[r.entity_id], r.relationship) for r in table("fact_entities")) == [("f1", "Ann", "subject_of"), ("f1", "Oslo", "mentions")]
+    (edge,) = table("entity_edges")
+    assert {names[edge.from_entity], names[edge.to_entity]} == {"Ann", "Oslo"} and round(edge.strength, 9) == 0.3
+    assert sorted(r.name for r in table("domains")) == ["drinks", "general"]
+    memory.capture_fact("f3", "s", "Ann works in Oslo too", NOW, entities=both + both)
+    memory.consolidate("r2", NOW + dt.timedelta(days=1))
+    assert sorted(r.name for r in table("entities")) == ["Ann", "Oslo"] and len(table("fact_entities")) == 4
+    assert [round(e.strength, 9) for e in table("entity_edges")] == [0.51]
+    assert sorted((r.id, r.metadata) for r in table("sources")) == [(f"src:f{i}", f'{{"session_fact_id":"f{i}"}}') for i in (1, 2, 3)]
+    assert {r.id: r.source_id for r in table("facts")} == {f"f{i}": f"src:f{i}" for i in (1, 2, 3)}
+    assert all(r.usage == '{"input_tokens": 0, "output_tokens": 0}' for r in table("intelligence_runs"))
+    assert sorted(r.id for r in memory.get_entity("ann", NOW + dt.timedelta(days=2)).collect()) == ["f1", "f3"]
+
+
+def test_a_failing_embedder_loses_no_run(spark, tmp_path):
+    class Broken(HashingEmbedder):
+        def embed(self, texts):
+            raise RuntimeError
+
+    memory = Memory(M.Store(spark, f"file://{tmp_path}/store"), Heuristic(), Broken())
+    for i in range(5):
+        memory.capture_fact(f"f{i}", "s", f"fact number {i}", NOW)
+    memory.consolidate("r1", NOW)
+    assert memory.store.table("facts").count() == 5 and memory.store.table("fact_embeddings").count() == 0
+    memory.embedder = HashingEmbedder()
+    assert memory.embed(NOW, batch=2) == 3 and memory.store.table("fact_embeddings").count() == 5 and memory.embed(NOW) == 0
+
+
 def test_writers_don_t_lose_each_other_s_commits(spark, tmp_path, monkeypatch):
     store, other = (M.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
     domain = lambda n: spark.createDataFrame([(n, [], NOW)], M.S.schema("domains"))
