@@ -133,3 +133,30 @@ def _(spark, sf):
     s = A.session_facts(spark, sf).where("consolidation_id is null").withColumn("project", F.concat(F.lit("p"), F.col("session_id")))
     f = A.facts(spark, sf).withColumn("project", F.lit(None).cast("string"))
     return C.consolidate(s, f, A.now(), [], "run-2")["counts"].select("facts_in", "facts_integrated", "facts_rejected")
+
+
+@query("xs_group_lookup", """WITH f AS (SELECT DISTINCT '/home/' || p_name AS cwd, '/r/%2Fhome%2F' || replace(replace(p_name, ' ', '%20'), '#', '%23') AS folder FROM part WHERE p_partkey % 2 = 0)
+    FROM f UNION ALL SELECT DISTINCT '/home/' || p_name, '/r/long-' || p_partkey FROM part WHERE p_partkey % 2 = 1 AND '/home/' || p_name NOT IN (SELECT cwd FROM f)""")
+def _(spark, sf):
+    """Folders of working directories: half by their encoded names, half by what their records say."""
+    from mnemolake.sources.transcripts import folders_of
+
+    part = T(spark, sf, "part").select("p_partkey", F.concat(F.lit("/home/"), "p_name").alias("cwd"))
+    name = F.replace(F.url_encode("cwd"), F.lit("+"), F.lit("%20"))
+    odd = F.concat(F.lit("long-"), F.col("p_partkey").cast("string"))
+    folder = F.concat(F.lit("/r/"), F.when(F.col("p_partkey") % 2 == 0, name).otherwise(odd))
+    files = part.select(F.lit("/r").alias("root"), F.concat(folder, F.lit("/s/chat_history.jsonl")).alias("path"))
+    recorded = part.where("p_partkey % 2 = 1").select(folder.alias("folder"), F.concat("cwd", F.lit("\n")).alias("text"))
+    return folders_of(files, part.select(F.concat("cwd", F.lit("/")).alias("cwd")), recorded).select(F.regexp_replace("cwd", "/$", "").alias("cwd"), "folder")
+
+
+@query("xs_mtime", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN TIMESTAMP '2024-03-04 05:06:07' ELSE TIMESTAMP '2024-01-01' + to_seconds(conv_id) END AS occurred_at FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
+def _(spark, sf):
+    """Lines with a clock keep it, the others have their file's."""
+    from mnemolake.sources.transcripts import map_lines
+
+    c = T(spark, sf, "conversations")
+    said = F.struct(F.col("role").alias("type"), F.when(F.col("turn") % 2 == 0, "2024-03-04T05:06:07Z").alias("timestamp"), F.struct("role", F.col("text").alias("content")).alias("message"))
+    mtime = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(secs=F.col("conv_id").cast("decimal(18,6)"))
+    lines = c.select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"), F.to_json(said).alias("value"), mtime.alias("mtime"))
+    return map_lines(lines).select(F.col("path").cast("long").alias("conv_id"), F.col("line").alias("turn"), F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at"))

@@ -77,6 +77,31 @@ def test_tail_resumes_and_restarts(tmp_path):
     assert tailed(reader, second, reader.latestOffset()) == [(0, "new")]
 
 
+def test_lines_without_a_clock_have_the_file_s(spark, tmp_path):
+    import os
+
+    (tmp_path / "a.jsonl").write_text('{"type": "user", "message": {"role": "user", "content": "hi"}}\n{"type": "user", "timestamp": "2024-02-03T04:05:06Z", "message": {"role": "user", "content": "ho"}}\n')
+    os.utime(tmp_path / "a.jsonl", (86400, 86400))
+    got = {r.content: str(r.occurred_at) for r in transcripts.map_lines(transcripts.read_lines(spark, [str(tmp_path)])).select("content", F.col("occurred_at").cast("string").alias("occurred_at")).collect()}
+    assert got == {"hi": "1970-01-02 00:00:00", "ho": "2024-02-03 04:05:06"}
+
+
+def test_folders_of_a_working_directory(spark, tmp_path):
+    """Encoded names, one segment, a drive, a shortened folder by its record, and names that would lead out."""
+    names = ["%2Fhome%2Fme%2Fa%20b", "plain", "C%3A%5Cdev", "long-0123", "other"]
+    for n in names:
+        (tmp_path / n / "s1").mkdir(parents=True)
+        (tmp_path / n / "s1" / "chat_history.jsonl").write_text("{}")
+    long = "/" + "x" * 300
+    (tmp_path / "long-0123" / ".cwd").write_text(long + "\n")
+    (tmp_path / "other" / ".cwd").write_text("/home/me/a b")  # has a folder of its name, which counts
+    cwds = spark.createDataFrame([(c,) for c in ("/home/me/a b/", "plain", "c:/dev", long, "..", ".", "../plain", "", "/none")], "cwd string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select(F.lit(f"file:{tmp_path}").alias("root"), "path")
+    folders = files.select(F.regexp_extract("path", r"^(.*)/s1/[^/]*$", 1).alias("folder"))
+    got = sorted((r.cwd, r.folder.rsplit("/", 1)[1]) for r in transcripts.folders_of(files, cwds, transcripts.records(folders)).collect())
+    assert got == sorted([("/home/me/a b/", names[0]), ("plain", "plain"), ("c:/dev", names[2]), (long, "long-0123")])
+
+
 def test_ranges_cut_lines_exactly_once(tmp_path):
     import random
 
