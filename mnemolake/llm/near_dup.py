@@ -257,9 +257,9 @@ def components(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     """Rows (doc_id, hash, high, low, n_shingles, component_id, component_hash), one for each row of ``docs``."""
     spark = docs.sparkSession
     rows = written(sketched(docs, words, percent, id_col, text_col), "sketches")
-    with_id = rows.where("doc_id is not null and n_shingles > 0")
-    # A node is a set; its text is that of its smallest id.
-    nodes = with_id.groupBy("high", "low").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("id"), F.col("hash").alias("hash"))).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets"))
+    # A node is a set; its text is that of its smallest id. Rows without an id are copies of it, and make no node alone.
+    own = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("id"), F.col("hash").alias("hash")))
+    nodes = rows.where("n_shingles > 0").groupBy("high", "low").agg(F.min(own).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("buckets").alias("buckets")).where("first is not null")
     nodes = written(nodes.withColumn("node", F.xxhash64("high", "low")), "nodes")
     marks = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = marks.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("largest")).where("least < largest").select("bucket", "least")

@@ -34,6 +34,43 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == 21
 
 
+def odd_documents(spark, rng):
+    words = ["the", "and", "with", "that", "there", "where", "other", "mother", "weather", "letter", "better", "water"]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, prose(60), "en", "s") for i in range(30)]
+    rows += [rows[2], rows[2], (2, rows[3][1], "en", "s"), (None, prose(50), "en", None), (None, rows[5][1], "en", "s"), (None, None, None, None), (40, None, "en", "s"), (41, "", "en", "s"), (42, prose(150_000), None, "s")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text").cast("long"), "lang_pred": F.lit(1), "kept": F.lit("x"), "node": F.lit(None).cast("int"), "sha": F.lit(2), "piece": F.lit(3)})
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, other columns; then an empty table and an empty benchmark."""
+    docs, sf = odd_documents(spark, random.Random(3)), str(tmp_path)
+    bench = spark.createDataFrame([(None, None), (1, "zz " * 13)], "item_id long, text string")
+    bench.write.parquet(os.path.join(sf, "benchmark.parquet"))
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in df.select("doc_id", "text").collect())
+    count, now = docs.count(), docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == corpus_pipeline.COLUMNS
+        if name == "language_id":
+            assert texts(got) == [t for t in texts(docs) if t[2]]
+        elif name == "near_duplicates":
+            # One of id 2 (of two texts the one that no other group has), one without an id, and all texts without words.
+            ids = [r.doc_id for r in got.select("doc_id").collect()]
+            assert sorted(i for i in ids if i is not None and i not in (2, 3)) == [i for i in range(30) if i not in (2, 3)] + [40, 41, 42]
+            assert ids.count(None) == 2 and ids.count(2) in (1, 2)
+        else:
+            assert got.count() == count
+        now = stage(spark, now, sf)
+    pieces = corpus_pipeline.packing(spark, docs, sf)
+    assert pieces.where("start = 0 and piece = 0").count() == count and pieces.where("length > 2048").count() == 0
+    assert now.count() > 25
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    spark.createDataFrame([], "item_id long, text string").write.parquet(os.path.join(sf, "none", "benchmark.parquet"))
+    assert corpus_pipeline.decontamination(spark, docs, os.path.join(sf, "none")).count() == count
+
+
 def test_gibberish_and_foreign_languages_go(spark):
     """sf0.1 has labelled documents in four languages; Latin gibberish, Polish and Italian are none of them."""
     path = "/root/testdata/sf0.1/documents.parquet"
