@@ -1,7 +1,8 @@
 """Corpus preparation in five stages: language, near-duplicates, benchmark, personal data, packing.
 
 Each stage works on all rows that its predecessor kept; ``run`` writes each result as Parquet to the shared folder and
-reads it back. All but the last return the columns of documents.
+reads it back. All but the last return the columns of documents, whatever other columns there are. Of an empty table every
+stage makes an empty one; a text of any length is taken whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language: rejected are those without letters or farther from every profile than labelled ones."""
+    """Keeps documents in a learned language: rejected are those without letters or farther from every profile than labelled ones.
+
+    A row is judged by its text alone: null and empty texts go, rows without an id and repeated rows are judged each. Without any
+    labelled document nothing is known, and all go. Equal distances go to the first language.
+    """
     from mnemolake.llm import language
 
     own = docs.select(*COLUMNS)
@@ -29,28 +34,43 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group (five words, similarity 0.8)."""
+    """Keeps the document of smallest id of each group (five words, similarity 0.8).
+
+    Of rows with that id the one with the least hash of the text stays, of rows equal in id and text one. Null texts, and texts without
+    words, are of no group and stay. A row without an id goes if a row with one, or another without, has its shingles.
+    """
     from mnemolake.llm import near_dup
 
     return near_dup.deduplicate(docs.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the benchmark doesn't contaminate."""
+    """Keeps documents that the benchmark doesn't contaminate.
+
+    A row is judged by its text alone; null and empty texts, rows without an id and repeated rows stay or go like others. An empty
+    benchmark contaminates nothing.
+    """
     from mnemolake.llm import decontaminate
 
     return decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps every document, with personal data in its text replaced; n_chars follows."""
+    """Keeps every document, with personal data in its text replaced; n_chars follows.
+
+    Of spans that overlap the first names the kind. A null text stays null, with n_chars null; rows without an id and repeated rows stay.
+    """
     from mnemolake.llm import pii
 
     return pii.redact(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document, packed into sequences of 2048 tokens."""
+    """Pieces of every document, packed into sequences of 2048 tokens.
+
+    A null text is an empty one, of one token. Every row has pieces of its own, also where ids are null or repeat; which of equal
+    pieces stands where is left open.
+    """
     import public_tokenizers
 
     from mnemolake.llm import packing as p
