@@ -249,3 +249,17 @@ def test_upserts(spark):
     assert {(r.k, r.v) for r in K.upsert_last(old, new, ["k"], "at").collect()} == {("a", 2), ("b", 3)}
     assert {(r.k, r.v) for r in K.insert_ignore(old, new, ["k"], [F.col("at")]).collect()} == {("a", 1), ("b", 4)}
     assert {(r.k, r.at) for r in K.advance_watermarks(old.select("k", "at"), new.select("k", F.lit(3).alias("at")), ["k"], "at").collect()} == {("a", 5), ("b", 3)}
+
+
+def test_the_graph_finds_what_is_near_queries_that_it_does_not_hold(spark):
+    """Vectors without structure, in several shards: nine tenths of the nearest."""
+    import numpy as np
+
+    from mnemolake.operators import neighbourgraph as N
+
+    made = np.random.default_rng(3).normal(size=(3060, 48)).astype("float32").tolist()
+    v = spark.createDataFrame([(i, "m", 48, x) for i, x in enumerate(made[:3000])], "fact_id long, model string, dimensions int, vector array<float>")
+    q = spark.createDataFrame([(str(i), x, "m", 48) for i, x in enumerate(made[3000:])], "query_id string, query_vector array<float>, model string, dimensions int")
+    exact = R.ranked(R.similarities(v, q, -1.0), [F.desc("similarity"), F.col("id")], 10)
+    assert N.recall(N.search(N.build(v, shard_rows=1000), q, 10), exact).first().recall >= 0.9
+    assert N.search(N.build(v.limit(0)), q, 10).count() == 0 and N.search(N.build(v.limit(1)), q, 10).count() == 60
