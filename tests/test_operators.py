@@ -263,3 +263,15 @@ def test_the_graph_finds_what_is_near_queries_that_it_does_not_hold(spark):
     exact = R.ranked(R.similarities(v, q, -1.0), [F.desc("similarity"), F.col("id")], 10)
     assert N.recall(N.search(N.build(v, shard_rows=1000), q, 10), exact).first().recall >= 0.9
     assert N.search(N.build(v.limit(0)), q, 10).count() == 0 and N.search(N.build(v.limit(1)), q, 10).count() == 60
+
+
+def test_a_task_keeps_the_nearest_of_each_query(spark):
+    """Equal vectors in many portions: the same rows as ranking all similarities, and no more than so many from a task."""
+    rows = [(i, "m", 2, [1.0, float(i % 3)]) for i in range(5000)]
+    v = spark.createDataFrame(rows, "fact_id long, model string, dimensions int, vector array<float>").coalesce(1)
+    q = spark.createDataFrame([("a", [1.0, 0.0], "m", 2), ("b", [1.0, 2.0], "m", 2), ("c", [0.0, -1.0], "m", 2)], "query_id string, query_vector array<float>, model string, dimensions int")
+    order = [F.desc(F.round("similarity", 9)), F.col("id")]
+    some = R.nearest(v, q, 0.1, 7)
+    assert some.count() == 14
+    shown = lambda df: sorted((r.query_id, r.id, r.rank0) for r in R.ranked(df, order, 7).collect())
+    assert shown(some) == shown(R.similarities(v, q, 0.1))
