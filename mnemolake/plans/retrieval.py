@@ -52,7 +52,7 @@ def _(spark, sf):
     from mnemolake.scratch import folder
     from mnemolake.store import Store
 
-    f, columns, third = A.facts(spark, sf), ["content", "domain", "subdomain"], F.col("id") % 3 == 1
+    f, columns, third = A.fact_texts(spark, sf), ["content", "domain", "subdomain"], F.col("id") % 3 == 1
     index = TextIndex(Store(spark, f"{folder(spark)}/jn-fts-{uuid.uuid4().hex}"))
     for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
         index.add(f.where(part), "id", columns)
