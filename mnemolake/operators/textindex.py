@@ -96,7 +96,8 @@ class TextIndex:
         asked = phrases.select("phrase").distinct().select("phrase", F.size("phrase").alias("k"), F.posexplode("phrase").alias("i", "token"))
         asked = written(asked.withColumn("bucket", bucket(F.col("token"))), "fts-asked")
         folders = sorted(r.bucket for r in asked.select("bucket").distinct().collect())  # BUCKETS at most
-        found = self._live(self.store.table("fts_postings", head).where(F.col("bucket").isin(folders)), head).join(asked.select("phrase", "k", "i", "token"), "token")
+        # The asked tokens are a query set: other postings of their folders end where they are read.
+        found = self._live(self.store.table("fts_postings", head).where(F.col("bucket").isin(folders)).join(F.broadcast(asked.select("phrase", "k", "i", "token")), "token"), head)
         one = found.where("k = 1").select("phrase", "id", "length", F.size("places").alias("f"))
         starts = found.where("k > 1").select("phrase", "k", "id", "length", "i", F.explode("places").alias("place")).withColumn("start", F.col("place") - F.col("i"))
         whole = starts.groupBy("phrase", "k", "id", "length", "start").agg(F.count("*").alias("n")).where("n = k")
@@ -105,8 +106,11 @@ class TextIndex:
         return weighted(written(postings, "fts-postings"), stats, phrases)
 
     def _live(self, rows: DataFrame, head) -> DataFrame:
+        if not head.tables.get("fts_removed"):
+            return rows
+        # Not an anti join: Spark would move that below the join with the asked tokens, and shuffle all postings of their folders.
         gone = self.store.table("fts_removed", head).select(F.col("id").alias("_id"), "removed")
-        return rows.join(gone, (F.col("id") == F.col("_id")) & (F.col("removed") > F.col("added")), "left_anti")
+        return rows.join(gone, (F.col("id") == F.col("_id")) & (F.col("removed") > F.col("added")), "left").where("_id is null").drop("_id", "removed")
 
     def _dealt(self, postings: DataFrame, words: int, at: int | None = None) -> DataFrame:
         """In order for the folders, ``added`` at ``at``. What follows from the rest of a row isn't shuffled with it."""

@@ -60,3 +60,20 @@ def test_a_search_reads_the_asked_folders_alone(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
     read = [r[0] for r in rows.select(F.input_file_name()).distinct().collect()]
     assert read and all(f"bucket={want}/" in f for f in read) and len(files) > 1
+
+
+def test_other_postings_of_a_folder_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Postings are dealt by a stated number of tasks from so many words on, and none that isn't asked goes through an exchange."""
+    monkeypatch.setattr(X, "LEAST_WORDS", 1)
+    monkeypatch.setattr(X, "TASK_WORDS", 2)
+    rng = random.Random(8)
+    index = X.TextIndex(Store(spark, f"file://{tmp_path}/s"))
+    new = corpus(spark, rng, range(90))
+    index.add(new, "id", ["content", "domain"])
+    parts = index.store.head().tables["fts_postings"]
+    files = index.store.part("fts_postings", parts[0]).inputFiles()
+    assert len(files) > len({f.split("bucket=")[1].split("/")[0] for f in files})
+    asked = spark.createDataFrame(ASKED, "query_id string, query string")
+    assert shown(index.search(asked)) == shown(R.bm25(R.indexed(new, "id", ["content", "domain"]), asked))
+    plan = X._postings(R.indexed(new, "id", ["content"])).select("token")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
