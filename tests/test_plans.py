@@ -30,3 +30,9 @@ def test_top_k_needs_no_full_sort(spark, name):
 
 def test_ranks_are_cut_before_the_exchange(spark):
     assert "WindowGroupLimit" in plan(QUERIES["wn_tail"](spark, SF))
+
+
+def test_links_are_made_distinct_once(spark):
+    """What groups links by itself gets them as they are read."""
+    assert "Aggregate" not in plan(A.mentions(spark, SF)) and A.mentions(spark, SF).distinct().count() == A.fact_entities(spark, SF).count()
+    assert plan(QUERIES["ag_subject_flag"](spark, SF)).count("keys=[l_orderkey") == 0
