@@ -275,3 +275,21 @@ def test_a_task_keeps_the_nearest_of_each_query(spark):
     assert some.count() == 14
     shown = lambda df: sorted((r.query_id, r.id, r.rank0) for r in R.ranked(df, order, 7).collect())
     assert shown(some) == shown(R.similarities(v, q, 0.1))
+
+
+def test_edges_at_entities(spark):
+    """Only pairs with an asked end, each once though both ends are asked and links repeat, counted over all facts."""
+    rows = [(f, e) for f, es in ((1, "abc"), (2, "abd"), (3, "cd"), (4, "a"), (5, "bbaa")) for e in es]
+    links = spark.createDataFrame(rows + rows[:4], "fact_id long, entity_id string")
+    at = spark.createDataFrame([("a",), ("b",), ("nobody",)], "id string")
+    whole = {(r.a, r.b, r.n) for r in G.co_occurrences(links).collect()}
+    got = [(r.a, r.b, r.n) for r in G.co_occurrences(links, at).collect()]
+    assert sorted(got) == sorted(w for w in whole if set(w[:2]) & {"a", "b"}) and ("a", "b", 3) in got and ("c", "d", 1) not in got
+
+
+def test_context_of_repeated_links(spark):
+    """The newest facts are different ones, however often a link is stated; centers are no neighbours."""
+    edges = spark.createDataFrame([("a", "b", "co_mentioned", 0.3), ("c", "a", "co_mentioned", 0.5), ("a", "z", "co_mentioned", 0.9), ("a", "s", "same_as", 1.0)], "from_entity string, to_entity string, relationship string, strength double")
+    links = spark.createDataFrame([(f, "b", "m") for f in (9, 9, 9, 8, 8, 7)] + [(5, "c", "m"), (9, "c", "m"), (9, "c", "n")], "fact_id long, entity_id string, relationship string")
+    got = G.context(spark.createDataFrame([("a",), ("z",)], "id string"), edges, links, 10, 2).collect()
+    assert sorted((r.center, r.neighbour, r.fact_id) for r in got) == [("a", "b", 8), ("a", "b", 9), ("a", "c", 5), ("a", "c", 9)]

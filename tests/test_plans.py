@@ -36,3 +36,11 @@ def test_links_are_made_distinct_once(spark):
     """What groups links by itself gets them as they are read."""
     assert "Aggregate" not in plan(A.mentions(spark, SF)) and A.mentions(spark, SF).distinct().count() == A.fact_entities(spark, SF).count()
     assert plan(QUERIES["ag_subject_flag"](spark, SF)).count("keys=[l_orderkey") == 0
+
+
+@pytest.mark.parametrize("name", ["se_context", "jn_hop1"])
+def test_edges_are_made_at_centers(spark, name):
+    """Pairs of other entities aren't made: what the plan reads for edges are the links of centers."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "links-at-" in text or "near-" in text
+    assert text.count("keys=[l_orderkey") == 0
