@@ -293,3 +293,18 @@ def test_context_of_repeated_links(spark):
     links = spark.createDataFrame([(f, "b", "m") for f in (9, 9, 9, 8, 8, 7)] + [(5, "c", "m"), (9, "c", "m"), (9, "c", "n")], "fact_id long, entity_id string, relationship string")
     got = G.context(spark.createDataFrame([("a",), ("z",)], "id string"), edges, links, 10, 2).collect()
     assert sorted((r.center, r.neighbour, r.fact_id) for r in got) == [("a", "b", 8), ("a", "b", 9), ("a", "c", 5), ("a", "c", 9)]
+
+
+def test_a_run_meets_facts_of_its_domains(spark):
+    """Equal texts of other domains, closed facts and null texts are no match; a replacement is claimed within the domain."""
+    t = dt.datetime(2024, 1, 1)
+    columns = "id int, content string, project string, domain_hint string, source_origin string, created_at timestamp"
+    staged = spark.createDataFrame([(1, "Tea.", None, "a", "explicit", t), (2, "milk", None, "a", "explicit", t), (3, None, None, "a", "explicit", t), (4, "no longer sugar in coffee", None, "a", "explicit", t), (5, "old", None, "b", "explicit", t)], columns)
+    columns = "id int, content string, domain string, project string, status string, is_latest boolean, superseded_by int, confidence double, importance double, created_at timestamp, valid_from timestamp, valid_until timestamp, system_retired_at timestamp"
+    held = lambda i, content, domain, latest=True: (i, content, domain, None, "active", latest, None, 0.7, 0.5, t, t, None, None)
+    facts = spark.createDataFrame([held(11, "tea", "a"), held(10, "TEA!", "a"), held(12, "milk", "c"), held(13, None, "a"), held(14, "sugar in coffee", "a"), held(15, "sugar in coffee", "c"), held(16, "old", "b", False)], columns)
+    out = C.consolidate(staged, facts, F.lit("2024-02-01").cast("timestamp"), [], "r")
+    assert {r.id: (r.outcome, r.existing_id) for r in out["decisions"].collect()} == {1: ("noop", 10), 2: ("add", None), 3: ("add", None), 4: ("add", None), 5: ("add", None)}
+    assert out["counts"].first()[:] == (5, 4, 1)
+    assert [(r.fact_id, r.related_fact_id) for r in out["relations"].collect()] == [("4", "14")]
+    assert {r.id for r in out["facts"].where("status = 'superseded'").collect()} == {14} and out["facts"].count() == 11

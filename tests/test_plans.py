@@ -1,6 +1,7 @@
 """Plans are what they should be: no Cartesian products, filters and columns at the scan, top-k without a full sort."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from mnemolake.plans import adapters as A
 from mnemolake.plans import load
@@ -42,3 +43,23 @@ def test_links_are_made_distinct_once(spark):
 def test_edges_are_made_at_centers(spark, name):
     """Pairs of other entities aren't made: lines aren't grouped for it."""
     assert plan(QUERIES[name](spark, SF)).count("keys=[l_orderkey") == 0
+
+
+@pytest.mark.parametrize("name", ["co_run", "co_counts"])
+def test_a_run_decides_once(spark, name):
+    """What a run gives comes from the table of its decisions, not from facts that are judged again for it."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "decisions-" in text and "documents.parquet" not in text
+
+
+def test_facts_of_other_domains_are_left_out_as_they_are_read(spark):
+    """Below the joins of facts, so that their texts aren't shuffled."""
+    from mnemolake.operators import consolidate as C
+
+    staged = A.session_facts(spark, SF).withColumn("domain", F.col("domain_hint"))
+    text = C.reconciled(staged, A.facts(spark, SF), A.now())._jdf.queryExecution().optimizedPlan().toString()
+    semi = next(i for i, line in enumerate(text.split("\n")) if "LeftSemi" in line)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in text.split("\n")]
+    assert any("Join LeftOuter" in line or "Join Inner" in line for line in text.split("\n")[:semi]) and depth[semi] > 3
+    below = text.split("\n")[semi + 1 : semi + 4]
+    assert any("text#" in line for line in below) and not any("Join" in line for line in below)
