@@ -146,6 +146,35 @@ def test_approximate_neighbours_find_the_same(spark):
     assert near and all(r.id % 2 for r in near)
 
 
+def test_hybrid_is_exact_at_any_size(spark, monkeypatch):
+    """Vectors above the size from which a graph would be in order: no neighbour is missed."""
+    import random
+
+    rng = random.Random(7)
+    one = lambda: [rng.gauss(0, 1) for _ in range(128)]
+    v = spark.createDataFrame([(i, "m", 128, one()) for i in range(3000)], "fact_id int, model string, dimensions int, vector array<float>")
+    q = spark.createDataFrame([(f"q{k}", one(), "m", 128) for k in range(60)], "query_id string, query_vector array<float>, model string, dimensions int")
+    absent = lambda *names: [f"cast(null as timestamp) as {n}" for n in names]
+    facts = spark.range(3000).selectExpr("cast(id as int) as id", "'x' as content", "'d' as domain", "'s' as subdomain", "'active' as status", "true as is_latest", "0.5D as confidence", "0.5D as importance", "timestamp '2024-01-01' as created_at", *absent("valid_from", "valid_until", "system_retired_at"))
+    want = {(r.query_id, r.id) for r in R.vector_list(v, q, facts, R.pool(10)).where("rank0 < 10").collect()}
+    monkeypatch.setattr(R.S, "ANN_BYTES", 0)
+    got = {(r.query_id, r.id) for r in R.hybrid(facts, q.select("query_id", F.lit("none").alias("query")), F.expr("timestamp '2024-02-01'"), 10, vectors=v, query_vectors=q).collect()}
+    assert len(want) > 200 and got == want
+
+
+def test_equal_vectors_are_equally_similar(spark):
+    """Wherever they are: in a full portion of a batch, and among the three that are left."""
+    import random
+
+    rng = random.Random(3)
+    one, n = [rng.gauss(0, 1) for _ in range(64)], R.PORTION + 3
+    v = spark.createDataFrame([(n - i, "m", 64, one) for i in range(n)], "fact_id int, model string, dimensions int, vector array<float>").coalesce(1)
+    q = spark.createDataFrame([(f"q{k}", [a + rng.gauss(0, 1) for a in one], "m", 64) for k in range(4)], "query_id string, query_vector array<float>, model string, dimensions int")
+    assert R.similarities(v, q, -1.0).select("query_id", "similarity").distinct().count() == 4
+    got = R.vector_list(v, q, v.select(F.col("fact_id").alias("id")), 50).collect()
+    assert {r.query_id for r in got} == {f"q{k}" for k in range(4)} and all(r.id == r.rank0 + 1 for r in got) and len(got) == 200
+
+
 def test_closure_stops_at_the_cap(spark):
     edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(40)] + [("a", "b"), ("b", "c")], "from_entity string, to_entity string")
     seeds = spark.createDataFrame([("n00",), ("a",), ("z",)], "seed string")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mnemolake import schemas as S
 from mnemolake.plans import adapters as A
 from mnemolake.plans import load
 
@@ -52,6 +53,14 @@ def test_a_run_decides_once(spark, name):
     assert "decisions-" in text and "documents.parquet" not in text
 
 
+@pytest.mark.parametrize("name", ["fn_quality"])
+def test_vectors_are_searched_exactly_at_any_size(spark, monkeypatch, name):
+    """Also above the size from which a graph would be in order, as the SQL has no such switch."""
+    monkeypatch.setattr(S, "ANN_BYTES", 0)
+    text = plan(QUERIES[name](spark, SF))
+    assert "CoGroup" not in text and "MapInArrow" in text
+
+
 def test_facts_of_other_domains_are_left_out_as_they_are_read(spark):
     """Below the joins of facts, so that their texts aren't shuffled."""
     from mnemolake.operators import consolidate as C
