@@ -53,7 +53,7 @@ def test_a_run_decides_once(spark, name):
     assert "decisions-" in text and "documents.parquet" not in text
 
 
-@pytest.mark.parametrize("name", ["fn_quality", "se_attach"])
+@pytest.mark.parametrize("name", ["fn_quality", "se_attach", "se_hybrid"])
 def test_vectors_are_searched_exactly_at_any_size(spark, monkeypatch, name):
     """Also above the size from which a graph would be in order, as the SQL has no such switch."""
     monkeypatch.setattr(S, "ANN_BYTES", 0)
